@@ -91,7 +91,6 @@ class FMIndex:
         held = order % sample == 0
         marks = np.flatnonzero(held)
         self.mark = held
-        self.at = dict.fromkeys(())  # kept for readers of the layout: row -> position is in two arrays
         self.mark_rows, self.mark_pos = marks, order[marks]
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
@@ -269,3 +268,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "end_word"], dtype="int64")
 
     return kept.mapInPandas(run, "doc_id long, item_id long, first_word long, end_word long")
+
+
+def removal_spans(leaks: DataFrame) -> DataFrame:
+    """``(doc_id, first_word, end_word, items)``: overlapping spans of one document merged."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy("first_word", "end_word", "item_id")
+    begun = leaks.withColumn("reach", F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = begun.withColumn("span", F.sum(F.when(F.col("reach").isNull() | (F.col("first_word") > F.col("reach")), 1).otherwise(0)).over(order))
+    return numbered.groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.sort_array(F.collect_set("item_id")).alias("items")).drop("span")
