@@ -1,8 +1,8 @@
 """Registered queries with the SQL that must give the same rows."""
 
-from loamgraph.plans import problems
+from loamgraph.plans import graphs, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, graphs)
 
 
 def core_queries() -> dict:
