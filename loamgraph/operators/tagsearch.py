@@ -256,10 +256,10 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
     and is free again.
     """
     t = tags.select("tenant_id", "tag_id", F.col("version").alias("now"), F.col("name_norm").alias("had"), F.coalesce("deleted", F.lit(False)).alias("dead"))
-    taken = live(tags).select("tenant_id", F.col("name_norm").alias("taken"), F.col("tag_id").alias("owner")).dropDuplicates(["tenant_id", "taken"])
+    taken = live(tags).select(F.col("tenant_id").alias("t_tenant"), F.col("name_norm").alias("taken"), F.col("tag_id").alias("owner")).dropDuplicates(["t_tenant", "taken"])
     out = edits.join(t, ["tenant_id", "tag_id"], "left")
-    clash = (out["tenant_id"] == taken["tenant_id"]) & (F.col("name_norm") == F.col("taken")) & (F.col("owner") != out["tag_id"])
-    out = out.join(taken, clash, "left").drop(taken["tenant_id"])
+    clash = (F.col("tenant_id") == F.col("t_tenant")) & (F.col("name_norm") == F.col("taken")) & (F.col("owner") != F.col("tag_id"))
+    out = out.join(taken, clash, "left")
     outcome = F.when(F.col("now").isNull() | F.col("dead"), "NOT_FOUND").when(F.col("now") != F.col("expected_version"), "CONFLICT").when(~F.col("delete") & F.col("taken").isNotNull(), "NAME_TAKEN").otherwise("APPLIED")
     ok = outcome == "APPLIED"
     name = F.when(ok & F.col("delete"), F.concat("had", F.lit("~"), F.col("tag_id"))).when(ok, F.coalesce("name_norm", "had"))

@@ -75,7 +75,7 @@ def relay_positions(log: DataFrame, as_of: Column, gap_timeout: str) -> DataFram
     keyed = log.groupBy("seq").agg(F.min("at").alias("at"))
     # a block's first row takes its predecessor from the block before, one row a block
     ends = keyed.groupBy((F.floor(F.col("seq") / F.lit(100_000)) + 1).alias("blk")).agg(F.max("seq").alias("end"))
-    linked = keyed.withColumn("blk", F.floor(F.col("seq") / F.lit(100_000))).withColumn("prev", F.lag("seq").over(order)).join(F.broadcast(ends), "blk", "left")
+    linked = keyed.withColumn("blk", F.floor(F.col("seq") / F.lit(100_000))).withColumn("prev", F.lag("seq").over(order)).join(ends, "blk", "left")
     linked = linked.withColumn("prev", F.coalesce("prev", "end"))
     young = (F.col("seq") != first) & ((F.col("prev").isNull()) | (F.col("prev") < F.col("seq") - 1)) & (F.col("at") > as_of - F.expr(f"interval {gap_timeout}"))
     stop = linked.where(young).agg(F.min("seq")).scalar()

@@ -1,8 +1,8 @@
 """Registered queries with the SQL that must give the same rows."""
 
-from loamgraph.plans import graphs, problems
+from loamgraph.plans import graphs, problems, tagging, trees
 
-_MODULES = (problems, graphs)
+_MODULES = (problems, graphs, tagging, trees)
 
 
 def core_queries() -> dict:
