@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.session import Scratch
+
+TOP_K = 100_000
+
 
 def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """Null-safe join of ``big`` with a side that has one row per key.
@@ -19,3 +23,21 @@ def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return left.join(right, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+
+
+def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) -> DataFrame:
+    """The first ``n`` rows by ``order``, which has to be unique.
+
+    Small n use Spark's bounded heap.  A large n would put all its rows into
+    one heap or partition, so rows are range-partitioned, written with their
+    place in the partition and cut by the partitions' running counts.
+    """
+    if n <= TOP_K:
+        return df.orderBy(*order).limit(max(0, n))
+    placed = scratch.keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_part", part).join(before, "_part")
+    inside = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) < n
+    return joined.where(inside).select(*df.columns)

@@ -15,9 +15,11 @@ VIEWS = {
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'fetch host=\S+ path=\S+ status=\d+ bytes=[\d,]+')) AS hit FROM documents WHERE text IS NOT NULL)""",
     "mentions": r"""SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, regexp_extract(raw, '^([^/]+)', 1) AS host, regexp_replace(raw, '^[^/]+', '') AS path, 'http://' || raw AS url
 FROM (SELECT doc_id, unnest(f) AS raw, generate_subscripts(f, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+\.[a-z]+\.example(?:/[a-z]+)*') AS f FROM documents WHERE text IS NOT NULL))""",
+    "pages": "SELECT doc_id AS page_id, 'http://h' || doc_id % 20 || '.site' || doc_id % 4 || '.example/' || coalesce(source, 'none') || '/' || doc_id AS url, 'h' || doc_id % 20 || '.site' || doc_id % 4 || '.example' AS host, 'http://h' || doc_id % 20 || '.site' || doc_id % 4 || '.example/' || coalesce(source, 'none') || '/' AS dir, sha256(coalesce(text, '')) AS hash, fetched_at FROM documents",
+    "links": "SELECT doc_id AS src, (doc_id * 31 + pos * 17 + 7) % (SELECT max(doc_id) + 1 FROM documents) AS dst, pos FROM mentions",
     "tasks": """SELECT o_orderkey AS task_id, o_orderdate AS next_run, 6 - CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS priority, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'RUNNING' ELSE 'SCHEDULED' END AS state,
 'type' || (o_custkey % 5) AS job_type, CASE WHEN o_orderkey % 6 = 0 THEN 'node' || (o_custkey % 3) END AS pinned, o_orderkey % 4 AS version,
-(['MINUTES', 'HOURS', 'DAYS', 'WEEKS', 'MONTHS', 'YEARS', NULL])[o_custkey % 7 + 1] AS unit, CAST(o_orderkey % 5 + 1 AS INTEGER) AS amount,
+(['SECOND', 'MINUTE', 'HOUR', 'DAILY', 'MONTHLY', 'YEARLY', NULL])[o_custkey % 7 + 1] AS unit, CAST(o_orderkey % 5 + 1 AS INTEGER) AS amount,
 CASE WHEN o_orderstatus = 'P' THEN o_orderdate + to_minutes(CAST(o_orderkey % 90 AS BIGINT)) END AS lease_until, 'node' || (o_custkey % 4) AS submitter FROM orders""",
     "runs": "SELECT l_orderkey AS task_id, l_linenumber AS run_no, CASE min(l_returnflag) WHEN 'R' THEN 'TIMED_OUT' WHEN 'A' THEN 'FAILED' ELSE 'SUCCEEDED' END AS outcome FROM lineitem GROUP BY ALL",
     "task_events": """SELECT * FROM (SELECT 'task/' || user_id AS ari, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, event_id, event_type, ts AS at_time, value FROM events) WHERE event_id % 13 <> 5

@@ -96,7 +96,7 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("next_run"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), state.alias("state"),
         F.concat(F.lit("type"), F.col("o_custkey") % 5).alias("job_type"), F.when(F.col("o_orderkey") % 6 == 0, F.concat(F.lit("node"), F.col("o_custkey") % 3)).alias("pinned"), (F.col("o_orderkey") % 4).alias("version"),
-        F.element_at(F.array(F.lit("MINUTES"), F.lit("HOURS"), F.lit("DAYS"), F.lit("WEEKS"), F.lit("MONTHS"), F.lit("YEARS"), F.lit(None)), (F.col("o_custkey") % 7 + 1).cast("int")).alias("unit"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("amount"),
+        F.element_at(F.array(F.lit("SECOND"), F.lit("MINUTE"), F.lit("HOUR"), F.lit("DAILY"), F.lit("MONTHLY"), F.lit("YEARLY"), F.lit(None)), (F.col("o_custkey") % 7 + 1).cast("int")).alias("unit"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("amount"),
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, cast(o_orderkey % 90 as int), 0)")).alias("lease_until"), F.concat(F.lit("node"), F.col("o_custkey") % 4).alias("submitter"),
     )
 
@@ -115,3 +115,18 @@ def task_events(spark: SparkSession, d: str) -> DataFrame:
     v = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     log = e.select(F.concat(F.lit("task/"), "user_id").alias("ari"), v.alias("version"), "event_id", "event_type", F.col("ts").alias("at"), "value").where("event_id % 13 <> 5")
     return log.unionByName(log.where("event_id % 11 = 0"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as crawled pages: ``(page_id, url, host, dir, hash)``."""
+    docs = table(spark, d, "documents")
+    k, src = F.col("doc_id"), F.coalesce("source", F.lit("none"))
+    host = F.concat(F.lit("h"), k % 20, F.lit(".site"), k % 4, F.lit(".example"))
+    folder = F.concat(F.lit("http://"), host, F.lit("/"), src, F.lit("/"))
+    return docs.select(k.alias("page_id"), F.concat(folder, k).alias("url"), host.alias("host"), folder.alias("dir"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "fetched_at")
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """A link for every address a document names, to a page drawn by arithmetic: ``(src, dst, pos)``."""
+    top = table(spark, d, "documents").agg(F.max("doc_id") + 1).scalar()
+    return mentions(spark, d).select(F.col("doc_id").alias("src"), F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17 + 7, top).alias("dst"), "pos")
