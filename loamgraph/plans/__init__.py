@@ -1,8 +1,8 @@
 """Registered queries with the SQL that must give the same rows."""
 
-from loamgraph.plans import crawls, graphs, problems, scheduling, tagging, trees
+from loamgraph.plans import crawls, graphs, problems, scheduling, streams, tagging, trees
 
-_MODULES = (problems, graphs, tagging, trees, crawls, scheduling)
+_MODULES = (problems, graphs, tagging, trees, crawls, scheduling, streams)
 
 
 def core_queries() -> dict:
