@@ -40,15 +40,15 @@ SHARD_WORDS, SAMPLE, ITEM_BLOCK = 1_000_000, 8, 20_000
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|td|tr|th|table|hr|pre|blockquote|section|article)\b[^<>]{0,200}>", re.I)
 _INLINE_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
-_ESCAPE = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?|\\x([0-9a-fA-F]{2})|\\([nrt])|\\(.)|%([2-7][0-9a-fA-F])|=\n")
+_ESCAPE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\(.)|%([2-7][0-9a-fA-F])|=\n")
 _JOINT = re.compile(r"(?<=\p{L})[-‐‑‒–](?=\p{L})")
 _WORD = re.compile(r"[\p{L}\p{M}\p{N}]+")
 _DROP = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x27, 0x2019, 0x2BC, 0x60, 0xB4])
 
 
 def _unescape(m: re.Match) -> str:
-    u, x, ws, other, pct = m.groups()
-    code = u or x or pct
+    wide, u, x, ws, other, pct = m.groups()
+    code = wide or u or x or pct
     if code:
         return chr(int(code, 16)) if int(code, 16) < 0x110000 and not 0xD800 <= int(code, 16) < 0xE000 else " "
     return " " if ws else other or ""
