@@ -1,6 +1,6 @@
 """References to records that do not exist (problem 1).
 
-Every change is a signed delta on one key: a reference appearing or going
+Every change is a signed delta on one key: a stored reference appearing or going
 adds +1 or -1 to ``refs``, a target row does so to ``rows`` and, while it is
 not deleted, to ``live``.  Summing deltas per key is associative, so a state
 table plus the deltas since it was written gives the next state without
@@ -10,7 +10,7 @@ of all references costs one row per input split in the shuffle.
 Defined results:
 * a null reference is no reference; a null tenant is a tenant of its own
   (compared null-safe);
-* repeated references count once, with the earliest ``created_at``;
+* repeated references are reported once, by the earliest ``created_at``;
 * of several versions of a target the highest counts, ties by ``updated_at``
   then ``deleted``; a null ``deleted`` means not deleted; null times are
   never late;
@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import sized_join
+from loamgraph.session import Scratch
 from loamgraph.sources.tables import ID_EPOCH_MS
 
 KEY = ("kind", "tenant_id", "key")
@@ -41,7 +42,7 @@ def current(df: DataFrame, keys: list[str], version: str, *rest: str) -> DataFra
 
 
 def references(entity_tags: DataFrame, nodes: DataFrame, node_content: DataFrame) -> DataFrame:
-    """Distinct references ``(ref_table, kind, tenant_id, row_key, key, ref_at, dated)``."""
+    """Stored references ``(ref_table, kind, tenant_id, row_key, key, ref_at)``; of nodes the current ones."""
     tagged = entity_tags.where("tag_id is not null").select(
         F.lit("entity_tags").alias("ref_table"), F.lit("tag").alias("kind"), "tenant_id",
         F.concat("entity_type", F.lit("/"), "entity_id").alias("row_key"), F.col("tag_id").alias("key"), F.col("created_at").alias("ref_at"),
@@ -53,7 +54,7 @@ def references(entity_tags: DataFrame, nodes: DataFrame, node_content: DataFrame
     held = node_content.where("node_id is not null").select(
         F.lit("node_content").alias("ref_table"), F.lit("node").alias("kind"), "tenant_id", F.col("node_id").cast("string").alias("row_key"), F.col("node_id").alias("key"), id_time("node_id").alias("ref_at")
     )
-    return tagged.unionByName(linked).unionByName(held).groupBy("ref_table", "kind", "tenant_id", "row_key", "key").agg(F.min("ref_at").alias("ref_at"))
+    return tagged.unionByName(linked).unionByName(held)
 
 
 def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
@@ -91,14 +92,17 @@ def initial_state(refs: DataFrame, tags: DataFrame, nodes: DataFrame) -> DataFra
     return apply_deltas(None, reference_deltas(refs).unionByName(target_deltas(tag_now, "tag", "tag_id", F.col("deleted"))).unionByName(target_deltas(node_now, "node", "node_id", F.lit(False))))
 
 
-def faults(refs: DataFrame, state: DataFrame, salts: int = 16) -> DataFrame:
+def faults(refs: DataFrame, state: DataFrame) -> DataFrame:
     """One row per reference and reason, with the month of the reference.
 
-    The faulty keys are spread over ``salts`` copies and the references over
-    as many salts, so the references of one hot orphan meet it in many tasks.
+    The faulty keys come first, so only references to them are brought
+    together.  Few faulty keys are broadcast and the references stay where they
+    are; many are joined with salts, so the references of one hot orphan meet it
+    in many tasks.
     """
     bad = orphan_keys(state).select(*KEY, "rows", "live", "target_at")
-    hit = salted_join(refs, bad, list(KEY), "row_key", salts)
+    met = sized_join(refs, bad, list(KEY), "row_key", Scratch(refs.sparkSession, "orphans"))
+    hit = met.groupBy("ref_table", "tenant_id", "row_key", "key", "rows", "live", "target_at").agg(F.min("ref_at").alias("ref_at"))
     reasons = F.filter(
         F.array(
             F.when(F.col("rows") <= 0, F.lit("missing")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamgraph.session import Scratch
 
 TOP_K = 100_000
+BROADCAST_ROWS = 200_000
 
 
 def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
@@ -25,6 +26,22 @@ def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str
     return left.join(right, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
+def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, scratch: Scratch, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``salted_join``, but without moving ``big`` where the unique side is small.
+
+    The unique side is written and counted; up to ``limit`` rows it is
+    broadcast, beyond that both sides are shuffled with salts.
+    """
+    kept = scratch.keep(unique)
+    if kept.count() > limit:
+        return salted_join(big, kept, keys, salt_by, how=how)
+    right = kept.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in kept.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return big.join(F.broadcast(right), on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) -> DataFrame:
     """The first ``n`` rows by ``order``, which has to be unique.
 
