@@ -23,7 +23,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import salted_join, sized_join
+from loamgraph.session import Scratch
 
 ASSIGNMENT = ("tenant_id", "entity_type", "entity_id", "tag_id")
 VERSION = ("source_shard", "entity_seq", "created_at")
@@ -43,9 +44,11 @@ def beyond(at: Column) -> Column:
 def reread_window(source: DataFrame, progress: DataFrame, open_for: timedelta) -> DataFrame:
     """Rows from the oldest possibly open transaction on, marked ``processed`` or not."""
     rows = source.select(*ASSIGNMENT, *VERSION).where("tag_id is not null")
-    marked = salted_join(rows, governing(progress), ["tenant_id", "source_shard"], "entity_id", how="left")
+    scratch = Scratch(source.sparkSession, "window")
+    marked = sized_join(rows, governing(progress), ["tenant_id", "source_shard"], "entity_id", scratch, how="left")
     oldest_open = F.col("updated_at") - F.expr(f"interval {int(open_for.total_seconds())} seconds")
-    return marked.where(beyond(oldest_open)).select(*ASSIGNMENT, *VERSION, (~beyond(F.col("updated_at"))).alias("processed"))
+    # written, as both the batch and the ledger's part of it come from it: the source is read once
+    return scratch.keep(marked.where(beyond(oldest_open)).select(*ASSIGNMENT, *VERSION, (~beyond(F.col("updated_at"))).alias("processed")))
 
 
 def without_processed(window: DataFrame, ledger: DataFrame) -> DataFrame:
