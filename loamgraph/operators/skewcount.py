@@ -23,26 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.session import Scratch
+
+SPLIT_KEYS = 1_000_000
+
+
+class _Column:
+    """Dictionary and counts of one column of a split."""
+
+    def __init__(self, field: str):
+        self.field, self.index, self.counts = field, {}, np.zeros(1024, dtype=np.int64)
+
+    def add(self, values: pa.Array) -> None:
+        coded = values.dictionary_encode(null_encoding="encode")
+        local = [self.index.setdefault(k, len(self.index)) for k in coded.dictionary.to_pylist()]
+        if not local:
+            return
+        if len(self.index) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(max(len(self.index), len(self.counts)), dtype=np.int64)])
+        self.counts[np.asarray(local)] += np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(local))
+
+    def take(self) -> pa.RecordBatch:
+        n = len(self.index)
+        out = [pa.array([self.field] * n, pa.string()), pa.array(list(self.index), pa.string()), pa.array(self.counts[:n])]
+        self.__init__(self.field)
+        return pa.RecordBatch.from_arrays(out, ["field", "key", "n"])
+
 
 def _count_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one split: dictionary codes, then one bincount a batch."""
-    index: dict = {}
-    keys: list = []
-    counts = np.zeros(1024, dtype=np.int64)
+    """Counts of every column of one split: dictionary codes, then one bincount a batch."""
+    columns: list[_Column] = []
     for batch in batches:
-        coded = batch.column(0).dictionary_encode(null_encoding="encode")
-        local = [index.setdefault(k, len(index)) for k in coded.dictionary.to_pylist()]
-        keys.extend(list(index)[len(keys):])
-        if not local:
-            continue
-        if len(index) > len(counts):
-            counts = np.concatenate([counts, np.zeros(max(len(index), len(counts)), dtype=np.int64)])
-        counts[np.asarray(local)] += np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(local))
-        if len(index) >= 1_000_000:  # bounds the split's dictionary; the rest of it starts another
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts[: len(keys)])], ["key", "n"])
-            index, keys, counts = {}, [], np.zeros(1024, dtype=np.int64)
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts[: len(keys)])], ["key", "n"])
+        columns = columns or [_Column(f) for f in batch.schema.names]
+        for c, values in zip(columns, batch.columns, strict=True):
+            c.add(values)
+            if len(c.index) >= SPLIT_KEYS:  # bounds the split's dictionary; its other rows start the next one
+                yield c.take()
+    for c in columns:
+        if c.index:
+            yield c.take()
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
@@ -53,26 +72,28 @@ def _sum_block(table: pa.Table) -> pa.Table:
     first = np.zeros(len(exact), dtype=np.int64)
     first[pos[::-1]] = np.arange(len(pos))[::-1]
     held = np.unique(pos)
-    return pa.table({"key": table["key"].take(pa.array(first[held])).cast(pa.string()), "n": pa.array(exact[held])})
+    at = pa.array(first[held])
+    return pa.table({"field": table["field"].take(at).cast(pa.string()), "key": table["key"].take(at).cast(pa.string()), "n": pa.array(exact[held])})
 
 
-def dense_counts(df: DataFrame, key: str, block_size: int = 65_536) -> DataFrame:
-    """``(key string, n long)``: rows per value of ``key``."""
-    splits = df.select(F.col(key).cast("string").alias("key")).mapInArrow(_count_split, "key string, n long")
-    dictionary = splits.select("key").distinct()
+def dense_counts(df: DataFrame, *fields: str, block_size: int = 65_536) -> DataFrame:
+    """``(field string, key string, n long)``: rows per value of each field, from one pass over the rows."""
+    scratch = Scratch(df.sparkSession, "counts")
+    splits = scratch.keep(df.select(*[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(_count_split, "field string, key string, n long"))
+    dictionary = splits.select("field", "key").distinct()
     blocks = dictionary.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_size))).cast("int")).scalar()
-    coded = dictionary.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    coded = coded.select("key", "block", (F.row_number().over(Window.partitionBy("block").orderBy("key")) - 1).alias("pos"))
-    coded = coded.withColumnRenamed("key", "d_key")
-    scattered = splits.join(coded, F.col("key").eqNullSafe(F.col("d_key"))).select("block", "pos", "key", "n")
-    return scattered.groupBy("block").applyInArrow(_sum_block, "key string, n long")
+    coded = dictionary.withColumn("block", F.pmod(F.xxhash64("field", "key"), blocks).cast("int"))
+    coded = coded.select(F.col("field").alias("d_field"), F.col("key").alias("d_key"), "block", (F.row_number().over(Window.partitionBy("block").orderBy("field", "key")) - 1).alias("pos"))
+    scattered = splits.join(coded, (F.col("field") == F.col("d_field")) & F.col("key").eqNullSafe(F.col("d_key"))).select("block", "pos", "field", "key", "n")
+    return scratch.keep(scattered.groupBy("block").applyInArrow(_sum_block, "field string, key string, n long"))
 
 
-def heavy_keys(df: DataFrame, field: str, share: float) -> DataFrame:
-    """Values holding at least ``share`` of all rows (null values count only in the total)."""
-    counted = dense_counts(df, field)
-    total = counted.agg(F.sum("n")).scalar()
-    return counted.select(F.lit(field).alias("field"), F.col("key").alias("key_value"), "n", total.alias("total")).where(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share) * F.col("total")))
+def heavy_keys(df: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``(field, key_value, n, total)``: values holding at least their field's share of all rows (null values count only in the total)."""
+    counted = dense_counts(df, *shares)
+    total = counted.where(F.col("field") == next(iter(shares))).agg(F.sum("n")).scalar()
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("field"))
+    return counted.select("field", F.col("key").alias("key_value"), "n", total.alias("total")).where(F.col("key_value").isNotNull() & (F.col("n") >= share * F.col("total")))
 
 
 def per_key_results(df: DataFrame, keys: tuple[str, ...], entity: tuple[str, ...]) -> DataFrame:
@@ -81,10 +102,10 @@ def per_key_results(df: DataFrame, keys: tuple[str, ...], entity: tuple[str, ...
     Distinct entities are formed on the whole entity key, which no single value
     dominates, before they are counted with ``dense_counts``.
     """
-    out = None
+    rows = dense_counts(df, *keys).withColumnRenamed("n", "n_rows")
+    distinct = None
     for k in keys:
-        rows = dense_counts(df, k).withColumnRenamed("n", "n_rows")
-        distinct = dense_counts(df.select(k, *[c for c in entity if c != k]).distinct(), k).select(F.col("key").alias("e_key"), F.col("n").alias("n_entities"))
-        one = rows.join(distinct, F.col("key").eqNullSafe(F.col("e_key"))).select(F.lit(k).alias("field"), F.col("key").alias("key_value"), "n_rows", "n_entities")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = dense_counts(df.select(*dict.fromkeys([k, *entity])).distinct(), k)
+        distinct = one if distinct is None else distinct.unionByName(one)
+    e = distinct.select(F.col("field").alias("e_field"), F.col("key").alias("e_key"), F.col("n").alias("n_entities"))
+    return rows.join(e, (F.col("field") == F.col("e_field")) & F.col("key").eqNullSafe(F.col("e_key"))).select("field", F.col("key").alias("key_value"), "n_rows", "n_entities")

@@ -53,9 +53,7 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "entity_tags")
-    heavy = skewcount.heavy_keys(rows, "tenant_id", TENANT_SHARE).unionByName(skewcount.heavy_keys(rows, "tag_id", TAG_SHARE))
-    return heavy.select("field", "key_value")
+    return skewcount.heavy_keys(table(spark, d, "entity_tags"), {"tenant_id": TENANT_SHARE, "tag_id": TAG_SHARE}).select("field", "key_value")
 
 
 def p6_per_key(spark: SparkSession, d: str) -> DataFrame:

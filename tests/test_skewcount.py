@@ -25,7 +25,7 @@ def test_heavy_and_entities(spark):
     data = rows()
     df = spark.createDataFrame(data, S)
     want = {k for k, n in Counter(r[0] for r in data).items() if k and n >= 0.1 * len(data)}
-    assert {r.key_value for r in sk.heavy_keys(df, "tenant_id", 0.1).collect()} == want
+    assert {r.key_value for r in sk.heavy_keys(df, {"tenant_id": 0.1, "tag_id": 2.0}).collect()} == want
     got = {(r.field, r.key_value): (r.n_rows, r.n_entities) for r in sk.per_key_results(df, ("tenant_id",), ("tenant_id", "entity_type", "entity_id")).collect()}
     for k in {r[0] for r in data}:
         mine = [r for r in data if r[0] == k]
@@ -36,12 +36,24 @@ def test_split_dictionary_restarts():
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_arrays([pa.array(["a", "b", None, "a"])], ["key"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["key"])]
-    out = [dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for b in sk._count_split(iter(batches))]
+    out = [dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for b in sk._count_split(iter(batches))]
     assert out == [{"a": 2, "b": 1, None: 1}]
 
 
+def test_split_dictionary_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sk, "SPLIT_KEYS", 2)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array([1] * len(x)).cast(pa.string())], ["k", "j"]) for x in (["a", "b"], ["b", "c", "b"], ["a"])]
+    total = Counter()
+    for b in sk._count_split(iter(batches)):
+        for f, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[f, k] += n
+    assert total == {("k", "a"): 2, ("k", "b"): 3, ("k", "c"): 1, ("j", "1"): 6}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], S)
     assert sk.dense_counts(df, "tag_id").count() == 0
-    assert sk.heavy_keys(df, "tag_id", 0.01).count() == 0
+    assert sk.heavy_keys(df, {"tag_id": 0.01}).count() == 0
     assert listed(sk.per_key_results(df, ("tag_id",), ("tenant_id",))) == []
