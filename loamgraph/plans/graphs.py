@@ -69,10 +69,10 @@ def g05_remove_and_update_edges(s, d):
     return g.remove_edges(gone).update_edges(g.edges.where("src % 2 = 0").withColumn("weight", F.lit(0.5))).edges.select("src", "dst", "weight")
 
 
-@_q(f"WITH {_UND}, asked AS (SELECT a.id AS src, b.id AS dst FROM nations a, nations b WHERE (a.id + b.id) % 7 = 0) SELECT q.src, q.dst, u.src IS NOT NULL AS contained, weight FROM asked q LEFT JOIN und u ON least(q.src, q.dst) = u.src AND greatest(q.src, q.dst) = u.dst", "trade nations")
+@_q(f"WITH {_UND}, asked AS (SELECT a.id AS src, b.id AS dst FROM nations a, nations b WHERE true) SELECT q.src, q.dst, u.src IS NOT NULL AS contained, weight FROM asked q LEFT JOIN und u ON least(q.src, q.dst) = u.src AND greatest(q.src, q.dst) = u.dst", "trade nations")
 def g05_contains_edges(s, d):
     n = domain.nations(s, d).select("id")
-    asked = n.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("dst")).where("(src + dst) % 7 = 0")
+    asked = n.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("dst"))
     return _trade(s, d, directed=False).contains_edges(asked)
 
 
@@ -103,12 +103,13 @@ def g09_subgraph(s, d):
     return _trade(s, d).subgraph(_ids(s, *range(12), 500)).edges.select("src", "dst")
 
 
-_BFS = "walk AS (SELECT CAST({root} AS BIGINT) AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.id WHERE w.depth < {most})"
+_BFS = "walk AS (SELECT {root} AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.id WHERE w.depth < {most})"
 
 
-@_q(f"WITH {_BFS.format(root=1, edges='trade', most=25)} SELECT id, min(depth) AS depth FROM walk GROUP BY id", "trade", True)
+@_q("WITH " + _BFS.format(root="(SELECT min(src) FROM trade)", edges="trade", most=25) + " SELECT id, min(depth) AS depth FROM walk GROUP BY id", "trade", True)
 def g10_bfs(s, d):
-    return gr.bfs(domain.trade(s, d), _ids(s, 1))
+    e = domain.trade(s, d)
+    return gr.bfs(e, e.agg(F.min("src").alias("id")))
 
 
 @_q("SELECT id, CAST(floor(log2(id)) AS INTEGER) AS depth FROM heap_nodes", "heap_nodes")
@@ -118,7 +119,7 @@ def g10_bfs_heap(s, d):
 
 @_q()
 def g11_dfs(s, d):
-    return gr.dfs_preorder(domain.heap(s, d).where("dst < 1024"), _ids(s, 1, 2, 3))
+    return gr.dfs_preorder(domain.heap(s, d), _ids(s, 1, 2, 3))
 
 
 @_q("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
@@ -145,9 +146,8 @@ def _bip(s, d):
     return v, e
 
 
-_WCC = """both_ways AS (SELECT src, dst FROM bipartite UNION SELECT dst, src FROM bipartite),
-reach AS (SELECT DISTINCT src AS id, src AS label FROM both_ways UNION SELECT b.dst, r.label FROM reach r JOIN both_ways b ON b.src = r.id WHERE r.label <= b.dst),
-labels AS (SELECT id, min(label) AS label FROM reach GROUP BY id)"""
+_WCC = """both_ways AS (SELECT src, dst FROM bipartite UNION ALL SELECT dst, src FROM bipartite),
+labels(id, label) USING KEY (id) AS (SELECT DISTINCT src, src FROM both_ways UNION SELECT b.dst, min(w.label) FROM labels w JOIN both_ways b ON b.src = w.id JOIN recurring.labels r ON r.id = b.dst WHERE w.label < r.label GROUP BY b.dst)"""
 
 
 @_q(f"WITH {_WCC} SELECT id, label FROM labels", "bipartite", True)
@@ -196,7 +196,11 @@ def x06_failures(s, d):
     return gr.run_waves(v, domain.heap(s, d), failing)
 
 
-_TRAVERSE = "ok AS (SELECT * FROM trade WHERE src % 6 <> 5 AND dst % 6 <> 5), " + _BFS.format(root=2, edges="ok", most=25) + ", depths AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
+def _start(s, d) -> DataFrame:
+    return domain.trade(s, d).where("src % 6 <> 5 and dst % 6 <> 5").agg(F.min("src").alias("id"))
+
+
+_TRAVERSE = "ok AS (SELECT * FROM trade WHERE src % 6 <> 5 AND dst % 6 <> 5), " + _BFS.format(root="(SELECT min(src) FROM ok)", edges="ok", most=25) + ", depths AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
 
 
 @_q(
@@ -205,7 +209,7 @@ _TRAVERSE = "ok AS (SELECT * FROM trade WHERE src % 6 <> 5 AND dst % 6 <> 5), "
     True,
 )
 def x07_traversal(s, d):
-    return gr.traverse(domain.nations(s, d), domain.trade(s, d), _ids(s, 2), F.col("id") % 6 != 5, F.col("id") % 7 == 3, 2)
+    return gr.traverse(domain.nations(s, d), domain.trade(s, d), _start(s, d), F.col("id") % 6 != 5, F.col("id") % 7 == 3, 2)
 
 
 @_q(f"WITH {_WCC} SELECT DISTINCT id FROM labels WHERE id NOT IN (SELECT dst FROM bipartite)", "bipartite", True)
@@ -216,7 +220,7 @@ def x08_default_roots(s, d):
 
 @_q(f"WITH {_TRAVERSE} SELECT depth, count(*) AS nodes, count(*) FILTER (depth > 2) AS marked_only FROM depths GROUP BY depth", "trade", True)
 def x09_too_deep(s, d):
-    out = gr.traverse(domain.nations(s, d), domain.trade(s, d), _ids(s, 2), F.col("id") % 6 != 5, F.lit(False), 2).where("depth is not null")
+    out = gr.traverse(domain.nations(s, d), domain.trade(s, d), _start(s, d), F.col("id") % 6 != 5, F.lit(False), 2).where("depth is not null")
     return out.groupBy("depth").agg(F.count("*").alias("nodes"), F.count_if(F.col("outcome") == "too_deep").alias("marked_only"))
 
 

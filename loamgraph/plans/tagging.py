@@ -51,12 +51,11 @@ def _t(k: int) -> str:
 _COLS = "tenant_id, entity_type, entity_id, min(entity_seq) AS entity_seq"
 
 
-@_q("WITH hit AS (SELECT tenant_id, tag_id, name_norm, deleted FROM tag_current WHERE name_norm LIKE 'a%') SELECT tenant_id, tag_id, name_norm, deleted FROM hit", "tag_current")
+@_q("SELECT tenant_id, tag_id, name_norm, deleted FROM tag_current WHERE (tenant_id, tag_id) IN (SELECT (tenant_id, tag_id) FROM assignments)", "tag_current assignments")
 def t01_find_tags(s, d):
-    """By id a deleted tag is seen, by name only a live one; here the id set of names with an a."""
-    tags = domain.tag_current(s, d)
-    ids = tags.where(F.col("name_norm").startswith("a")).select("tenant_id", "tag_id")
-    return tags.join(ids, ["tenant_id", "tag_id"], "left_semi").select("tenant_id", "tag_id", "name_norm", "deleted")
+    """By id a deleted tag is seen, by name only a live one; here the ids of all tags in use."""
+    ids = domain.assignments(s, d).select("tenant_id", "tag_id").distinct()
+    return domain.tag_current(s, d).join(ids, ["tenant_id", "tag_id"], "left_semi").select("tenant_id", "tag_id", "name_norm", "deleted")
 
 
 @_q(f"WITH {_TERMS} SELECT tag_id, name_norm FROM tag_current WHERE tenant_id = (SELECT tenant_id FROM busiest) AND NOT deleted AND starts_with(name_norm, 'm') AND name_norm > 'mb' ORDER BY name_norm, tag_id LIMIT 21", "assignments tag_current")
@@ -120,10 +119,10 @@ def t09_search_bitmaps(s, d):
     return ts.search_bitmaps(ts.postings(rows), ts.TagQuery(any={t[0], t[1]}, none={t[2]}))
 
 
-@_q("SELECT tenant_id, source_shard, entity_seq, min(entity_type || '/' || entity_id) AS entity FROM entity_tags WHERE entity_seq % 100 = 7 GROUP BY ALL")
+@_q("SELECT tenant_id, source_shard, entity_seq, min(entity_type || '/' || entity_id) AS entity FROM entity_tags GROUP BY ALL")
 def t10_resolve_entities(s, d):
     rows = table(s, d, "entity_tags")
-    asked = rows.where("entity_seq % 100 = 7").select("tenant_id", "source_shard", "entity_seq").distinct()
+    asked = rows.select("tenant_id", "source_shard", "entity_seq").distinct()
     named = rows.groupBy("tenant_id", "source_shard", "entity_seq").agg(F.min(F.concat("entity_type", F.lit("/"), "entity_id")).alias("entity"))
     return named.join(asked, ["tenant_id", "source_shard", "entity_seq"], "left_semi")
 
@@ -170,52 +169,59 @@ def t15_normalize_full(s, d):
 _KEYS = ["tenant_id", "entity_type", "entity_id", "tag_id"]
 
 
-@_q("SELECT DISTINCT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE entity_seq % 10 = 3 AND (tenant_id, entity_type, entity_id, tag_id) NOT IN (SELECT (tenant_id, entity_type, entity_id, tag_id) FROM assignments WHERE entity_seq % 2 = 0)", "assignments")
+CUT = "2025-01-01"
+
+
+@_q(f"SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE first_at >= TIMESTAMP '{CUT}'", "assignments")
 def t20_attach(s, d):
+    """All assignments attached to the state before the cut: what is really added."""
     a = domain.assignments(s, d)
-    return ts.attach(a.where("entity_seq % 2 = 0"), a.where("entity_seq % 10 in (3, 4)"), _KEYS)
+    return ts.attach(a.where(f"first_at < timestamp_ntz'{CUT}'"), a, _KEYS)
 
 
-@_q("SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE entity_seq % 2 = 0 AND entity_seq % 5 = 4", "assignments")
+@_q("SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE (tenant_id, tag_id) IN (SELECT (tenant_id, tag_id) FROM tag_current WHERE deleted)", "assignments tag_current")
 def t21_detach(s, d):
+    """The assignments of deleted tags, and some that don't exist, detached."""
     a = domain.assignments(s, d)
-    return ts.detach(a.where("entity_seq % 2 = 0"), a.where("entity_seq % 5 = 4"), _KEYS)
+    dead = domain.tag_current(s, d).where("deleted").select("tenant_id", "tag_id")
+    unwanted = a.join(dead, ["tenant_id", "tag_id"], "left_semi").select(*_KEYS)
+    return ts.detach(a, unwanted.union(unwanted.withColumn("tag_id", -F.col("tag_id"))), _KEYS)
 
 
 @_q(
-    """WITH want AS (SELECT DISTINCT tenant_id, entity_type, entity_id, tag_id + 1 AS tag_id FROM assignments WHERE entity_seq % 50 = 1 UNION SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE entity_seq % 50 = 1 AND tag_id % 2 = 0),
-had AS (SELECT a.tenant_id, a.entity_type, a.entity_id, a.tag_id FROM assignments a WHERE (a.tenant_id, a.entity_type, a.entity_id) IN (SELECT (tenant_id, entity_type, entity_id) FROM want))
+    """WITH want AS (SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments WHERE (tenant_id, tag_id) NOT IN (SELECT (tenant_id, tag_id) FROM tag_current WHERE deleted) UNION SELECT tenant_id, entity_type, entity_id, -entity_seq FROM assignments),
+had AS (SELECT tenant_id, entity_type, entity_id, tag_id FROM assignments)
 SELECT *, 'ADDED' AS change FROM (SELECT * FROM want EXCEPT SELECT * FROM had) UNION ALL SELECT *, 'REMOVED' FROM (SELECT * FROM had EXCEPT SELECT * FROM want)""",
-    "assignments",
+    "assignments tag_current",
 )
 def t22_replace(s, d):
+    """Every entity's tags replaced by its tags that are not deleted and a new one."""
     a = domain.assignments(s, d)
-    some = a.where("entity_seq % 50 = 1").select(*_KEYS)
-    want = some.withColumn("tag_id", F.col("tag_id") + 1).union(some.where("tag_id % 2 = 0"))
+    want = ts.purge(a, domain.tag_current(s, d)).select(*_KEYS).union(a.select("tenant_id", "entity_type", "entity_id", -F.col("entity_seq")))
     return ts.replace_tags(a, want, ts.ENTITY)
 
 
-@_q(f"WITH {_TERMS}, e AS (SELECT DISTINCT tenant_id, entity_type, entity_id FROM mine WHERE entity_seq % 4 = 0) SELECT e.tenant_id, e.entity_type, e.entity_id, t.tag_id FROM e, (SELECT tag_id FROM terms WHERE k <= 3) t EXCEPT SELECT tenant_id, entity_type, entity_id, tag_id FROM mine", "assignments")
+@_q(f"WITH {_TERMS}, e AS (SELECT DISTINCT tenant_id, entity_type, entity_id FROM mine) SELECT e.tenant_id, e.entity_type, e.entity_id, t.tag_id FROM e, (SELECT tag_id FROM terms WHERE k <= 3) t EXCEPT SELECT tenant_id, entity_type, entity_id, tag_id FROM mine", "assignments")
 def t23_bulk_attach(s, d):
     mine, ids = _mine(s, d)
-    return ts.bulk_attach(mine, mine.where("entity_seq % 4 = 0").select(*ts.ENTITY), ids[:3], _KEYS)
+    return ts.bulk_attach(mine, mine.select(*ts.ENTITY), ids[:3], _KEYS)
 
 
-@_q("SELECT tenant_id, tag_id, CAST(sum(CASE WHEN entity_seq % 3 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS delta FROM assignments WHERE entity_seq % 3 < 2 GROUP BY ALL HAVING sum(CASE WHEN entity_seq % 3 = 0 THEN 1 ELSE -1 END) <> 0", "assignments")
+@_q(f"SELECT tenant_id, tag_id, CAST(sum(CASE WHEN first_at >= TIMESTAMP '{CUT}' THEN 1 ELSE -1 END) AS BIGINT) AS delta FROM assignments GROUP BY ALL HAVING sum(CASE WHEN first_at >= TIMESTAMP '{CUT}' THEN 1 ELSE -1 END) <> 0", "assignments")
 def t24_usage_deltas(s, d):
-    a = domain.assignments(s, d).where("entity_seq % 3 < 2")
-    return ts.usage_deltas(a.withColumn("change", F.when(F.col("entity_seq") % 3 == 0, "ADDED").otherwise("REMOVED")))
+    a = domain.assignments(s, d)
+    return ts.usage_deltas(a.withColumn("change", F.when(F.col("first_at") >= F.expr(f"timestamp_ntz'{CUT}'"), "ADDED").otherwise("REMOVED")))
 
 
 @_q(
-    """WITH edits AS (SELECT tenant_id, tag_id, version - CASE WHEN tag_id % 7 = 0 THEN 1 ELSE 0 END AS expected_version, 'fresh ' || tag_id AS name_norm, tag_id % 5 = 0 AS remove, version, deleted, name_norm AS had FROM tag_current WHERE tag_id % 3 = 0)
+    """WITH edits AS (SELECT tenant_id, tag_id, version - CASE WHEN tag_id % 7 = 0 THEN 1 ELSE 0 END AS expected_version, 'fresh ' || tag_id AS name_norm, tag_id % 5 = 0 AS remove, version, deleted, name_norm AS had FROM tag_current)
 SELECT tenant_id, tag_id, CASE WHEN deleted THEN 'NOT_FOUND' WHEN version <> expected_version THEN 'CONFLICT' ELSE 'APPLIED' END AS outcome, CASE WHEN NOT deleted AND version = expected_version THEN version + 1 END AS version,
 CASE WHEN NOT deleted AND version = expected_version THEN CASE WHEN remove THEN had || '~' || tag_id ELSE name_norm END END AS name_norm FROM edits""",
     "tag_current",
 )
 def t25_tag_edits(s, d):
     tags = domain.tag_current(s, d)
-    edits = tags.where("tag_id % 3 = 0").select("tenant_id", "tag_id", (F.col("version") - (F.col("tag_id") % 7 == 0).cast("int")).alias("expected_version"), F.concat(F.lit("fresh "), "tag_id").alias("name_norm"), (F.col("tag_id") % 5 == 0).alias("delete"))
+    edits = tags.select("tenant_id", "tag_id", (F.col("version") - (F.col("tag_id") % 7 == 0).cast("int")).alias("expected_version"), F.concat(F.lit("fresh "), "tag_id").alias("name_norm"), (F.col("tag_id") % 5 == 0).alias("delete"))
     return ts.apply_tag_edits(tags, edits)
 
 

@@ -163,14 +163,14 @@ def h12_editable(s, d):
 
 
 @_q(
-    "WITH e AS (SELECT tenant_id, node_id, version, status, title AS had, version - CASE WHEN (node_id >> 22) % 6 = 0 THEN 1 ELSE 0 END AS expected_version, (['TITLE', 'TRASH', 'RESTORE'])[(node_id >> 22) % 3 + 1] AS action FROM node_current WHERE (node_id >> 22) % 2 = 0), o AS (SELECT *, CASE WHEN version <> expected_version THEN 'STALE' WHEN action = 'TRASH' AND status = 'TRASHED' OR action = 'RESTORE' AND status = 'ACTIVE' THEN 'NO_CHANGE' ELSE 'APPLIED' END AS outcome FROM e) SELECT tenant_id, node_id, outcome, CAST(version + CASE WHEN outcome = 'APPLIED' THEN 1 ELSE 0 END AS INTEGER) AS version, CASE WHEN outcome = 'APPLIED' AND action = 'TRASH' THEN 'TRASHED' WHEN outcome = 'APPLIED' AND action = 'RESTORE' THEN 'ACTIVE' ELSE status END AS status, CASE WHEN outcome = 'APPLIED' AND action = 'TITLE' THEN 'new title' ELSE had END AS title FROM o",
+    "WITH e AS (SELECT tenant_id, node_id, version, status, title AS had, version - CASE WHEN (node_id >> 22) % 6 = 0 THEN 1 ELSE 0 END AS expected_version, (['TITLE', 'TRASH', 'RESTORE'])[(node_id >> 22) % 3 + 1] AS action FROM node_current), o AS (SELECT *, CASE WHEN version <> expected_version THEN 'STALE' WHEN action = 'TRASH' AND status = 'TRASHED' OR action = 'RESTORE' AND status = 'ACTIVE' THEN 'NO_CHANGE' ELSE 'APPLIED' END AS outcome FROM e) SELECT tenant_id, node_id, outcome, CAST(version + CASE WHEN outcome = 'APPLIED' THEN 1 ELSE 0 END AS INTEGER) AS version, CASE WHEN outcome = 'APPLIED' AND action = 'TRASH' THEN 'TRASHED' WHEN outcome = 'APPLIED' AND action = 'RESTORE' THEN 'ACTIVE' ELSE status END AS status, CASE WHEN outcome = 'APPLIED' AND action = 'TITLE' THEN 'new title' ELSE had END AS title FROM o",
     "node_current",
 )
 def h14_edits(s, d):
     n = domain.node_current(s, d)
     k = F.shiftright("node_id", 22)
     action = F.element_at(F.array(F.lit("TITLE"), F.lit("TRASH"), F.lit("RESTORE")), (k % 3 + 1).cast("int"))
-    edits = n.where(k % 2 == 0).select("tenant_id", "node_id", (F.col("version") - (k % 6 == 0).cast("int")).alias("expected_version"), action.alias("action"), F.lit("new title").alias("title"))
+    edits = n.select("tenant_id", "node_id", (F.col("version") - (k % 6 == 0).cast("int")).alias("expected_version"), action.alias("action"), F.lit("new title").alias("title"))
     return tree.apply_edits(n, edits)
 
 

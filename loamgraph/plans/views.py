@@ -1,15 +1,15 @@
 """SQL twins of ``loamgraph.sources.domain``: name -> common table expression."""
 
 VIEWS = {
-    "trade": "SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (s_nationkey * 31 + c_nationkey * 17) % 9 = 0 GROUP BY ALL",
+    "trade": "SELECT src, dst, weight FROM (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) QUALIFY weight > 1.25 * avg(weight) OVER ()",
     "nations": "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS ord FROM nation",
     "heap_nodes": "SELECT event_id AS id, event_id AS ord FROM events WHERE event_id >= 1",
     "heap": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2",
     "heap_cyclic": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2 UNION ALL SELECT event_id, event_id >> 2 FROM events WHERE event_id >= 400 AND event_id % 97 = 0 AND event_id < 1500",
-    "bipartite": "SELECT DISTINCT l_orderkey AS src, -l_partkey - 1 AS dst FROM lineitem WHERE l_partkey % 40 = 0",
+    "bipartite": "SELECT DISTINCT l_orderkey AS src, -l_partkey - 1 AS dst FROM lineitem",
     "tag_current": "SELECT * FROM tags QUALIFY row_number() OVER (PARTITION BY tenant_id, tag_id ORDER BY version DESC, updated_at DESC, deleted DESC, name DESC, color DESC NULLS LAST) = 1",
     "node_current": "SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY tenant_id, node_id ORDER BY version DESC, updated_at DESC) = 1",
-    "assignments": "SELECT tenant_id, entity_type, entity_id, tag_id, min(entity_seq) AS entity_seq FROM entity_tags WHERE tag_id IS NOT NULL GROUP BY ALL",
+    "assignments": "SELECT tenant_id, entity_type, entity_id, tag_id, min(entity_seq) AS entity_seq, min(created_at) AS first_at FROM entity_tags WHERE tag_id IS NOT NULL GROUP BY ALL",
     "tag_log": "SELECT event_id + 1 AS seq, 's' || (user_id % 2) AS shard, 't' || (user_id % 3) AS tenant, CASE WHEN event_type = 'error' THEN 'TAGS_DETACHED' ELSE 'TAGS_ATTACHED' END AS type, event_type || ':' || (user_id % 10) AS tag, ts AS at_time FROM events",
     "fetches": r"""SELECT DISTINCT doc_id, regexp_extract(hit, 'host=(\S+)', 1) AS host, regexp_extract(hit, 'path=(\S+)', 1) AS path, CAST(regexp_extract(hit, 'status=(\d+)', 1) AS INTEGER) AS status, CAST(replace(regexp_extract(hit, 'bytes=([\d,]+)', 1), ',', '') AS BIGINT) AS bytes
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'fetch host=\S+ path=\S+ status=\d+ bytes=[\d,]+')) AS hit FROM documents WHERE text IS NOT NULL)""",

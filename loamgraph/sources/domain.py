@@ -13,14 +13,15 @@ from loamgraph.sources.tables import table
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Nations that supply nations: ``(src, dst, weight)``, thinned by a fixed residue."""
+    """Nations that supply nations well above the average: ``(src, dst, weight)``."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = joined.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    return pairs.where((F.col("src") * 31 + F.col("dst") * 17) % 9 == 0).select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight")
+    least = pairs.agg(F.avg("weight")).scalar() * 1.25
+    return pairs.where(F.col("weight") > least).select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight")
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +43,8 @@ def heap_cyclic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bipartite(spark: SparkSession, d: str) -> DataFrame:
-    """Orders and parts (as negative ids) of a fixed part residue."""
-    return table(spark, d, "lineitem").where("l_partkey % 40 = 0").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+    """Orders and the parts (as negative ids) they hold."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
 
 
 def tag_current(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +56,9 @@ def node_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct assignments with the entity's dense number."""
+    """Distinct assignments with the entity's dense number and the first time."""
     rows = table(spark, d, "entity_tags").where("tag_id is not null")
-    return rows.groupBy("tenant_id", "entity_type", "entity_id", "tag_id").agg(F.min("entity_seq").alias("entity_seq"))
+    return rows.groupBy("tenant_id", "entity_type", "entity_id", "tag_id").agg(F.min("entity_seq").alias("entity_seq"), F.min("created_at").alias("first_at"))
 
 
 def tag_log(spark: SparkSession, d: str) -> DataFrame:
