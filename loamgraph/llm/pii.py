@@ -52,6 +52,11 @@ ORDINARY = set(
     sapphire scarlet shadow silent silver sky small snow solar south sparrow spring star steel stone storm summer summit sun swan swift switch
     teal thunder tiger timber topaz tower trail turquoise twin valley velvet violet wave west white wild willow wind winter wolf yellow""".split()
 )
+TECHNICAL = set(
+    """audit backlog bad board bulk cache change code content dark design draft edit error errors export found freeze gateway grid header import
+    incident index internal kernel length live mode moved not pack permanently planning preview redirect release report request response review
+    search server service shadow smart sprint status temporary timeout timeouts trail train unavailable""".split()
+)
 FUNCTION = set(
     """a about after all an and another any are as at be been before beside between both but by by can could during each every few for from had has have
     he her his how i if in into is it its may might more most must my near nearby no not now of off on once one only or other our out over read
@@ -77,6 +82,12 @@ HOUSE_FIRST = re.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/=-])\d{{1,5}}[a-zA-Z]?,?[  
 HOUSE_LAST = re.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|calle)[  ]|{_CAP},[  ])*(?:{_CAP}|{_CAP}\.),?[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?![\p{{L}}\p{{N}}_/:.,-]*[\p{{L}}\p{{N}}])")
 RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}_.@/=&;-])(?:{_CAP}|\p{{Lu}}\.)(?:,?[  ](?:{_CAP}|\p{{Lu}}\.(?!\p{{L}})|{_PART}(?=[  ]\p{{Lu}})))+(?![\p{{L}}\p{{N}}_@=/-]|\.\p{{L}})")
 TOKEN = re.compile(r"[^  ]+")
+MAY_HOLD_EMAIL = re.compile(r"(?i)[\[({<]\s*(?:at|ät|arroba)\s*[\])}>]| at \S+ dot |&#|&commat|%40|[@＠]")
+CUT_AFTER, CUT_BEFORE = re.compile(r"[  .\-‑]\(?\d"), re.compile(r"\d[  .\-‑]?$")
+IPV4, DATE = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"), re.compile(r"(?:19|20)\d\d[-/.]\d\d[-/.]\d\d")
+ZEROS, SEPARATORS = re.compile(r"0+"), re.compile(r"[0A]")
+AT, DOT = re.compile(_AT), re.compile(_DOT)
+CAPITAL_NEXT, CAPITAL_BEFORE = re.compile(r"[  ]\p{Lu}"), re.compile(r"(\p{Lu}[\p{L}'’-]*,?)[  ]$")
 WORD = re.compile(r"\p{L}[\p{L}'’.-]*\p{L}|\p{L}|\d+|[^\s\p{L}\p{N}]|\n")
 
 
@@ -92,7 +103,7 @@ def _windows(text: str, start: int, end: int, low: int, high: int) -> Iterator[t
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """All proposed (start, end, kind), at most ``MAX_SPAN`` characters each."""
     out = set()
-    if "@" in text or "＠" in text or re.search(r"(?i)[\[({<]\s*(?:at|ät|arroba)\s*[\])}>]| at \S+ dot |&#|&commat|%40", text):
+    if MAY_HOLD_EMAIL.search(text):
         for m in EMAIL.finditer(text):
             out.add((m.start(), m.end(), "email"))
     for m in NUMBER.finditer(text):
@@ -125,7 +136,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 
 
 def _shape(piece: str) -> str:
-    return re.sub(r"[  ]", " ", re.sub(r"[‐-–]", "-", re.sub(r"\p{Lu}", "A", re.sub(r"\p{Ll}", "a", re.sub(r"\d", "0", piece)))))
+    """Digits as 0, letters as A or a, dashes and spaces alike."""
+    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" if c in "‐‑‒–" else " " if c in "  " else c for c in piece)
 
 
 def _loud(piece: str) -> bool:
@@ -154,24 +166,24 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
     out += [f"near={w}" for w in words]
     if kind in ("phone", "id_number"):
         shape = _shape(piece)
-        lens = [len(g) for g in re.findall(r"0+", shape)]
+        lens = [len(g) for g in ZEROS.findall(shape)]
         # runs of digits matter by length, so one format with other separators looks alike
-        out += [f"shape={shape}", f"lens={'-'.join(map(str, lens))}", f"digits={sum(lens)}", f"start={piece[:2] if piece[0] in '+(0' else piece[0] if kind == 'phone' else ''}", f"sep={''.join(sorted(set(re.sub(r'[0A]', '', shape))))}"]
-        out += ["cut"] if re.match(r"[  .\-‑]\(?\d", text[end : end + 3]) else []
-        out += ["cutleft"] if re.search(r"\d[  .\-‑]?$", text[max(0, start - 2) : start]) else []
-        out += ["ip"] if re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", piece) else []
-        out += ["date"] if re.match(r"(?:19|20)\d\d[-/.]\d\d[-/.]\d\d", piece) else []
+        out += [f"shape={shape}", f"lens={'-'.join(map(str, lens))}", f"digits={sum(lens)}", f"start={piece[:2] if piece[0] in '+(0' else piece[0] if kind == 'phone' else ''}", f"sep={''.join(sorted(set(SEPARATORS.sub('', shape))))}"]
+        out += ["cut"] if CUT_AFTER.match(text, end) else []
+        out += ["cutleft"] if CUT_BEFORE.search(text[max(0, start - 2) : start]) else []
+        out += ["ip"] if IPV4.fullmatch(piece) else []
+        out += ["date"] if DATE.match(piece) else []
     elif kind == "email":
-        host = re.split(_AT, piece)[-1]
-        tld = re.split(_DOT, host)[-1]
-        out += ["tld=alpha" if tld.isalpha() and len(tld) > 1 else "tld=odd", f"at={re.search(_AT, piece)[0].strip()[:1]}"]
+        host = AT.split(piece)[-1]
+        tld = DOT.split(host)[-1]
+        out += ["tld=alpha" if tld.isalpha() and len(tld) > 1 else "tld=odd", f"at={AT.search(piece)[0].strip()[:1]}"]
         out += ["plainat"] if " at " in piece.lower() and "@" not in piece and "[" not in piece and "(" not in piece else []
     else:
         toks = piece.replace(",", "").split()
         low = [t.lower() for t in toks]
-        follows = re.match(r"[  ]\p{Lu}", text[end : end + 2])
+        follows = CAPITAL_NEXT.match(text, end)
         # a capital right before belongs to the same run, unless it begins the sentence
-        before = re.search(r"(\p{Lu}[\p{L}'’-]*,?)[  ]$", text[max(0, start - 30) : start])
+        before = CAPITAL_BEFORE.search(text[max(0, start - 30) : start])
         out += [f"n={len(toks)}", f"follows={bool(follows)}", f"before={bool(before)}"]
         out += ["linestart"] if not text[:start].strip(" ") or text[start - 1] == "\n" else []
         out += ["lineend"] if end == len(text) or text[end] in "\n<" else []
@@ -179,7 +191,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
             given = [w.split("-")[0] in GIVEN for w in low]
             inverted = "," in piece
             first = given[-1] if inverted else given[0]
-            out += [f"given={first}", f"inverted={inverted}", f"giveninv={inverted}{first}", f"ordinary={sum(w in ORDINARY for w in low)}", f"upper={piece.isupper()}", f"initials={sum(len(w) == 2 and w[1] == '.' for w in low)}"]
+            out += [f"given={first}", f"inverted={inverted}", f"giveninv={inverted}{first}", f"ordinary={sum(w in ORDINARY for w in low)}", f"technical={sum(w in TECHNICAL for w in low)}", f"upper={piece.isupper()}", f"initials={sum(len(w) == 2 and w[1] == '.' for w in low)}"]
             out += [f"case={'/'.join('I' if len(t) == 2 and t[1] == '.' else 'U' if t.isupper() else 'C' if t[0].isupper() else 'l' for t in toks)}"]
             out += [f"head={low[0]}", f"tail={low[-1]}", f"function={sum(w in FUNCTION for w in (low[0], low[-1]))}"]
             out += [f"shouted={piece.isupper()}{_loud(text[max(0, start - 12) : start])}{_loud(text[end : end + 12])}"]

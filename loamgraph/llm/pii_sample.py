@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-from loamgraph.llm.pii import GIVEN, ORDINARY
+from loamgraph.llm.pii import GIVEN, ORDINARY, TECHNICAL
 
 ONSET = "b br c d f g gr h j k l m n p pr qu r s sh st t tr v w z".split()
 VOWEL = "a e i o u ä ö ei ia".split()
@@ -26,7 +26,6 @@ MONTHS = "January February March April May June July August September October No
 GERMAN = "Bereich Zähler Ordner Knoten Lauf Auftrag Fehler Seite Suche Umzug Zeiger Eintrag Speicher Dienst Warteschlange Sperre Prüfung Tabelle Woche Vorgang Antwort Datei Wert Name Schlüssel Abgleich Verzeichnis Bericht Ansicht Stand".split()
 VERBS = "Löschen Umbenennen Kopieren Prüfen Verschieben Zählen Laden Schreiben Lesen Starten Anlegen Ändern".split()
 PLAIN = "the closed reader moved page folder under load while others counted from memory near this queue by hand which author renamed first some batch was split twice no worker asked why its label stayed open until seven links were lost at noon against all advice".split()
-THINGS = "Gateway Request Response Server Cache Timeout Timeouts Error Errors Found Moved Temporary Redirect Permanently Internal Bad Not Unavailable Service Content Length Header Sprint Review Planning Shadow Index Release Train Change Board Code Freeze Design Backlog Incident Status Report Dark Mode Search Preview Draft Export Pack Kernel Bulk Edit Smart Import Live Grid Audit Trail".split()
 
 
 class Maker:
@@ -34,6 +33,7 @@ class Maker:
         self.r = random.Random(seed)
         self.given = sorted(GIVEN)
         self.ordinary = sorted(ORDINARY)
+        self.technical = sorted(TECHNICAL)
 
     def syllables(self, n: int) -> str:
         r = self.r
@@ -147,10 +147,12 @@ class Maker:
         """Capitals that name nobody: German nouns, shouted sentences, features."""
         r = self.r
         g, v, n = (lambda: r.choice(GERMAN)), (lambda: r.choice(VERBS)), r.randint(1, 900)
-        th = lambda: f"{r.choice(THINGS)} {r.choice(THINGS)}"
+        th = lambda: f"{r.choice(self.technical)} {r.choice(self.technical)}".title()
         x = r.random()
-        if x < 0.3:
-            return " ".join(r.choice(PLAIN) for _ in range(r.randint(6, 14))).upper() + (", " + " ".join(r.choice(PLAIN) for _ in range(5)).upper() if r.random() < 0.5 else "")
+        if x < 0.4:
+            loud = lambda k: " ".join(r.choice(PLAIN) for _ in range(k)).upper()
+            out = r.choice((f"{loud(2)}, {loud(r.randint(4, 9))}", f"{loud(r.randint(6, 14))}", f"{loud(r.randint(3, 9))}, {loud(r.randint(2, 6))}", f"{loud(r.randint(4, 9))}, AND {loud(r.randint(1, 3))}"))
+            return out + (f" {r.choice(('Someone', 'Readers', 'Node', 'Tag', 'The', 'Version', 'When'))} {' '.join(r.choice(PLAIN) for _ in range(4))}" if r.random() < 0.4 else "")
         return r.choice(
             [
                 f"Der {g()} für {n} Fälle stieg", f"Falls der {g()} leer ist, bitte warten", f"Nach dem {g()} des {g()}s fehlten {n} {g()}e", f"Beim {v()} von {g()}n half der {g()}", f"Bitte den {g()} erst morgen wiederholen", f"Version 3.1.2 behebt den Fehler beim {v()} von {g()}n", f"Die {g()} war leer, danach kamen {n} neue {g()}en",
