@@ -11,6 +11,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,23 @@ def build_session(app: str = "loamgraph", master: str | None = None, **conf: str
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers, wherever they run; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loam_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(), "loamgraph.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("loamgraph", os.path.relpath(full, here)))
+    sc.addPyFile(name)  # the driver serves the file to its executors
+    sc._loam_shipped = True  # noqa: SLF001
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
