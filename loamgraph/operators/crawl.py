@@ -140,6 +140,48 @@ def resolve(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     return at.select("id", F.when(F.col("ok"), F.col("at")).alias("target"))
 
 
+def follow_redirects(nodes: DataFrame, max_hops: int = 5) -> DataFrame:
+    """``(id, target, outcome)``: FETCHED behind at most ``max_hops`` redirects, TOO_MANY hops, a LOOP back or a target that is GONE.
+
+    ``nodes(id, next)`` with null ``next`` where a page answers itself.
+    """
+    ends = resolve(nodes.select("id", "next", F.col("next").isNull().alias("has_content")), max_hops + 1)
+    # where no page was reached the walk says why: doubling would overshoot a loop, so hops are taken one by one
+    step = nodes.select(F.col("id").alias("k"), F.col("next").alias("k_next"))
+    lost = ends.where("target is null").select("id").join(nodes.select("id", F.col("next").alias("at")), "id").withColumn("outcome", F.lit(None).cast("string"))
+    for _ in range(max_hops):
+        moved = lost.join(step, F.col("at") == F.col("k"), "left")
+        gone = F.when(F.col("k").isNull(), "GONE").when(F.col("at") == F.col("id"), "LOOP")
+        lost = moved.select("id", F.when(F.col("outcome").isNull(), F.col("k_next")).otherwise(F.col("at")).alias("at"), F.coalesce("outcome", gone).alias("outcome"))
+    why = lost.select("id", F.coalesce("outcome", F.lit("TOO_MANY")).alias("why"))
+    return ends.join(why, "id", "left").select("id", "target", F.coalesce("why", F.lit("FETCHED")).alias("outcome"))
+
+
+def sitemap_crawl(pages: DataFrame, sitemap: DataFrame, links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """``(page_id, depth, recorded)``: breadth first over the sitemap's links, which are the scope; links in pages are only recorded.
+
+    A page that redirects goes on with its own successors in the sitemap.
+    """
+    known = pages.select(F.col("page_id").alias("k"))
+    arcs = sitemap.join(known, F.col("dst") == F.col("k"), "left_semi")
+    depth = relaxed_depths(arcs, roots, max_depth=max_depth)
+    n = links.groupBy("src").agg(F.count("*").alias("recorded"))
+    return depth.join(n, F.col("page_id") == F.col("src"), "left").select("page_id", "depth", F.coalesce("recorded", F.lit(0)).alias("recorded"))
+
+
+def graph_catalog(log: DataFrame) -> DataFrame:
+    """``(tenant, name, owner, status)`` of named graphs from ``(tenant, name, seq, owner, action)``.
+
+    The first registration owns a name; only its owner's first READY or FAILED
+    after it counts; until then the graph is LOADING.
+    """
+    key = ["tenant", "name"]
+    first = log.where("action = 'REGISTER'").groupBy(*key).agg(F.min("seq").alias("reg"), F.min_by("owner", "seq").alias("own"))
+    done = log.where("action in ('READY', 'FAILED')").join(first, key).where((F.col("owner") == F.col("own")) & (F.col("seq") > F.col("reg")))
+    ended = done.groupBy(*key).agg(F.min_by("action", "seq").alias("status"))
+    return first.join(ended, key, "left").select(*key, F.col("own").alias("owner"), F.coalesce("status", F.lit("LOADING")).alias("status"))
+
+
 def latest_snapshots(fetches: DataFrame, *key: str) -> DataFrame:
     """Newest content per key; at equal times the greatest hash."""
     best = F.max(F.struct("fetched_at", "hash")).alias("b")

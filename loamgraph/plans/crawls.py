@@ -251,6 +251,18 @@ def c24_canonical_and_redirects(s, d):
     return cr.relaxed_depths(domain.links(s, d).where("src % 13 <> 4"), p.where("page_id % 97 = 0"), free, 3)
 
 
+@_q(
+    "WITH n AS (SELECT page_id AS id, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 50 = 3 THEN page_id ELSE page_id + 1 END AS next FROM pages), walk AS (SELECT id, id AS at, 0 AS k FROM n UNION ALL SELECT w.id, n.next, k + 1 FROM walk w JOIN n ON n.id = w.at WHERE n.next IS NOT NULL AND k < 5), ends AS (SELECT w.id, max(CASE WHEN n.id IS NOT NULL AND n.next IS NULL THEN w.at END) AS target, bool_or(n.id IS NULL) AS gone, bool_or(k > 0 AND w.at = w.id) AS back FROM walk w LEFT JOIN n ON n.id = w.at GROUP BY w.id) SELECT id, target, CASE WHEN target IS NOT NULL THEN 'FETCHED' WHEN back THEN 'LOOP' WHEN gone THEN 'GONE' ELSE 'TOO_MANY' END AS outcome FROM ends",
+    "pages",
+    True,
+)
+def c25_redirects(s, d):
+    """Chains of redirects to the next page divisible by seven, with some that lead back to themselves."""
+    k = F.col("page_id")
+    nxt = F.when(k % 7 == 0, F.lit(None)).when(k % 50 == 3, k).otherwise(k + 1)
+    return cr.follow_redirects(domain.pages(s, d).select(k.alias("id"), nxt.alias("next")))
+
+
 def _nodes(s, d) -> DataFrame:
     """Pages as crawl nodes: every thirteenth redirects to the next, duplicates point at their owner."""
     p = domain.pages(s, d)
@@ -371,6 +383,27 @@ def c40_sitemap_roots(s, d):
     return cr.sitemap_roots(rows)
 
 
+@_q(
+    "WITH walk AS (SELECT page_id, 0 AS depth FROM pages WHERE page_id % 97 = 0 UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.page_id WHERE l.pos < 2 AND w.depth < 4 AND l.dst IN (SELECT page_id FROM pages)), d AS (SELECT page_id, min(depth) AS depth FROM walk GROUP BY page_id) SELECT page_id, depth, (SELECT count(*) FROM links WHERE src = page_id) AS recorded FROM d",
+    "pages mentions links",
+    True,
+)
+def c41_sitemap_crawl(s, d):
+    """A sitemap made of each page's first two links."""
+    p, e = domain.pages(s, d), domain.links(s, d)
+    return cr.sitemap_crawl(p, e.where("pos < 2"), e, p.where("page_id % 97 = 0"), 4)
+
+
+@_q(
+    "WITH log AS (SELECT 't' || user_id % 4 AS tenant, 'g' || event_id % 200 AS name, event_id AS seq, 'u' || user_id % 3 AS owner, CASE event_type WHEN 'click' THEN 'REGISTER' WHEN 'view' THEN 'READY' WHEN 'error' THEN 'FAILED' END AS action FROM events), f AS (SELECT tenant, name, min(seq) AS reg, arg_min(owner, seq) AS owner FROM log WHERE action = 'REGISTER' GROUP BY ALL) SELECT f.tenant, f.name, f.owner, coalesce((SELECT arg_min(l.action, l.seq) FROM log l WHERE l.tenant = f.tenant AND l.name = f.name AND l.owner = f.owner AND l.seq > f.reg AND l.action IN ('READY', 'FAILED')), 'LOADING') AS status FROM f"
+)
+def c42_graph_catalog(s, d):
+    e = table(s, d, "events")
+    action = F.when(F.col("event_type") == "click", "REGISTER").when(F.col("event_type") == "view", "READY").when(F.col("event_type") == "error", "FAILED")
+    log = e.select(F.concat(F.lit("t"), F.col("user_id") % 4).alias("tenant"), F.concat(F.lit("g"), F.col("event_id") % 200).alias("name"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id") % 3).alias("owner"), action.alias("action"))
+    return cr.graph_catalog(log)
+
+
 @_q("SELECT host, count(*) AS pages FROM pages WHERE split_part(host, '.', 2) || '.example' = 'site2.example' GROUP BY host", "pages")
 def c43_scope(s, d):
     p = domain.pages(s, d)
