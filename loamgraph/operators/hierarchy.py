@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.orphans import current
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import hot_join, salted_join
 from loamgraph.session import Scratch
 
 BLOCK = 50_000
@@ -43,7 +43,7 @@ def linked_nodes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     own = scratch.keep(now.withColumn("nid", F.monotonically_increasing_id()).drop("updated_at", "version"))
     ids = own.select("tenant_id", F.col("node_id").alias("parent_id"), F.col("nid").alias("pid"))
     child = own.where("parent_id is not null").select("nid", "tenant_id", "parent_id")
-    links = salted_join(child, ids, ["tenant_id", "parent_id"], "nid", 8, "left").select("nid", "pid", F.col("pid").isNull().alias("dangling"))
+    links = hot_join(child, ids, ["tenant_id", "parent_id"], scratch, "left").select("nid", "pid", F.col("pid").isNull().alias("dangling"))
     joined = own.join(links.withColumnRenamed("nid", "l_nid"), F.col("nid") == F.col("l_nid"), "left").drop("l_nid")
     return scratch.keep(joined.withColumn("dangling", F.coalesce("dangling", F.lit(False))))
 

@@ -45,7 +45,7 @@ def reread_window(source: DataFrame, progress: DataFrame, open_for: timedelta) -
     """Rows from the oldest possibly open transaction on, marked ``processed`` or not."""
     rows = source.select(*ASSIGNMENT, *VERSION).where("tag_id is not null")
     scratch = Scratch(source.sparkSession, "window")
-    marked = sized_join(rows, governing(progress), ["tenant_id", "source_shard"], "entity_id", scratch, how="left")
+    marked = sized_join(rows, governing(progress), ["tenant_id", "source_shard"], scratch, how="left")
     oldest_open = F.col("updated_at") - F.expr(f"interval {int(open_for.total_seconds())} seconds")
     # written, as both the batch and the ledger's part of it come from it: the source is read once
     return scratch.keep(marked.where(beyond(oldest_open)).select(*ASSIGNMENT, *VERSION, (~beyond(F.col("updated_at"))).alias("processed")))

@@ -97,11 +97,11 @@ def faults(refs: DataFrame, state: DataFrame) -> DataFrame:
 
     The faulty keys come first, so only references to them are brought
     together.  Few faulty keys are broadcast and the references stay where they
-    are; many are joined with salts, so the references of one hot orphan meet it
-    in many tasks.
+    are; of many, those with a large share of the references still are, so no
+    task gathers the references of one hot orphan.
     """
     bad = orphan_keys(state).select(*KEY, "rows", "live", "target_at")
-    met = sized_join(refs, bad, list(KEY), "row_key", Scratch(refs.sparkSession, "orphans"))
+    met = sized_join(refs, bad, list(KEY), Scratch(refs.sparkSession, "orphans"))
     hit = met.groupBy("ref_table", "tenant_id", "row_key", "key", "rows", "live", "target_at").agg(F.min("ref_at").alias("ref_at"))
     reasons = F.filter(
         F.array(

@@ -26,20 +26,43 @@ def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str
     return left.join(right, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
-def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, scratch: Scratch, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``salted_join``, but without moving ``big`` where the unique side is small.
+def _meet(big: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Null-safe join that keeps the columns of ``big`` and adds those of ``right`` that are no keys."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return big.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", share: int = 1000) -> DataFrame:
+    """Join of ``big`` with a side that has one row per key, hot keys apart.
+
+    Keys with more than 1/``share`` of the rows, of which there are fewer than
+    ``share``, meet their rows by a broadcast; all others are shuffled once and no
+    task gets more than its part and one such key.  ``big`` is counted by key
+    first, so it should be stored or cheap to read.
+    """
+    total = big.count()
+    heavy = scratch.keep(big.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys))
+    if heavy.isEmpty():
+        return _meet(big, unique, keys, how)
+    few = F.broadcast(heavy)
+    hot_side = _meet(unique, few, keys, "left_semi")
+    hot = _meet(_meet(big, few, keys, "left_semi"), F.broadcast(hot_side), keys, how)
+    return hot.unionByName(_meet(_meet(big, few, keys, "left_anti"), unique, keys, how))
+
+
+def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The same, but without moving ``big`` where the unique side is small.
 
     The unique side is written and counted; up to ``limit`` rows it is
-    broadcast, beyond that both sides are shuffled with salts.
+    broadcast, beyond that ``hot_join`` takes over.
     """
     kept = scratch.keep(unique)
     if kept.count() > limit:
-        return salted_join(big, kept, keys, salt_by, how=how)
-    right = kept.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in kept.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return big.join(F.broadcast(right), on, how).drop(*[f"_r_{k}" for k in keys])
+        return hot_join(big, kept, keys, scratch, how)
+    return _meet(big, F.broadcast(kept), keys, how)
 
 
 def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) -> DataFrame:

@@ -85,7 +85,7 @@ def test_relay_gaps(spark):
 
 
 def test_hot_keys_join(spark):
-    from loamgraph.operators.skew import first_in_order, salted_join
+    from loamgraph.operators.skew import first_in_order, hot_join, salted_join, sized_join
     from loamgraph.session import Scratch
 
     big = spark.range(1000).selectExpr("if(id % 3 = 0, null, id % 2) as k", "id", "1 as v")
@@ -93,6 +93,14 @@ def test_hot_keys_join(spark):
     got = salted_join(big, small, ["k"], "id", 4)
     assert got.count() == big.where("k is null or k = 0").count() and got.columns == ["k", "id", "v", "what"]
     assert salted_join(big, small, ["k"], "id", 4, "left").count() == 1000
+    scratch = Scratch(spark, "hot")
+    for limit in (0, 100):  # shuffled with hot keys apart, and broadcast
+        assert sorted(map(str, sized_join(big, small, ["k"], scratch, limit=limit).collect())) == sorted(map(str, got.collect()))
+        left = sized_join(big, small, ["k"], scratch, "left", limit=limit)
+        assert left.count() == 1000 and left.where("what is null").count() == big.where("k = 1").count()
+    even = spark.range(50_000).selectExpr("id % 5000 as k", "id")  # no hot key
+    assert hot_join(even, small, ["k"], scratch, share=1000).count() == 10
+    assert hot_join(even.where("false"), small, ["k"], scratch).count() == 0
     big = spark.range(250_000).selectExpr("hash(id) as h", "id")
     cut = first_in_order(big, ["h", "id"], 120_000, Scratch(spark, "t"))
     assert cut.count() == 120_000 and cut.agg({"h": "max"}).first()[0] <= big.join(cut, "id", "left_anti").agg({"h": "min"}).first()[0]
