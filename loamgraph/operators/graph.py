@@ -205,20 +205,22 @@ def waves(vertices: DataFrame, edges: DataFrame, what: str = "waves") -> DataFra
     """
     scratch = Scratch(vertices.sparkSession, what)
     arcs = scratch.keep(edges.select("src", "dst").distinct())
-    need = scratch.keep(vertices.select("id").join(arcs.groupBy("dst").agg(F.count("*").alias("open")), F.col("id") == F.col("dst"), "left").select("id", F.coalesce("open", F.lit(0)).cast("long").alias("open")))
-    done = [scratch.keep(need.where("open = 0").select("id", F.lit(0).alias("round")))]
-    waiting = scratch.keep(need.where("open > 0"))
-    while not done[-1].isEmpty():
-        cut = arcs.join(done[-1].select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("n"))
-        left = scratch.keep(waiting.join(cut, F.col("id") == F.col("dst"), "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")))
-        done.append(scratch.keep(left.where("open = 0").select("id", F.lit(len(done)).alias("round"))))
-        scratch.drop(waiting)
-        waiting = scratch.keep(left.where("open > 0"))
-        scratch.drop(left)
-    out = done[0]
-    for x in done[1:]:
+    need = vertices.select("id").join(arcs.groupBy("dst").agg(F.count("*").alias("open")), F.col("id") == F.col("dst"), "left").select("id", F.coalesce("open", F.lit(0)).cast("long").alias("open"))
+    wave, waiting = scratch.keep_split(need.withColumn("ripe", F.col("open") == 0), "ripe")
+    done: list[DataFrame] = []
+    while wave is not None:
+        done.append(wave.select("id", F.lit(len(done)).alias("round")))
+        if waiting is None:
+            break
+        cut = arcs.join(wave.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("n"))
+        left = waiting.join(cut, F.col("id") == F.col("dst"), "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"))
+        before = waiting
+        wave, waiting = scratch.keep_split(left.withColumn("ripe", F.col("open") == 0), "ripe")
+        scratch.drop(before)
+    out = vertices.select("id", F.lit(None).cast("int").alias("round")).where("false") if waiting is None else waiting.select("id", F.lit(None).cast("int").alias("round"))
+    for x in done:
         out = out.union(x)
-    return out.union(waiting.select("id", F.lit(None).cast("int")))
+    return out
 
 
 def eligible(vertices: DataFrame, edges: DataFrame, policy: str = "ISOLATE_GROUP") -> DataFrame:

@@ -79,6 +79,27 @@ class Scratch:
         out._loam_path = path  # noqa: SLF001
         return out
 
+    def keep_split(self, df: DataFrame, flag: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """The rows where ``flag`` is true and those where it is false, written by one job; None for no rows.
+
+        Whether a part is empty is seen from the folder, without another job.
+        """
+        path = f"{self.base}/{self.made}"
+        self.made += 1
+        df.write.mode("overwrite").partitionBy(flag).parquet(path)
+        schema = df.drop(flag).schema
+        out = []
+        for value in ("true", "false"):
+            part = f"{path}/{flag}={value}"
+            out.append(self.spark.read.schema(schema).parquet(part) if self._exists(part) else None)
+            if out[-1] is not None:
+                out[-1]._loam_path = part  # noqa: SLF001
+        return out[0], out[1]
+
+    def _exists(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)  # noqa: SLF001
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_loam_path", None)
         if path:
