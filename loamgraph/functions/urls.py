@@ -297,7 +297,7 @@ def robots_policy_sql(status: Column) -> Column:
 class Bloom:
     """Membership without false negatives; sized for n keys at rate p, at most ``limit_bits`` bits."""
 
-    def __init__(self, n: int, p: float, limit_bits: int = 1 << 33):
+    def __init__(self, n: int, p: float, limit_bits: int = 1 << 30):
         import math
 
         import numpy as np
