@@ -8,6 +8,7 @@ where that setting is absent (tests, a laptop) a local folder is used.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -31,19 +32,24 @@ def build_session(app: str = "loamgraph", master: str | None = None, **conf: str
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes the package importable in Python workers, wherever they run; once per context."""
+    """Makes the package importable in Python workers, wherever they run: a zip in the shared folder, once per context."""
     sc = spark.sparkContext
     if getattr(sc, "_loam_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    name = os.path.join(tempfile.mkdtemp(), "loamgraph.zip")
-    with zipfile.ZipFile(name, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(here):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join("loamgraph", os.path.relpath(full, here)))
-    sc.addPyFile(name)  # the driver serves the file to its executors
+    name = f"{scratch_root(spark)}/loam-package-{uuid.uuid4().hex}/loamgraph.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(name)  # noqa: SLF001
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)  # noqa: SLF001
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(name)
     sc._loam_shipped = True  # noqa: SLF001
 
 
