@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import salted_join, sized_join
 from loamgraph.session import Scratch
 
 
@@ -379,19 +380,20 @@ def greedy_partition(vertices: list, neighbours: dict, parts: int, slack: float
     return home
 
 
-def place_groups(groups: DataFrame, parts: int) -> DataFrame:
+def place_groups(groups: DataFrame, parts: int, placed: list[int] | None = None) -> DataFrame:
     """Whole groups to parts, longest first to the lightest; ``(group, part, whole)``.
 
     ``groups(group, size)``.  Groups above ceil(V / parts) are marked to be split
-    (part null).  The group list is what one task can sort; sizes of whole
-    groups are at most V / parts each.
+    (part null); ``placed`` has the vertices that their split put in each part
+    (see ``place_nodes``).  The group list is what one task can sort; sizes of
+    whole groups are at most V / parts each.
     """
     total = groups.agg(F.sum("size")).scalar()
     marked = groups.withColumn("limit", F.ceil(total / F.lit(parts)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "group"], ascending=[False, True], kind="stable")
-        load, part = [0] * parts, []
+        load, part = list(placed or [0] * parts), []
         for size, limit in zip(pdf["size"], pdf["limit"], strict=True):
             if size > limit:
                 part.append(None)
@@ -404,6 +406,71 @@ def place_groups(groups: DataFrame, parts: int) -> DataFrame:
     return marked.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fill, "group long, part int, whole boolean")
 
 
+class _Near:
+    """Neighbour lists of the vertices 0..n-1 in two arrays."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        self.dst = dst[np.lexsort((dst, src))]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist()
+
+    def get(self, x: int, _=()) -> list[int]:
+        return self.dst[self.start[x] : self.start[x + 1]].tolist()
+
+
+def _split_group(vertices: pd.DataFrame, arcs: pd.DataFrame, parts: int, slack: float) -> pd.DataFrame:
+    """Vertices of one group to parts: breadth first from the first one, each by ``greedy_partition``."""
+    ids = vertices.sort_values(["ord", "id"])["id"].to_numpy()
+    n, by_id = len(ids), np.argsort(ids, kind="stable")
+    at = lambda c: by_id[np.searchsorted(ids, arcs[c].to_numpy(), sorter=by_id).clip(max=n - 1)]
+    src, dst = at("src"), at("dst")
+    inside = ids[dst] == arcs["dst"].to_numpy()
+    near = _Near(n, src[inside], dst[inside])
+    order, seen = [], bytearray(n)
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = 1
+        done = len(order)
+        order.append(root)
+        while done < len(order):
+            for y in near.get(order[done]):
+                if not seen[y]:
+                    seen[y] = 1
+                    order.append(y)
+            done += 1
+    home = greedy_partition(order, near, parts, slack)
+    return pd.DataFrame({"id": ids[list(home)], "group": vertices["group"].iloc[0], "part": list(home.values())})
+
+
+def place_nodes(members: DataFrame, edges: DataFrame, parts: int, slack: float = 0.1) -> DataFrame:
+    """Every vertex to a part, group by group; ``(id, group, part, whole)``.
+
+    ``members(id, ord, group)``.  Groups above ceil(V / parts) are split first, by
+    vertex; the others then go whole, longest first, to the lightest part.  There
+    are fewer than ``parts`` groups to split; each is sequential and has to fit
+    into one task as arrays, two numbers for each vertex and direction of an edge.
+    """
+    scratch = Scratch(members.sparkSession, "placement")
+    members = scratch.keep(members.select("id", "ord", "group"))
+    groups = scratch.keep(members.groupBy("group").agg(F.count("*").alias("size")))
+    total = groups.agg(F.sum("size")).scalar()
+    above = F.broadcast(groups.where(F.col("size") > F.ceil(total / F.lit(parts))).select("group"))
+    large = members.join(above, "group", "left_semi")
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    near = both.join(large.select(F.col("id").alias("src"), F.col("group").alias("held_by")), "src").select("held_by", "src", "dst")
+
+    def run(vertices: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        if vertices.empty:
+            return pd.DataFrame({"id": [], "group": [], "part": []})
+        return _split_group(vertices, arcs, parts, slack)
+
+    split = scratch.keep(large.groupBy("group").cogroup(near.groupBy("held_by")).applyInPandas(run, "id long, group long, part int"))
+    placed = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    whole = place_groups(groups, parts, [placed.get(p, 0) for p in range(parts)]).where("whole")
+    rest = sized_join(members, whole.select("group", "part"), ["group"], scratch)
+    return split.withColumn("whole", F.lit(False)).unionByName(rest.select("id", "group", "part", F.lit(True).alias("whole")))
+
+
 def load_graph(vertices: DataFrame, edges: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """Bulk load: merged vertices and de-duplicated edges with the shard of their source."""
     shard = lambda c: F.pmod(F.hash(c), F.lit(shards))

@@ -255,8 +255,10 @@ def x12_greedy(s, d):
 
 @_q()
 def x13_placement(s, d):
-    grouped = gr.components(*_bip(s, d))[0].groupBy(F.col("label").alias("group")).agg(F.count("*").alias("size"))
-    return gr.place_groups(grouped, 4).withColumnRenamed("group", "grp")
+    v, e = _bip(s, d)
+    # here a vertex's id is its ord
+    members = gr.components(v, e)[0].select("id", F.col("id").alias("ord"), F.col("label").alias("group"))
+    return gr.place_nodes(members, e, 4).withColumnRenamed("group", "grp")
 
 
 @_q("SELECT count(*) FILTER (src % 4 <> dst % 4) AS cut, count(*) AS edges FROM trade", "trade")

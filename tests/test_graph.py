@@ -114,6 +114,48 @@ def test_placement(spark):
     assert all(home[i] == home[i ^ 1] for i in range(8)) and sum(home.values()) == 4
 
 
+def placed_plainly(groups, near, parts):
+    """GroupPlacement of the reference, one vertex after the other."""
+    limit, load, home = -(-sum(map(len, groups)) // parts), [0] * parts, {}
+    for g in (g for g in groups if len(g) > limit):
+        order = [g[0]]
+        for x in order:
+            order += [y for y in near[x] if y not in order]
+        for x, p in gr.greedy_partition(order, near, parts).items():
+            home[x] = (p, False)
+            load[p] += 1
+    for g in sorted((g for g in groups if len(g) <= limit), key=lambda g: -len(g)):
+        p = load.index(min(load))
+        home |= {x: (p, True) for x in g}
+        load[p] += len(g)
+    return home
+
+
+def test_large_groups_are_split_by_vertex(spark):
+    r = random.Random(11)
+    groups = [list(range(60)), list(range(60, 64)), [64, 65, 66], [67], list(range(70, 115))]
+    edges = [(r.choice(g[:i]), x) for g in groups for i, x in enumerate(g) if i]
+    edges += [(r.choice(g), r.choice(g)) for g in groups for _ in range(len(g) // 2)]
+    near = {x: sorted({b for a, b in edges if a == x != b} | {a for a, b in edges if b == x != a}) for g in groups for x in g}
+    v, e = frames(spark, near, edges)
+    members = gr.components(v, e)[0].selectExpr("id", "id as ord", "label as group")
+    for parts in (3, 4):
+        got = gr.place_nodes(members, e, parts).collect()
+        assert len(got) == len(near)
+        assert {x.id: (x.part, x.whole) for x in got} == placed_plainly(groups, near, parts)
+    assert all(x.whole and x.part == 0 for x in gr.place_nodes(members, e, 1).collect())
+    assert gr.place_nodes(members.limit(0), e, 4).count() == 0
+
+
+def test_placement_query_places_every_vertex(spark, data_dir):
+    from loamgraph.plans.graphs import QUERIES, _bip
+
+    got = QUERIES["x13_placement"](spark, data_dir).toPandas()
+    assert sorted(got["id"]) == sorted(r.id for r in _bip(spark, data_dir)[0].collect())
+    assert set(got["part"]) == {0, 1, 2, 3}
+    assert got.groupby("part").size().max() <= -(-len(got) * 11 // 40)
+
+
 def test_empty(spark):
     v, e = frames(spark, [], [])
     assert gr.components(v, e)[0].count() == 0 and gr.waves(v, e).count() == 0
