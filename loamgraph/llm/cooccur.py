@@ -34,11 +34,13 @@ def pair_counts(df: DataFrame, group: str, record: list[str], item: str, min_cou
     useful = salted_join(single.where(F.col("n_i") >= min_count), total, ["grp"], "item", salts)
     if min_ratio is not None:
         useful = useful.where(F.col("n_i") * min_ratio <= F.col("n"))
-    # two independent hashes name a basket; unlike a row number they survive recomputation
-    named = held.where(F.size("items") > 1).select("grp", F.xxhash64("grp", "items").alias("h1"), F.hash("items", "grp").alias("h2"), "weight", F.explode("items").alias("item"))
-    kept = salted_join(named, useful.select("grp", "item"), ["grp", "item"], "h1", salts)
-    again = kept.groupBy("grp", "h1", "h2").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("weight").alias("weight"))
-    again = again.where(F.size("items") > 1).groupBy("grp", "items").agg(F.sum("weight").alias("weight"))
+    again = held.where(F.size("items") > 1)
+    if min_count > 1 or min_ratio is not None:  # else every item stays and the sets are whole already
+        # two independent hashes name a basket; unlike a row number they survive recomputation
+        named = again.select("grp", F.xxhash64("grp", "items").alias("h1"), F.hash("items", "grp").alias("h2"), "weight", F.explode("items").alias("item"))
+        kept = salted_join(named, useful.select("grp", "item"), ["grp", "item"], "h1", salts)
+        again = kept.groupBy("grp", "h1", "h2").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("weight").alias("weight"))
+        again = again.where(F.size("items") > 1).groupBy("grp", "items").agg(F.sum("weight").alias("weight"))
     firsts = again.select("grp", "items", "weight", F.posexplode("items").alias("i", "item_a")).where("i < size(items) - 1")
     pairs = firsts.select("grp", "weight", "item_a", F.explode(F.expr("slice(items, i + 2, size(items))")).alias("item_b"))
     summed = pairs.groupBy("grp", "item_a", "item_b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)

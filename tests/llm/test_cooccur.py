@@ -42,6 +42,11 @@ def test_against_brute_force(spark):
         assert listed(cooccur.pair_counts(df, "tenant_id", ENTITY, "tag_id", 2, ratio)) == brute(data, 2, ratio)
 
 
+def test_every_pair_without_a_bound(spark):
+    data = rows()
+    assert listed(cooccur.pair_counts(spark.createDataFrame(data, S), "tenant_id", ENTITY, "tag_id", 1)) == brute(data, 1)
+
+
 def test_scores(spark):
     pairs = spark.createDataFrame([("t", 1, 2, 100, 10, 20, 10), ("t", 1, 3, 100, 10, 20, 5)], "grp string, item_a long, item_b long, n long, n_a long, n_b long, n_ab long")
     got = {r.item_b: (r.lift, r.conviction) for r in cooccur.scored(pairs).collect()}
