@@ -96,16 +96,28 @@ def heavy_keys(df: DataFrame, shares: dict[str, float]) -> DataFrame:
     return counted.select("field", F.col("key").alias("key_value"), "n", total.alias("total")).where(F.col("key_value").isNotNull() & (F.col("n") >= share * F.col("total")))
 
 
-def per_key_results(df: DataFrame, keys: tuple[str, ...], entity: tuple[str, ...]) -> DataFrame:
-    """Rows, distinct assignments and distinct entities per value of each key.
-
-    Distinct entities are formed on the whole entity key, which no single value
-    dominates, before they are counted with ``dense_counts``.
+def _distinct_counts(df: DataFrame, keys: tuple[str, ...], of: tuple[str, ...], name: str) -> DataFrame:
+    """``(d_field, d_key, name)``: distinct values of ``of`` per value of each key; keys within ``of`` share one pass."""
+    counted = None
+    for some in [[k for k in keys if k in of], *[[k] for k in keys if k not in of]]:
+        if some:
+            one = dense_counts(df.select(*dict.fromkeys([*some, *of])).distinct(), *some)
+            counted = one if counted is None else counted.unionByName(one)
+    return counted.select(F.col("field").alias("d_field"), F.col("key").alias("d_key"), F.col("n").alias(name))
+
+
+def per_key_results(df: DataFrame, keys: tuple[str, ...], entity: tuple[str, ...], item: str | None = None) -> DataFrame:
+    """Rows, distinct entities and, where ``item`` is named, distinct assignments per value of each key.
+
+    An assignment is an entity with a non-null item, however many rows repeat it.
+    Both are formed on the whole entity key, which no single value dominates,
+    before they are counted with ``dense_counts``.
     """
-    rows = dense_counts(df, *keys).withColumnRenamed("n", "n_rows")
-    distinct = None
-    for k in keys:
-        one = dense_counts(df.select(*dict.fromkeys([k, *entity])).distinct(), k)
-        distinct = one if distinct is None else distinct.unionByName(one)
-    e = distinct.select(F.col("field").alias("e_field"), F.col("key").alias("e_key"), F.col("n").alias("n_entities"))
-    return rows.join(e, (F.col("field") == F.col("e_field")) & F.col("key").eqNullSafe(F.col("e_key"))).select("field", F.col("key").alias("key_value"), "n_rows", "n_entities")
+    same = (F.col("field") == F.col("d_field")) & F.col("key").eqNullSafe(F.col("d_key"))
+    out = dense_counts(df, *keys).withColumnRenamed("n", "n_rows").join(_distinct_counts(df, keys, entity, "n_entities"), same).drop("d_field", "d_key")
+    columns = ["n_rows", "n_entities"]
+    if item is not None:
+        held = _distinct_counts(df.where(F.col(item).isNotNull()), keys, (*entity, item), "n_assignments")
+        out = out.join(held, same, "left").withColumn("n_assignments", F.coalesce("n_assignments", F.lit(0).cast("long")))
+        columns.insert(1, "n_assignments")
+    return out.select("field", F.col("key").alias("key_value"), *columns)

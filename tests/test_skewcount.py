@@ -32,6 +32,20 @@ def test_heavy_and_entities(spark):
         assert got["tenant_id", k] == (len(mine), len({r[3] for r in mine}))
 
 
+def test_assignments_per_key(spark):
+    data = rows()
+    df = spark.createDataFrame(data, S)
+    got = {(r.field, r.key_value): r for r in sk.per_key_results(df, ("tenant_id", "tag_id", "key"), ("tenant_id", "entity_type", "entity_id"), "tag_id").collect()}
+    for i, field in ((0, "tenant_id"), (1, "tag_id"), (4, "key")):
+        for k in {r[i] for r in data}:
+            mine = [r for r in data if r[i] == k]
+            one = got.pop((field, None if k is None else str(k)))
+            assert one.n_rows == len(mine)
+            assert one.n_assignments == len({(r[0], r[2], r[3], r[1]) for r in mine if r[1] is not None})
+            assert one.n_entities == len({(r[0], r[2], r[3]) for r in mine})
+    assert not got
+
+
 def test_split_dictionary_restarts():
     import pyarrow as pa
 
