@@ -9,6 +9,8 @@ document and an item are checked word by word and merged to spans.
 
 Why ``SEED`` = 6 loses nothing: a passage of n >= 30 words with at most n/8
 replaced keeps an unbroken run of at least 6 words, and an exact passage has 15.
+A shorter item can only be held whole: from ``SEED`` words its phrases find it,
+below that it is a phrase of its own length.
 
 Words are compared after undoing markup, escapes, Unicode form and case.
 A shard holds at most ``SHARD_WORDS`` words (or one document, if that is longer)
@@ -17,8 +19,8 @@ The test items are held-out material of bounded size: they are collected in
 blocks of at most ``ITEM_BLOCK`` items, and more items than that are searched block
 by block against the same shard.
 
-Defined results: null or blank texts and items without ``SEED`` words match
-nothing; repeated documents are each reported; texts are read whole.
+Defined results: null or blank texts and items without a word match nothing;
+an item below ``EXACT`` words is reported wherever all of it stands; repeated documents are each reported; texts are read whole.
 """
 
 from __future__ import annotations
@@ -190,20 +192,16 @@ class Items:
         self.ids, self.seqs = [], []
         for item, text in rows:
             w = words(text)
-            if len(w) >= SEED:
+            if w:
                 self.ids.append(item)
                 self.seqs.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 2) for x in w], np.int64))
-        grams: dict[bytes, int] = {}
-        self.grams, self.places = [], []
+        grams: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for k, seq in enumerate(self.seqs):
-            for off in range(len(seq) - SEED + 1):
-                g = seq[off : off + SEED]
-                at = grams.setdefault(g.tobytes(), len(grams))
-                if at == len(self.grams):
-                    self.grams.append(g)
-                    self.places.append([])
-                self.places[at].append((k, off))
-        self.grams = np.array(self.grams, np.int64).reshape(-1, SEED)
+            size = min(SEED, len(seq))
+            for off in range(len(seq) - size + 1):
+                grams.setdefault(size, {}).setdefault(seq[off : off + size].tobytes(), []).append((k, off))
+        # per phrase length: the phrases, one a row, and their places in the items
+        self.grams = [(np.frombuffer(b"".join(g), np.int64).reshape(-1, size), list(g.values())) for size, g in grams.items()]
 
     def search_shard(self, docs: list[tuple[int, list[str]]]) -> list[tuple[int, int, int, int]]:
         """``(doc_id, item_id, first word, end word)`` of every leaked passage in a shard."""
@@ -221,22 +219,23 @@ class Items:
         keep = np.concatenate([[True], (seq[1:] != 1) | (seq[:-1] != 1)])
         where = np.flatnonzero(keep)
         index = FMIndex(seq[keep], len(self.vocab) + 2)
-        low, high = index.search(self.grams)
-        hits = np.flatnonzero(high > low)
-        if not len(hits):
-            return []
-        counts = high[hits] - low[hits]
-        rows = np.repeat(low[hits] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        pos = where[index.locate(rows)]
-        phrase = np.repeat(hits, counts)
-        doc = np.searchsorted(starts, pos, side="right") - 1
-        diagonals = {(int(d), k, int(p) - starts[d] - off) for d, p, g in zip(doc, pos, phrase, strict=True) for k, off in self.places[g]}
+        diagonals = set()
+        for grams, places in self.grams:
+            low, high = index.search(grams)
+            hits = np.flatnonzero(high > low)
+            counts = high[hits] - low[hits]
+            rows = np.repeat(low[hits] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            pos = where[index.locate(rows)]
+            phrase = np.repeat(hits, counts)
+            doc = np.searchsorted(starts, pos, side="right") - 1
+            diagonals |= {(int(d), k, int(p) - starts[d] - off) for d, p, g in zip(doc, pos, phrase, strict=True) for k, off in places[g]}
         out = []
         for d, k, shift in sorted(diagonals):
             item, n = self.seqs[k], len(docs[d][1])
             a, b = max(0, -shift), min(len(item), n - shift)
             match = seq[starts[d] + shift + a : starts[d] + shift + b] == item[a:b]
-            out += [(docs[d][0], self.ids[k], shift + a + i, shift + a + j) for i, j in passages(match)]
+            found = passages(match) if len(item) >= EXACT else [(0, len(item))] if len(match) == len(item) and match.all() else []
+            out += [(docs[d][0], self.ids[k], shift + a + i, shift + a + j) for i, j in found]
         return out
 
 

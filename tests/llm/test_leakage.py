@@ -98,6 +98,28 @@ def test_planted_leaks(spark):
     assert all(s.first_word < s.end_word for s in spans) and {s.doc_id for s in spans} == {d for d, _ in want}
 
 
+def test_short_items_are_found_whole(spark):
+    r = random.Random(9)
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in (1, 2, 5, 6, 7, 14, 15)]
+    items += [(50, "s5x0 s5x1"), (60, "s6x0 s6x0"), (70, "?!")]
+    docs = []
+    for n, text in items[:7]:
+        w = text.split()
+        for part in (w, w[:-1], w[1:], [*w[:-1], "zzz"], w[::-1], [*w, "zzz", *w]):
+            noise = [r.choice(WORDS) for _ in range(r.randint(0, 9))]
+            docs.append((len(docs), " ".join(noise + part + noise), "x"))
+    docs += [(len(docs), "ends s2x0", "x"), (len(docs) + 1, "s2x1 begins", "x")]
+    want = set()
+    for d, text, _ in docs:
+        x = lk.words(text)
+        for i, t in items:
+            w = lk.words(t)
+            want |= {(d, i, p, p + len(w)) for p in range(len(x) - len(w) + 1) if w and x[p : p + len(w)] == w}
+    assert {i for _, i, *_ in want} == {1, 2, 5, 6, 7, 14, 15, 50}
+    leaks = lk.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(x) for x in leaks.collect()} == want
+
+
 def test_shards_do_not_matter(spark, monkeypatch):
     r = random.Random(5)
     items = lk.Items(item_texts(r))
