@@ -82,7 +82,8 @@ HOUSE_FIRST = re.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/=-])\d{{1,5}}[a-zA-Z]?,?[  
 HOUSE_LAST = re.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|calle)[  ]|{_CAP},[  ])*(?:{_CAP}|{_CAP}\.),?[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?![\p{{L}}\p{{N}}_/:.,-]*[\p{{L}}\p{{N}}])")
 RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}_.@/=&;-])(?:{_CAP}|\p{{Lu}}\.)(?:,?[  ](?:{_CAP}|\p{{Lu}}\.(?!\p{{L}})|{_PART}(?=[  ]\p{{Lu}})))+(?![\p{{L}}\p{{N}}_@=/-]|\.\p{{L}})")
 TOKEN = re.compile(r"[^  ]+")
-MAY_HOLD_EMAIL = re.compile(r"(?i)[\[({<]\s*(?:at|ät|arroba)\s*[\])}>]| at \S+ dot |&#|&commat|%40|[@＠]")
+#: Whatever ``EMAIL`` matches holds one of these; a plain " at " counts before a host with any spelling of a dot.
+MAY_HOLD_EMAIL = re.compile(rf"(?i)[\[({{<]\s*(?:at|ät|arroba)\s*[\])}}>]| at [\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*{_DOT}[\p{{L}}\p{{N}}-]|&#|&commat|%40|[@＠]")
 CUT_AFTER, CUT_BEFORE = re.compile(r"[  .\-‑]\(?\d"), re.compile(r"\d[  .\-‑]?$")
 IPV4, DATE = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"), re.compile(r"(?:19|20)\d\d[-/.]\d\d[-/.]\d\d")
 ZEROS, SEPARATORS = re.compile(r"0+"), re.compile(r"[0A]")

@@ -23,6 +23,17 @@ def test_true_spans_are_candidates():
     assert len(missed) < 0.005 * len(sample)
 
 
+def test_every_email_spelling_is_a_candidate():
+    """Whether an address is proposed doesn't depend on what else the text holds."""
+    at = ["@", " @ ", "＠", "[at]", " [AT] ", "(At)", " {ät} ", "<arroba>", " (@) ", "&#64;", "&#x40;", "&commat;", "%40", " at ", " AT "]
+    dot = [".", "．", "[dot]", " (DOT) ", " {punkt} ", " [.] ", " dot ", " DOT "]
+    for a, d in itertools.product(at, dot):
+        piece = f"jane.doe{a}mail-x{d}example{d}org"
+        text = f"write to {piece} soon"
+        assert pii.EMAIL.search(text), text
+        assert (9, 9 + len(piece), "email") in pii.candidates(text), text
+
+
 def test_held_out_accuracy(weights):
     hit, more, less = Counter(), Counter(), Counter()
     for text, gold in labelled_sentences(1500, seed=77):
