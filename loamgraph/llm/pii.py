@@ -80,7 +80,7 @@ ID = re.compile(r"(?<![\p{L}\p{N}_-])(?:\p{Lu}{1,2}[  ]?(?:\d{2}[  ]?){3}\p{Lu
 BARE_ID = re.compile(r"(?<=^\p{Lu}{2,3}[  ])\d{6,9}\p{Lu}?$")
 HOUSE_FIRST = re.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/=-])\d{{1,5}}[a-zA-Z]?,?[  ](?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|St\.|\d{{1,3}}(?:st|nd|rd|th))[  ])*{_CAP}(?![\p{{L}}\p{{N}}_])")
 HOUSE_LAST = re.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|calle)[  ]|{_CAP},[  ])*(?:{_CAP}|{_CAP}\.),?[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?![\p{{L}}\p{{N}}_/:.,-]*[\p{{L}}\p{{N}}])")
-RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}_.@/=&;-])(?:{_CAP}|\p{{Lu}}\.)(?:,?[  ](?:{_CAP}|\p{{Lu}}\.(?!\p{{L}})|{_PART}(?=[  ]\p{{Lu}})))+(?![\p{{L}}\p{{N}}_@=/-]|\.\p{{L}})")
+RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}_.@/=&;-])(?:{_CAP}|\p{{Lu}}\.)(?:,?[  ](?:{_CAP}|\p{{Lu}}\.(?!\p{{L}})|{_PART}(?=[  ](?:{_PART}[  ])*\p{{Lu}})))+(?![\p{{L}}\p{{N}}_@=/-]|\.\p{{L}})")
 TOKEN = re.compile(r"[^  ]+")
 #: Whatever ``EMAIL`` matches holds one of these; a plain " at " counts before a host with any spelling of a dot.
 MAY_HOLD_EMAIL = re.compile(rf"(?i)[\[({{<]\s*(?:at|ät|arroba)\s*[\])}}>]| at [\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*{_DOT}[\p{{L}}\p{{N}}-]|&#|&commat|%40|[@＠]")
@@ -92,13 +92,15 @@ CAPITAL_NEXT, CAPITAL_BEFORE = re.compile(r"[  ]\p{Lu}"), re.compile(r"(\p{Lu}[\
 WORD = re.compile(r"\p{L}[\p{L}'’.-]*\p{L}|\p{L}|\d+|[^\s\p{L}\p{N}]|\n")
 
 
-def _windows(text: str, start: int, end: int, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """Spans of ``low`` to ``high`` tokens of one run; a comma at a span's end stays outside."""
+def _windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of at least two tokens of one run within ``MAX_SPAN``; a comma at a span's end stays outside."""
     toks = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(text[start:end])]
-    for i in range(len(toks)):
-        for j in range(i + low - 1, min(len(toks), i + high)):
-            e = toks[j][1] - (text[toks[j][1] - 1] == ",")
-            yield toks[i][0], e
+    for i, (s, _) in enumerate(toks):
+        for _, b in toks[i + 1 :]:
+            e = b - (text[b - 1] == ",")
+            if e - s > MAX_SPAN:
+                break
+            yield s, e
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -112,10 +114,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if e - s < 7 and not e - s >= 5:
             continue
         groups = [(s + g.start(), s + g.end()) for g in GROUPS.finditer(text[s:e])]
-        for i, (a, _) in enumerate(groups[:6]):
-            for _, b in groups[i : i + 8]:
+        for i, (a, _) in enumerate(groups):
+            for _, b in groups[i:]:
+                if b - a > MAX_SPAN + 1:
+                    break
                 digits = sum(c.isdigit() for c in text[a:b])
-                if 7 <= digits <= 15 and (i == 0 or text[a] in "+("):
+                if 7 <= digits <= 15:
                     b2 = b - (text[b - 1] == ")")
                     out.add((a, b2, "phone"))
     for m in ID.finditer(text):
@@ -124,12 +128,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.add((m.start() + bare.start(), m.end(), "id_number"))
     for rx in (HOUSE_FIRST, HOUSE_LAST):
         for m in rx.finditer(text):
-            for s, e in _windows(text, m.start(), m.end(), 2, 6):
+            for s, e in _windows(text, m.start(), m.end()):
                 piece = text[s:e]
                 if rx is HOUSE_FIRST and piece[0].isdigit() or rx is HOUSE_LAST and any(c.isdigit() for c in TOKEN.findall(piece)[-1] + TOKEN.findall(piece)[-2]) and not piece[0].isdigit() and any(c.isdigit() for c in piece[-3:]):
                     out.add((s, e, "address"))
     for m in RUN.finditer(text):
-        for s, e in _windows(text, m.start(), m.end(), 2, 5):
+        for s, e in _windows(text, m.start(), m.end()):
             piece = text[s:e]
             if piece.count(",") <= 1 and (piece[-1] != "." or piece[-3] in "  ") and not piece.split()[0].islower() and len(piece) - piece.count(" ") > 4:
                 out.add((s, e, "name"))

@@ -34,6 +34,21 @@ def test_every_email_spelling_is_a_candidate():
         assert (9, 9 + len(piece), "email") in pii.candidates(text), text
 
 
+@pytest.mark.parametrize(
+    ("piece", "before", "kind"),
+    [
+        ("4 1 5 5 5 5 0 1 3 4", "call ", "phone"),
+        ("415 555 0134", "row 1 22 333 44 55 66 77 ", "phone"),
+        ("(415) 555-0134", "row 1 22 333 44 55 66 77 ", "phone"),
+        ("Maria del Carmen de la Cruz Garcia", "signed by ", "name"),
+        ("12 Old St. Mary of the Green Hill Farm Road".replace("of the", "de la"), "at ", "address"),
+    ],
+)
+def test_only_the_length_bounds_a_candidate(piece, before, kind):
+    start = len(before)
+    assert (start, start + len(piece), kind) in pii.candidates(f"{before}{piece} now")
+
+
 def test_held_out_accuracy(weights):
     hit, more, less = Counter(), Counter(), Counter()
     for text, gold in labelled_sentences(1500, seed=77):
