@@ -2,15 +2,16 @@
 
 A run rereads from the oldest transaction that may have been open at the last
 run and removes what it has processed before by an anti-join of (key, version)
-pairs against a ledger.  The ledger needs to hold only the pairs inside that
-window.  A run becomes visible through one commit marker, renamed into place
+pairs against a ledger.  Against a progress table alone the ledger is rebuilt
+inside that window; ``IncrementalRuns`` keeps all pairs and needs no window.  A run becomes visible through one commit marker, renamed into place
 after its batch and ledger are complete: a run that fails before that leaves
 nothing the next one would read, and the next one overwrites its remains.
 
 Defined results: a null tenant or shard is a value of its own; rows without a
 key part named in ``required`` are no records; repeated rows of one version
 are one record; a null sequence number or time is not above any mark, so such
-a row is new only while its key has no progress row; an empty table or an
+a row is new only while its key has no progress row (to ``IncrementalRuns``,
+while it is in no ledger); an empty table or an
 empty progress table is allowed (everything is then new); other columns pass
 through untouched.
 """
@@ -77,9 +78,13 @@ def changed_assignments(source: DataFrame, progress: DataFrame, open_for: timede
 class IncrementalRuns:
     """Runs over a growing source with state in a shared folder.
 
-    ``folder/batches/run=N``: what run N delivered; ``folder/ledger/run=N``: its
-    pairs; ``folder/progress/run=N``: the marks after it; ``folder/commits/N``:
-    the marker that makes all three valid.
+    ``folder/batches/run=N``: what run N delivered; ``folder/ledger/run=0``: the
+    pairs at or below the marks of the very first run; ``folder/progress/run=N``:
+    the marks after it; ``folder/commits/N``: the marker that makes them valid.
+
+    The ledger is that first part and all committed batches.  Every run compares
+    the whole source with it, so a row counts as new however late it comes and
+    whatever its number and time; ``open_for`` bounds nothing here.
     """
 
     def __init__(self, spark: SparkSession, folder: str, open_for: timedelta = timedelta(days=1)):
@@ -110,23 +115,21 @@ class IncrementalRuns:
             progress = self.spark.read.parquet(f"{self.folder}/progress/run={done[-1]}")
         elif progress is None:
             progress = self.spark.createDataFrame([], "tenant_id string, source_shard string, last_seq long, updated_at timestamp_ntz")
-        window = reread_window(source, progress, self.open_for)
+        rows = source.select(*ASSIGNMENT, *VERSION).where("tag_id is not null")
+        before = f"{self.folder}/ledger/run={done[0] if done else 0}"
+        if not done:
+            marked = sized_join(rows, governing(progress), ["tenant_id", "source_shard"], Scratch(self.spark, "first"), how="left")
+            marked.where(~beyond(F.col("updated_at"))).select(*ASSIGNMENT, *VERSION).distinct().write.mode("overwrite").parquet(before)
+        ledger = self.spark.read.parquet(before)
         if done:
-            ledger = self.spark.read.parquet(f"{self.folder}/ledger/run={done[-1]}")
-        else:
-            ledger = window.where("processed").select(*ASSIGNMENT, *VERSION).distinct()
+            ledger = ledger.unionByName(self.delivered())
         batch = f"{self.folder}/batches/run={n}"
-        without_processed(window, ledger).write.mode("overwrite").parquet(batch)
+        without_processed(rows, ledger).write.mode("overwrite").parquet(batch)
         fresh = self.spark.read.parquet(batch)
         after = governing(progress.select("tenant_id", "source_shard", "last_seq", "updated_at").unionByName(fresh.groupBy("tenant_id", "source_shard").agg(F.max("entity_seq").alias("last_seq"), F.max("created_at").alias("updated_at"))))
         newest = progress.select("tenant_id", "source_shard", "updated_at").unionByName(fresh.select("tenant_id", "source_shard", F.col("created_at").alias("updated_at"))).groupBy("tenant_id", "source_shard").agg(F.max("updated_at").alias("newest"))
         marks = salted_join(after.drop("known"), newest, ["tenant_id", "source_shard"], "source_shard", 1).select("tenant_id", "source_shard", "last_seq", F.col("newest").alias("updated_at"))
         marks.write.mode("overwrite").parquet(f"{self.folder}/progress/run={n}")
-        marks = self.spark.read.parquet(f"{self.folder}/progress/run={n}")
-        kept = ledger.select(*ASSIGNMENT, *VERSION).unionByName(fresh)
-        inside = salted_join(kept, governing(marks), ["tenant_id", "source_shard"], "entity_id", how="left")
-        oldest_open = F.col("updated_at") - F.expr(f"interval {int(self.open_for.total_seconds())} seconds")
-        inside.where(beyond(oldest_open)).select(*ASSIGNMENT, *VERSION).write.mode("overwrite").parquet(f"{self.folder}/ledger/run={n}")
         self._commit(n, {"run": n, "previous": done[-1] if done else None})
         return fresh
 

@@ -57,6 +57,17 @@ def test_runs_deliver_each_version_once(spark, source, tmp_path):
     assert runs.delivered().count() == 5
 
 
+def test_rows_far_below_the_marks_are_delivered_once(spark, tmp_path):
+    runs = inc.IncrementalRuns(spark, f"file://{tmp_path}/state")
+    progress = spark.createDataFrame([("a", "s0", 2, h(100))], P)
+    first = spark.createDataFrame([row("e1", 1, 1, h(0)), row("e3", 1, 3, h(101))], S)
+    assert listed(runs.run(first, progress).select("entity_id")) == [("e3",)]
+    late = first.unionByName(spark.createDataFrame([row("e0", 4, 1, h(1)), row("e0", 4, 1, h(1)), row("e2", 4, None, None)], S))
+    assert listed(runs.run(late).select("entity_id")) == [("e0",), ("e2",)]
+    assert runs.run(late).count() == 0
+    assert runs.delivered().count() == 3
+
+
 def test_failed_run_is_repeated(spark, source, tmp_path):
     class Broken(inc.IncrementalRuns):
         def _commit(self, run, info):
