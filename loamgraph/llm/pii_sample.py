@@ -1,196 +1,257 @@
 """Generated labelled sentences for fitting the personal-information model.
 
-Names are made of syllables or drawn from the given-name list, so the model
-learns context and form rather than a register of persons.  Every sentence
-mixes slots of personal data with look-alikes: teams, titles, versions,
-addresses of machines, order numbers and dates.
+Names are made of syllables or drawn from a list of frequent given names, so
+the model learns context and form rather than a register of persons.  Half of
+the sentences surround their slots with randomly drawn plain words, so that a
+span has to be told by its form and by the class of the words around it; the
+others come from letters, bookings, clinics, clubs and the like.  Look-alikes
+(teams, titles, versions, machine addresses, order numbers, dates) stand in the
+same surroundings.  No wording is taken from the documents that are searched.
 """
 
 from __future__ import annotations
 
 import random
 
-from loamgraph.llm.pii import GIVEN, ORDINARY, TECHNICAL
+from loamgraph.llm.pii import FUNCTION, GIVEN, ORDINARY, STREET_END, TECHNICAL
 
-ONSET = "b br c d f g gr h j k l m n p pr qu r s sh st t tr v w z".split()
-VOWEL = "a e i o u ä ö ei ia".split()
-CODA = "n r l s nd rk x m lt ck n r".split()
-ENDING = "son berg ski well ford man ez ini ova ley dale wick quist mark vik mont ane ux elle ow by".split()
-HOSTS = "example.com mail.example.org corp.test dept.firm.invalid acme.example post.nord.example desk.bureau.test".split()
-NOUNS = "index queue folder tag batch shard page job host relay crawler report ticket space node store worker".split()
-TITLES = "Main Menu, Release Notes, Side Street, Open Questions, Quick Start, User Guide, Error Codes, Data Model, Site Map, Old Road Works, Lane Markings, Next Steps, Known Limits, Street View, Court Cases, Park Rules".split(", ")
-PRODUCTS = "Tag Search, Graph Runner, Page Store, Purge Job, Move Worker, Index Builder, Query Planner, Tree Service".split(", ")
+ONSET = "b br c ch d dr f fl g gr h j k kl l m n p pr qu r s sch sh sk st t th tr v w y z".split()
+VOWEL = "a e i o u ä ö é ei ia ou".split()
+CODA = "n r l s nd rk x m lt ck t th".split()
+ENDING = "son sen berg burg ski sky ez ini ova ley dale wick quist mann vik mont elli ford ton well feld man ard yan ier".split()
+HOSTS = "example.com mail.example.org inbox.test dept.firm.invalid acme.example post.nord.example desk.bureau.test kontor.example".split()
+EN = "old work small house often paper light water table window garden winter music letter number morning slowly yellow simple doctor river answer carry wooden summer market village distance travel broken finger button engine carpet kitchen basket pencil weather bottle".split()
+DE = "alte Arbeit kleines oft Papier Wasser Tisch Fenster Garten Winter Brief Morgen langsam einfach Fluss Antwort Sommer Markt Dorf Reise Finger Knopf Teppich Korb Wetter Flasche Bruder Stuhl Zug Lampe".split()
+ES = "viejo trabajo casa papel agua mesa ventana invierno carta mañana lento simple río respuesta verano mercado pueblo viaje dedo motor cocina cesta tiempo botella hermano silla".split()
+THINGS = "order invoice ticket article contract parcel part model shipment batch account item case job version reference".split()
 MONTHS = "January February March April May June July August September October November December".split()
+GERMAN = "Rechnung Lieferung Vertrag Besprechung Abteilung Heizung Wohnung Bahnhof Fahrplan Kasse Werkstatt Prüfung Bibliothek Küche Anlage Leitung Zahlung Übersicht Versicherung Auswahl Bestand Eingang Katalog Termin Ausflug".split()
 
 
-GERMAN = "Bereich Zähler Ordner Knoten Lauf Auftrag Fehler Seite Suche Umzug Zeiger Eintrag Speicher Dienst Warteschlange Sperre Prüfung Tabelle Woche Vorgang Antwort Datei Wert Name Schlüssel Abgleich Verzeichnis Bericht Ansicht Stand".split()
-VERBS = "Löschen Umbenennen Kopieren Prüfen Verschieben Zählen Laden Schreiben Lesen Starten Anlegen Ändern".split()
-PLAIN = "the closed reader moved page folder under load while others counted from memory near this queue by hand which author renamed first some batch was split twice no worker asked why its label stayed open until seven links were lost at noon against all advice".split()
+GERMAN_VERBS = "Kochen Waschen Backen Malen Bauen Putzen Einkaufen Reparieren Sortieren Verpacken Bezahlen Anmelden Abholen Messen Singen Schneiden Ausfüllen Bestellen".split()
 
 
 class Maker:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, words: dict[str, str]):
         self.r = random.Random(seed)
-        self.given = sorted(GIVEN)
-        self.ordinary = sorted(ORDINARY)
-        self.technical = sorted(TECHNICAL)
+        # ordinary words of the lexicon, for names of teams, features and titles
+        self.known = sorted(w for w, kind in words.items() if kind == "w" and len(w) > 3 and w not in GIVEN)
+        self.proper = sorted(w for w, kind in words.items() if kind == "p" and len(w) > 3 and w not in GIVEN)
+        self.either = sorted(w for w in GIVEN if words.get(w) == "w")  # given names that are ordinary words too
+        self.given, self.ordinary, self.technical = sorted(GIVEN), sorted(ORDINARY), sorted(TECHNICAL)
+        self.small = sorted(w for w in FUNCTION if w.isascii())
+        self.street_end = sorted(STREET_END)
+
+    # --- personal pieces
 
     def syllables(self, n: int) -> str:
         r = self.r
         return "".join(r.choice(ONSET) + r.choice(VOWEL) + (r.choice(CODA) if r.random() < 0.4 else "") for _ in range(n)).capitalize()
 
     def first(self) -> str:
-        return self.r.choice(self.given).capitalize() if self.r.random() < 0.65 else self.syllables(self.r.choice((1, 2, 2)))
+        r = self.r
+        return r.choice(self.given).capitalize() if (x := r.random()) < 0.5 else r.choice(self.proper).capitalize() if x < 0.62 else self.syllables(r.choice((1, 2, 2)))
 
     def last(self) -> str:
         r = self.r
-        one = self.syllables(1) + r.choice(ENDING) if r.random() < 0.6 else self.syllables(r.choice((2, 3)))
         x = r.random()
-        if x < 0.06:
+        one = self.syllables(1) + r.choice(ENDING) if x < 0.5 else self.syllables(r.choice((2, 3))) if x < 0.94 else r.choice(self.known).capitalize()
+        x = r.random()
+        if x < 0.05:
             return "O'" + one
-        if x < 0.11:
+        if x < 0.09:
             return "d'" + one
-        if x < 0.22:
+        if x < 0.18:
             return one + "-" + self.syllables(2)
         return one
 
     def name(self) -> str:
         r = self.r
-        first, last = self.first(), self.last()
+        first, last, initial = self.first(), self.last(), lambda: r.choice("ABCDEFGHIJKLMNOPRSTUVW") + "."
         x = r.random()
         if x < 0.12:
             out = f"{last}, {first}"
         elif x < 0.15:
-            out = f"{last}, {first} {r.choice('ABCDEFGHJKLMNPRSTVW')}."
-        elif x < 0.27:
-            out = f"{first} {r.choice('ABCDEFGHJKLMNPRSTUVW')}. {last}"
-        elif x < 0.30:
-            out = f"{r.choice('ABCDEFGHJKLMNPRSTVW')}. {last}"
-            out = f"{first} {r.choice(('van', 'de', 'von'))} {last}" if r.random() < 0.5 else f"{r.choice('ABCDEF')}. {r.choice('GHJKLM')}. {last}"
+            out = f"{last}, {first} {initial()}"
+        elif x < 0.26:
+            out = f"{first} {initial()} {last}"
+        elif x < 0.31:
+            out = f"{first} {r.choice(('van', 'de', 'von', 'van der', 'del', 'di'))} {last}"
+        elif x < 0.36:
+            out = f"{initial()} {initial()} {last}" if r.random() < 0.5 else f"{initial()} {last}"
+        elif x < 0.40:
+            out = f"{first} {self.first()} {last}"
         else:
             out = f"{first} {last}"
-        return out.upper() if r.random() < 0.1 else out
+        return out.upper() if r.random() < 0.08 else out
 
     def email(self) -> str:
         r = self.r
         f, l = self.first().lower(), self.last().lower().replace("'", "")
         user = r.choice((f"{f}.{l}", f"{f}_{l}", f"{f[0]}{l}", f"{f}-{l}", f"{l}", f"{f}{r.randint(1, 99)}"))
         user += str(r.randint(1, 99)) if r.random() < 0.25 else ""
-        user += "+" + r.choice(("list", "news", "ops")) if r.random() < 0.15 else ""
+        user += "+" + r.choice(("list", "news", "work")) if r.random() < 0.15 else ""
         host, x = r.choice(HOSTS), r.random()
-        if x < 0.65:
+        if x < 0.6:
             out = f"{user}@{host}"
-        elif x < 0.75:
+        elif x < 0.7:
             out = f"{user} [at] {host.replace('.', ' [dot] ')}"
-        elif x < 0.85:
+        elif x < 0.78:
             out = f"{user}(at){host}"
-        elif x < 0.92:
+        elif x < 0.85:
             out = f"{user} @ {host}"
-        elif x < 0.95:
+        elif x < 0.9:
             out = f"{user} at {host.replace('.', ' dot ')}"
+        elif x < 0.95:
+            out = f"{user}&#64;{host}" if r.random() < 0.5 else f"{user}%40{host}"
         else:
             out = f"{user} (at) {host.replace('.', ' (dot) ')}"
-        return out.upper() if r.random() < 0.1 and "at" not in out.split() else out
+        return out.upper() if r.random() < 0.08 and "at" not in out.split() else out
 
     def digits(self, n: int, first: str = "") -> str:
         return first + "".join(self.r.choice("0123456789") for _ in range(n - len(first)))
 
     def phone(self) -> str:
+        """National and international spellings of the United States, Britain, Germany, France, Spain and others."""
         r, d = self.r, self.digits
         area, mid, end = d(3, r.choice("23456789")), d(3, r.choice("23456789")), d(4)
-        sep = r.choice("- .")
-        nb = r.choice((" ", " "))
+        sep, nb = r.choice("- ."), r.choice((" ", " "))
         forms = [
-            f"({area}) {mid}-{end}", f"{area}{sep}{mid}{sep}{end}", f"+1 {area} {mid} {end}", f"+1-{area}-{mid}-{end}", f"1{area}{mid}{end}", f"+1{nb}{area}‑{mid}‑{end}", f"+1 ({area}) {mid}-{end}",
-            f"+44 {d(4, '1')} {d(6)}", f"0{d(4, '1')} {d(3)} {d(3)}", f"0044 {d(2, '2')} {d(4)} {d(4)}", f"+44 20 {d(4)} {d(4)}", f"020 {d(4)} {d(4)}", f"+49 (0){d(2, r.choice('2346'))} {d(5)} {d(3)}", f"+49 {d(3)} {d(7)}",
-            f"0{d(2, r.choice('2346'))} / {d(7)}", f"0{d(3)}-{d(7)}", f"0{d(1, r.choice('123456'))} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {d(1, r.choice('123456'))} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3, '9')} {d(3)} {d(3)}", f"{d(3, '6')} {d(3)} {d(3)}",
-            f"+{d(2, '3')}{d(9)}", f"0{d(3)} {d(6)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}",
+            f"({area}) {mid}-{end}", f"{area}{sep}{mid}{sep}{end}", f"+1 {area} {mid} {end}", f"+1-{area}-{mid}-{end}", f"1{area}{mid}{end}",
+            f"+1{nb}{area}‑{mid}‑{end}", f"+1 ({area}) {mid}-{end}", f"+44 {d(4, '1')} {d(6)}", f"0{d(4, '1')} {d(3)} {d(3)}",
+            f"0044 {d(2, '2')} {d(4)} {d(4)}", f"+44 20 {d(4)} {d(4)}", f"020 {d(4)} {d(4)}", f"+49 (0){d(2, r.choice('2346'))} {d(5)} {d(3)}",
+            f"+49 {d(3)} {d(7)}", f"0{d(2, r.choice('2346'))} / {d(7)}", f"0{d(3)}-{d(7)}", f"0{d(1, r.choice('123456'))} {d(2)} {d(2)} {d(2)} {d(2)}",
+            f"+33 {d(1, r.choice('123456'))} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3, '9')} {d(3)} {d(3)}", f"{d(3, '6')} {d(3)} {d(3)}",
+            f"+{d(2, '3')}{d(9)}", f"0{d(3)} {d(6)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+46 {d(2, '7')} {d(3)} {d(2)} {d(2)}",
         ]
         return r.choice(forms)
 
     def id_number(self) -> tuple[str, str]:
+        """A label and a number that a state gives to a person."""
         r, d = self.r, self.digits
         up = "ABCDEFGHJKLMNPRSTVWXYZ"
         kind = r.choice(("ssn", "ssn", "nino", "passport", "passport", "code", "dni"))
         if kind == "ssn":
-            return r.choice(("SSN", "social security number", "social security no.", "SSN no.")), r.choice(("{}-{}-{}", "{} {} {}")).format(d(3), d(2), d(4))
+            return r.choice(("SSN", "social security number", "social security no.", "Social Security")), r.choice(("{}-{}-{}", "{} {} {}")).format(d(3), d(2), d(4))
         if kind == "nino":
             a, z = r.choice(up) + r.choice(up), r.choice("ABCD")
             return r.choice(("NINO", "national insurance no.", "NI number", "national insurance number")), r.choice((f"{a}{d(6)}{z}", f"{a} {d(2)} {d(2)} {d(2)} {z}"))
         if kind == "passport":
             return r.choice(("passport", "passport no.", "passport number", "travel document", "Reisepass", "pasaporte")), r.choice((f"{r.choice(up)}{r.choice(up)}{d(7)}", f"{r.choice(up)}{d(8)}", f"{r.choice(up)}{r.choice(up)}{d(6)}"))
         if kind == "code":
-            return r.choice(("personal code", "personal identity code", "personal no.", "personal id")), f"{d(6)}-{d(3)}{r.choice('0123456789' + up)}"
-        return r.choice(("DNI", "identity card", "id card", "documento de identidad")), f"{d(8)}{r.choice(up)}"
+            return r.choice(("personal code", "personal identity code", "personal no.", "personal id", "personal identification")), f"{d(6)}-{d(3)}{r.choice('0123456789' + up)}"
+        return r.choice(("DNI", "identity card", "national id", "documento de identidad")), f"{d(8)}{r.choice(up)}"
 
     def address(self) -> str:
         r = self.r
-        stem = self.syllables(2) if r.random() < 0.6 else r.choice(self.ordinary).capitalize() + r.choice(("hurst", "wood", "field", "gate", "cross", "moor", "mill"))
+        stem = self.syllables(2) if r.random() < 0.5 else r.choice(self.ordinary).capitalize() + r.choice(("", "hurst", "wood", "field", "gate", "moor"))
         n = str(r.randint(1, 999)) + (r.choice("abc") if r.random() < 0.1 else "")
         x = r.random()
         if x < 0.6:
-            return f"{n} {stem}{' ' + self.syllables(2) if r.random() < 0.1 else ''} {r.choice(('Street', 'Road', 'Lane', 'Ave', 'Avenue', 'Drive', 'Court', 'Close', 'Street', 'Lane', 'Road'))}"
+            return f"{n} {stem}{' ' + self.syllables(2) if r.random() < 0.1 else ''} {r.choice(('Street', 'Road', 'Lane', 'Ave', 'Avenue', 'Drive', 'Court', 'Close', 'Place', 'Way', 'Terrace', 'Street'))}"
         if x < 0.78:
             return f"{stem}{r.choice(('straße', 'weg', 'gasse', 'allee', 'platz'))} {n}"
         if x < 0.9:
-            return f"{r.choice(('Calle', 'Avenida', 'Plaza', 'Via'))} {stem} {n}"
+            return f"{r.choice(('Calle', 'Avenida', 'Plaza', 'Via', 'Camino'))} {r.choice(('', '', 'de '))}{stem} {n}"
         return f"{n} {r.choice(('rue de', 'rue', 'rue du'))} {stem}"
 
+    # --- surroundings and look-alikes
+
+    def filler(self, least: int = 1, most: int = 5) -> str:
+        r = self.r
+        if (x := r.random()) < 0.7:
+            return " ".join(r.choice(EN if (y := r.random()) < 0.4 else self.known if y < 0.55 else THINGS if y < 0.6 else self.small) for _ in range(r.randint(least, most)))
+        return " ".join(r.choice(DE if x < 0.85 else ES) for _ in range(r.randint(least, most)))
+
+    def opening(self) -> str:
+        f = self.filler(1, 4)
+        return f[:1].upper() + f[1:]
+
     def team(self) -> str:
         r = self.r
-        return f"{r.choice(self.ordinary)} {r.choice(self.ordinary)}".title() if r.random() < 0.75 else f"{r.choice(self.ordinary)} {r.choice(NOUNS)}".title()
+        word = lambda: r.choice(self.ordinary if (x := r.random()) < 0.45 else self.known if x < 0.9 else self.technical)
+        x = r.random()
+        first = r.choice(self.either) if x < 0.06 else r.choice(self.proper) if x < 0.14 else word()
+        return f"{first} {word()}".title()
+
+    def feature(self) -> str:
+        return " ".join(self.r.choice(self.technical if self.r.random() < 0.5 else self.known) for _ in range(self.r.choice((2, 2, 3)))).title()
+
+    def heading(self) -> str:
+        """A title, sometimes with a street word, that is no place."""
+        r, end = self.r, self.r.choice(self.street_end).title()
+        word, tech = r.choice(self.ordinary).title(), r.choice(self.technical).title()
+        return r.choice((f"{word} {tech}", f"{end} {tech}", f"{word} {end} {tech}", f"{word} {end} {tech}", f"{tech} {word} {r.choice(self.technical).title()}", f"{end} {tech} {word}"))
 
     def version(self) -> str:
         return ".".join(str(self.r.randint(0, 30)) for _ in range(3))
 
-    def prose(self) -> str:
-        """Capitals that name nobody: German nouns, shouted sentences, features."""
+    def shouting(self) -> str:
+        return self.filler(2, 9).upper() + self.r.choice(("", ", " + self.filler(2, 5).upper()))
+
+    def german(self) -> str:
+        r, n = self.r, self.r.randint(1, 900)
+        g, v = lambda: r.choice(GERMAN), lambda: r.choice(GERMAN_VERBS)
+        return r.choice(
+            (
+                f"Die {g()} der {g()} kostet {n} Euro", f"Wegen der {g()} fällt die {g()} aus", f"Zur {g()} gehört eine {g()}", f"Jede {g()} braucht {n} {g()}en",
+                f"Ihre {g()} liegt im {g()} bereit", f"Bitte die {g()} und die {g()} mitbringen", f"Ohne {g()} keine {g()}", f"Beim {g()} half ein {g()}", f"{g()} und {g()} sind getrennt", f"Unsere {g()} {n} ist neu",
+                f"{g()} des {g()}s", f"{g()} von {g()}en", f"{v()} von {g()}en", f"Beim {v()} von {g()}en {r.choice(DE)}", f"{v()} der {g()}", f"Das {v()} von {g()}en {r.choice(DE)}", f"Den {g()} der {g()}", f"Eine {g()} von {n} {g()}en", f"{r.choice(self.small).title()} {r.choice(('der', 'die', 'den', 'das'))} {g()} {r.choice(DE)}", f"Zum {g()} des {g()}s {r.choice(DE)}",
+            )
+        )
+
+    def machine(self) -> str:
+        """An internet address."""
         r = self.r
-        g, v, n = (lambda: r.choice(GERMAN)), (lambda: r.choice(VERBS)), r.randint(1, 900)
-        th = lambda: f"{r.choice(self.technical)} {r.choice(self.technical)}".title()
-        x = r.random()
-        if x < 0.4:
-            loud = lambda k: " ".join(r.choice(PLAIN) for _ in range(k)).upper()
-            out = r.choice((f"{loud(2)}, {loud(r.randint(4, 9))}", f"{loud(r.randint(6, 14))}", f"{loud(r.randint(3, 9))}, {loud(r.randint(2, 6))}", f"{loud(r.randint(4, 9))}, AND {loud(r.randint(1, 3))}"))
-            return out + (f" {r.choice(('Someone', 'Readers', 'Node', 'Tag', 'The', 'Version', 'When'))} {' '.join(r.choice(PLAIN) for _ in range(4))}" if r.random() < 0.4 else "")
+        return ".".join(str(r.randint(100, 255) if r.random() < 0.5 else r.randint(0, 99)) for _ in range(4))
+
+    def number(self) -> str:
+        """Numbers of things: never of a person."""
+        r, d, n = self.r, self.digits, self.r.randint(1, 9000)
+        thing = r.choice(THINGS)
         return r.choice(
-            [
-                f"Der {g()} für {n} Fälle stieg", f"Falls der {g()} leer ist, bitte warten", f"Nach dem {g()} des {g()}s fehlten {n} {g()}e", f"Beim {v()} von {g()}n half der {g()}", f"Bitte den {g()} erst morgen wiederholen", f"Version 3.1.2 behebt den Fehler beim {v()} von {g()}n", f"Die {g()} war leer, danach kamen {n} neue {g()}en",
-                f"Der {g()} {n} liegt tief", f"Wir haben die {g()} des {g()}s geprüft", f"Das {v()} der {g()} dauerte {n} ms", f"Ein {g()} von {n} {g()}en ist weg", f"Vor dem {v()} bitte {g()} und {g()} sichern", f"Im {g()} stehen {n} {g()}e", f"Für den {g()} gilt das nicht", f"Kein {g()} ohne {g()}",
-                f"The crawl saw {n} {th()} and {n} {th()} answers", f"{th()} and {th()} stay on for all tenants", f"{th()} is off by default", f"Turn on {th()} first", f"We shipped {th()} and {th()}", f"the features {th()} and {th()}", f"got {n} {th()} replies", f"{th()} was renamed to {th()}", f"It answers {th()} with status {n}",
-            ]
+            (
+                f"{thing} {d(4)}-{d(4)}-{d(r.choice((1, 2, 3)))}", f"{thing} number {d(8)}", f"{thing} no. {d(3)}-{d(5)}-{d(2)}", f"{thing} {d(10)}", f"{thing}s {d(3)}-{d(2)}-{d(r.choice((1, 2, 3)))} and {d(3)}-{d(2)}-{d(r.choice((1, 2, 3)))}",
+                f"{thing} 00{d(1)}-{d(2)}-{d(r.choice((1, 2, 3)))}", self.machine(), f"address {self.machine()}", f"from {self.machine()}", f"{self.machine()} port {d(4)}", f"node {d(18, '3')}", f"{thing}-{d(4)}-{d(4)}",
+                f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)} 1{d(1)}:{d(2)}:{d(2)} INFO {thing}={d(18, '3')}", f"checksum {d(12)}", f"hash {d(11)} {d(9)}",
+                f"package {r.choice(EN)}-tools@{self.version()}", f"user {r.choice(EN)}@{r.choice(EN)}", f"@{r.choice(EN)}-{d(6)}", f"{thing} AB-{d(5)} or CD-{d(4)}", f"timestamp {d(10, '17')}", f"size {d(9)} bytes", f"build {self.version()}-{d(8)}",
+                f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"card {d(4)} {d(4)} {d(4)} {d(4)}", f"error {d(4)} {d(3)}", f"{d(3)} {d(3)} {d(3)} bytes", f"model AB{d(7)}", f"{thing} AB{d(6)}", f"key {d(6)}-{d(3)}", f"version {self.version()}",
+                f"from {n} to {n + 7}", f"{d(3)} - {d(4)} - {d(3)} mm", f"{d(10, '1')} rows", f"row {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"https://{r.choice(EN)}.example/{d(9)}/{d(10)}",
+            )
         )
 
     def decoy(self) -> str:
-        r, d, t = self.r, self.digits, self.team
-        if r.random() < 0.3:
-            return self.prose()
-        n = r.randint(1, 9000)
-        title = r.choice(TITLES)
+        r, t, f = self.r, self.team, self.filler
+        x = r.random()
+        if x < 0.3:
+            return f"{self.opening()} {self.number()} {f()}" if r.random() < 0.8 else self.number()
+        if x < 0.41:
+            return self.german()
+        if x < 0.46:
+            return self.shouting()
+        h, n = self.heading, r.randint(1, 99)
         return r.choice(
-            [
-                f"The {t()} group tried to rename the {r.choice(NOUNS)}", f"Both {t()} and {t()} have asked for it", f"{t()} owns the {r.choice(NOUNS)}; ask there first", f"Das Team {t()} prüft {n} Punkte", f"El equipo {t()} revisa los puntos",
-                f"{t()} owns the read {r.choice(NOUNS)}", f"Ask {t()} before the {r.choice(NOUNS)} moves", f"the {t()} team kept it", f"team {t()} is on call",
-                f"Titles like {r.randint(1, 30)} {title} or {r.randint(1, 30)} {r.choice(TITLES)} are no places", f"Headings such as {r.randint(1, 99)} {title} Map stay", f"See {r.randint(1, 9)} {title} for more", f"Chapter {r.randint(1, 30)} {title} List is only a title",
-                f"Path segments named {r.randint(1, 30)} {title} or {r.randint(1, 30)} {r.choice(TITLES)} Map are only titles", f"{r.randint(1, 90)} {r.choice(MONTHS)} {r.randint(2020, 2026)}", f"on {r.choice(MONTHS)} {r.randint(1, 28)}", f"{r.choice(PRODUCTS)} answered slowly",
-                f"# {r.choice(self.ordinary).capitalize()} {r.choice(NOUNS)} {n}", f"Round {r.randint(1, 99)} ended with {n} failed", f"{r.choice(PRODUCTS)} {self.version()}", f"Version {self.version()} of the {r.choice(NOUNS)}",
-                f"Order code {d(4)}-{d(4)}-{d(r.choice((1, 2, 3)))} belongs to HD-{n}, not to a person", f"Order number {d(8)} was shipped", f"Part number {d(3)}-{d(5)}-{d(2)} is gone", f"Invoice {d(10)} was paid", f"Serial numbers such as {d(3)}-{d(2)}-{d(r.choice((1, 2, 3)))} come from a counter",
-                f"Lease numbers like {d(3, '0')}-{d(2)}-{d(r.choice((1, 2, 3)))} come from the counter", f"from {r.randint(1, 223)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 254)} in {n} ms", f"the relay sent {n} pages from {d(3, '1')}.{d(2, '1')}.{d(3, '1')}.{d(2, '1')}", f"Node {d(18, '3')} sits {n} levels down", f"job-{d(4)}-{d(4)} ran {n} times",
-                f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)} INFO move job={d(18, '3')} rows={n}", f"Checksum {d(12)} differs from {d(12)}", f"Checksum {d(11)} differs from {d(9)}", f"Install {r.choice(NOUNS)}-tools@{self.version()} first", "The selector user@* matches nothing", "Templates carry name@domain until filled",
-                f"Ping @oncall-{d(6)} or @{r.choice(NOUNS)}keepers", f"Ticket TREE-{d(5)} and HD-{d(4)} are one", f"bucket {d(10, '1')} holds {n} rows", f"timestamp {d(10, '17')} is late", f"id {d(9)} or {d(10)} or {d(11)} were seen", f"build {self.version()}-{d(8)} breaks",
-                f"{n} {t().split()[0]} pages", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"account {d(4)} {d(4)} {d(4)} {d(4)} is a test card", f"error code {d(4)} {d(3)}", f"range {d(3)} - {d(4)} - {d(3)}", f"size {d(3)} {d(3)} {d(3)} bytes", f"SKU AB{d(7)} is sold out", f"lease AB{d(6)} expired", f"key {d(6)}-{d(3)} opens it",
-            ]
+            (
+                f"{t()} {f()}", f"{t()} {f()}", f"{self.opening()} {t()} {f()}", f"{self.opening()} {t()}", f"team {t()}", f"the {t()} team", f"das Team {t()} {f()}", f"el equipo {t()} {f()}", f"group {t()} {f()}", f"both {t()} and {t()} {f()}",
+                f"{t()} or {t()}", f"ask {t()}", f"by {t()}", f"from {t()} {f()}", f"{t()}: {f()}", f"with {t()}, {f()}", f"{self.feature()} {f()}", f"{self.opening()} {self.feature()} {f()}", f"{self.feature()} and {self.feature()} {f()}", f"{n} {self.feature()} {f()}",
+                f"{n} {h()}", f"titles such as {n} {h()} and {n} {h()}", f"chapter {n} {h()} {f()}", f"{self.opening()} {n} {h()} {f()}", f"{n} {h()}, {n} {h()} {f()}", f"see {n} {h()}", f"{n} {r.choice(MONTHS)} {r.randint(1990, 2030)}",
+                f"on {r.choice(MONTHS)} {n}", f"{r.choice(MONTHS)} {r.choice(self.ordinary).title()} {f()}", f"# {h()} {n}", f"{h()} {f()}", f"{self.feature()} {self.version()}", f"{n} {t().split()[0]} {f()}", f"{self.opening()} {r.choice(EN).title()} {f()}",
+                f"The {r.choice(EN).title()} {r.choice(EN).title()} {f()}", f"{f()}. {r.choice(self.small).title()} {r.choice(EN).title()} {f()}", f"{r.choice(self.small).title()} {t()} {f()}", f"{r.choice(self.small).title()} {r.choice(self.small)} {t()} {f()}",
+            )
         )
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
         label, number = self.id_number()
-        slots = {"N": ("name", self.name), "E": ("email", self.email), "P": ("phone", self.phone), "A": ("address", self.address), "I": ("id_number", lambda: number), "T": (None, self.team), "L": (None, lambda: label), "D": (None, self.decoy), "W": (None, lambda: str(r.randint(1, 400)))}
-        frame = r.choice(FRAMES)
+        slots = {
+            "N": ("name", self.name), "E": ("email", self.email), "P": ("phone", self.phone), "A": ("address", self.address), "I": ("id_number", lambda: number), "T": (None, self.team), "L": (None, lambda: label),
+            "D": (None, self.decoy), "W": (None, lambda: str(r.randint(1, 400))), "F": (None, self.filler), "O": (None, self.opening),
+        }
+        frame = r.choice(BARE if r.random() < 0.55 else FRAMES)
         if r.random() < 0.5:
-            frame = r.choice(["{D}. ", "{D}. ", "- {D}.\n", "[12:3{W}] ops: ", "> ", "<li>", "# {D}\n\n", "{D}\n"]) + frame
+            frame = r.choice(["{D}. ", "{O}. ", "{O} {W} {F}. ", "- {D}.\n", "- {O} {F}.\n- ", "- ", "{W}: ", "> ", "<p>", "<li>", "# {D}\n\n", "{D}\n", "* "]) + frame
         if r.random() < 0.6:
-            frame += r.choice([" {D}.", "\n{D}.", "</li>\n<li>{D}.", "\n\n- {D}.", " With {W} workers it is fine.", " {W} jobs ran.", " The {T} group kept it.", " Version 3.2.1 came.", " Send it now.", " Compared with Monday, all is well."])
+            frame += r.choice([" {D}.", "\n{D}.", "</p>\n<p>{D}.", "\n\n- {D}.", " {O} {W}.", " {O} {F}.", " The {T} {F}.", " {O}, {F}.", "; {F}."])
         text, gold, rest = "", [], frame
         while rest:
             a = rest.find("{")
@@ -207,20 +268,26 @@ class Maker:
         return text, gold
 
 
+BARE = [
+    "{O} {N} {F}.", "{N} {F}.", "{N} {F} {F}.", "{N} {F} {W} {F}.", "{N} {F} {P}.", "{O} {F} {N}.", "{O} {N}, {F}.", "{O} {N} and {N} {F}.", "{O}: {N}", "{N}\n", "{O} {N} ({E}) {F}.", "{O} {N} <{E}> {F}.", "{N} <{E}>", "{O} {E} {F}.", "{O}: {E}", "{E}, {E}", "{E}; {E}", "{O} {E}.",
+    "{O} {P} {F}.", "{O}: {P}", "{O} {P}.", "{P} {F}.", "{O} {P} or {P}.", "{O} {N}, {P}.", "{O} {N} {F} {P} {F}.", "{O} {A} {F}.", "{O}: {A}", "{O} {A}.", "{A}\n", "{A}, {F}.", "{O} {A} {F} {A}.", "{N}, {A}", "{O} {N}, {A}.",
+    "{O} {L} {I} {F}.", "{O} {L}: {I}.", "{L} {I}", "{O} ({L}): {I}.", "{O} {F} {L} {F} {I}, {F}.", "{O} {I} ({L}).", "{N}, {L} {I}", "{O} {L} {I} {F} {P}.", "{T} {F} {N}.", "{O} {T} {F} {P}.", "{N} {F} {T}.", "{D}.", "{D}.", "{D}. {D}.", "{D}, {F} {T}.", "{D}; {D}.", "{D}.\n{D}.",
+    "{N}\n{A}\n{P}", "{O},\n{N}\n{A}\n{O} {P}\n", "{N}\n{P}\n{E}\n", "{O} {N} {F} {E} {F} {P}.",
+]
+
 FRAMES = [
-    "{D}.", "{D}.", "{D}.", "{D}. {D}.", "{D}. {D}.", "{D}, says {T}.", "{D}; {D}.", "{D}.\n{D}.",
-    "Reported by {N} <{E}> after the retry.", "Reported by {N} <{E}>.", "Filed by {N} ({E}) last week.", "Written by {N}, {E}.", "{N} <{E}> wrote:", "From: {N} <{E}>\nTo: {E}",
-    "cc: {E}, {E}", "Cc: {E}; {E}", "Reply to: {E}", "Reply to {E} today.", "Write to {E} if it fails.", "The owner is {E}; please restore it.", "The field was overwritten with {E}; please check.", "Bitte an {E} schreiben.", "Escribe a {E} por favor.", "Contact: {E}", "mail {E}", "Account {E} is locked.",
-    "If it happens again, call {N} on {P} and leave a message.", "Please call {P} before noon.", "call {N} at {P}", "tel: {P}", "Tel.: {P}", "phone {P}", "Phone: {P}", "Mobile: {P}, office: {P}", "The page still shows {P} as the contact of the space.", "El teléfono es {P}.", "Telefon {P}", "Fax {P}.", "call back at {P}.", "ring {P} or {P}.", "WhatsApp {P}",
-    "{N} approved the purge and asked for a call back at {P}.", "{N} asked for a call at {P}.", "{N} signed off.", "{N} wrote this page.", "{N} wants the {T} team to help.", "{N} and {N} agreed.", "I spoke with {N} and {N} about the folder.", "I met {N} about the move.", "We thank {N} for the help.", "as {N} said", "according to {N}, it works", "Assigned to {N}", "Requester: {N}\n", "Author: {N}\n", "Owner: {N}", "Approved by {N}.", "Dear {N},", "Hello {N}, thanks.", "Best,\n{N}\n", "attention {N}.", "on behalf of {N}.", "handed over to {N}, who left.",
-    "Gemeldet von {N}, erreichbar unter {P}.", "Herr {N} wohnt in der {A}.", "Frau {N} ruft an.", "Lo pidió {N} desde {E}.", "a nombre de {N}.", "La señora {N} llamó.", "Von {N} am Montag geprüft.", "Según {N}, todo va bien.",
-    "Regards,\n{N}\n{A}\ntel: {P}", "Regards,\n{N}\n{A}\ntel: {P}\n", "Best regards\n{N}\n{A}\nPhone: {P}", "Grüße\n{N}\n{A}\n{P}", "Sincerely,\n{N}\n", "Regards,\n{N}\n{A}\ntel: {P} {D}.",
-    "Send the copy to {A}, attention {N}.", "Send it to {A}.", "Ship to {A}, attn {N}.", "He moved to {A} in May.", "The profile says {A} and the older one {A}.", "My address is {A}.", "Delivery goes to {A}.", "The office at {A} is closed.", "Die Unterlagen gehen an {N}, {A}.", "Die Post geht an {A}.", "La carta va a {A}, a nombre de {N}.", "Vive en {A}.", "lives at {A}", "Address: {A}", "{A}\n", "from {A} to {A}.", "Moved house? It says {A} and {A}.",
-    "Verified caller by {L} {I} before the reset.", "The form showed the {L} as {I}, which should not be here.", "Ausweis ({L}): {I}.", "Documento ({L}): {I}.", "{L}: {I}", "{L} {I}", "her {L} is {I}", "with {L} {I} on file", "checked by {L} {I}.", "the {L} ({I}) is public", "{N}, {L} {I}", "The page shows {L} {I} and {P}.",
-    "{T} met {N} and {N}.", "The {T} group called {P}.", "{N} of {T} left a note.", "{T} and {N} wrote to {E}.",
+    "Dear {N},", "Hello {N}, {F}.", "Mr {N} booked a double room.", "Mrs {N} cancelled her booking.", "Dr. {N} sees patients on Monday.", "Yours faithfully,\n{N}\n", "Yours truly\n{N}\n{A}\n", "Cheers, {N}", "Thanks, {N}", "Kind regards\n{N}\n{P}", "Sincerely yours,\n{N}\n{A}\nMobile: {P}",
+    "From: {N} <{E}>\nTo: {E}\nCc: {E}", "On Friday {N} <{E}> answered:", "Email: {E}", "Drop a line to {E}.", "Invitations went out to {E} and {E}.", "Unsubscribe {E} from the newsletter.", "Login: {E}", "The bill was mailed to {E}.", "Correo: {E}", "Meine Mailadresse lautet {E}.", "Puede escribir a {E}.",
+    "Telephone: {P}", "Tel. {P}", "Mobile {P}, fax {P}", "Our hotline is {P}.", "Ring the surgery on {P}.", "Text {P} to vote.", "Dial {P} for the front desk.", "Rückruf unter {P} erbeten.", "Handy: {P}", "Mi móvil es el {P}.", "Llámame al {P}.", "Reception: {P}", "You can reach the coach on {P}.", "She left her number, {P}, with the nurse.", "He answers on {P} after six.",
+    "{N} sang at the wedding.", "{N} plays the violin.", "The goal was scored by {N}.", "Photo: {N}", "Translated by {N}", "Coach {N} trained the juniors.", "A speech by {N} closed the evening.", "{N} and {N} won the doubles.", "Minutes taken by {N}.", "Present: {N}, {N}, {N}.", "Director: {N}", "Employee: {N}", "Patient: {N}\nBorn: 1980", "Guest name: {N}", "Teacher {N} called in sick.", "We congratulate {N} on the birth.", "according to witness {N}, the car stopped",
+    "Verfasst von {N}.", "Gemalt von {N}, {F}.", "{O} gebaut von {N} {F}.", "Übersetzt von {N} und {N}", "ein Lied von {N}", "Foto von {N}, {F}.", "{F} besucht von {N}.", "Escrito por {N}.", "una foto de {N}, {F}", "{O} pintado por {N} {F}.",
+    "Signed: {N}", "Herr {N} hat gekündigt.", "Frau {N} zieht um.", "Vielen Dank an {N}!", "Der Arzt {N} ist verreist.", "El profesor {N} llegó tarde.", "La doctora {N} atiende hoy.", "Firmado: {N}", "Viele Grüße\n{N}\n{A}\n", "Un saludo,\n{N}\n{P}", "My neighbour {N} feeds the cat.", "Tell {N} that dinner is ready.", "the lawyer of {N} objected", "{N}'s dentist retired.",
+    "The parcel goes to {A}.", "We live at {A}.", "Meet me outside {A}.", "The bakery at {A} opens at six.", "A flat in {A} is to let.", "Wir wohnen in der {A}.", "Anschrift: {A}", "Domicilio: {A}", "Vivo en {A}.", "The taxi waited at {A}.", "Home address: {A}", "They sold {A} last spring.", "Billing: {N}, {A}", "Nouvelle adresse: {A}", "Die Praxis in der {A} schließt.", "Pick up the keys at {A} and return them to {A}.", "a fire at {A}",
+    "Her {L} is {I}.", "{L}: {I}", "Enter your {L} ({I}) below.", "His {L} {I} was stolen.", "Please copy the {L} {I} onto the form.", "{N} showed {L} {I} at the border.", "The clinic stored {L} {I}.", "Nummer ({L}): {I}.", "Con {L} {I}.", "He wrote {I} as his {L}.",
+    "The {T} choir rehearses on Tuesday.", "{T} beat {T} at home.", "{N} of {T} scored twice.", "{T} welcomes {N}.", "Sponsored by {T}.",
 ]
 
 
-def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    maker = Maker(seed)
+def labelled_sentences(n: int, words: dict[str, str], seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    maker = Maker(seed, words)
     return [maker.sentence() for _ in range(n)]
