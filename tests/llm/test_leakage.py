@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -96,6 +97,9 @@ def test_planted_leaks(spark):
     assert {(x.doc_id, x.item_id) for x in leaks.collect()} == want
     spans = lk.removal_spans(leaks).collect()
     assert all(s.first_word < s.end_word for s in spans) and {s.doc_id for s in spans} == {d for d, _ in want}
+    raw = {d: text for d, text, _ in docs}
+    for s in spans:
+        assert lk.words(raw[s.doc_id][s.first_char : s.end_char]) == lk.words(raw[s.doc_id])[s.first_word : s.end_word]
 
 
 def test_short_items_are_found_whole(spark):
@@ -117,7 +121,59 @@ def test_short_items_are_found_whole(spark):
             want |= {(d, i, p, p + len(w)) for p in range(len(x) - len(w) + 1) if w and x[p : p + len(w)] == w}
     assert {i for _, i, *_ in want} == {1, 2, 5, 6, 7, 14, 15, 50}
     leaks = lk.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {tuple(x) for x in leaks.collect()} == want
+    assert {tuple(x)[:4] for x in leaks.collect()} == want
+
+
+def test_whole_items_by_an_independent_rule(spark):
+    """Own normaliser and own rule: an item is a substring of the text between two blanks."""
+    plain = lambda t: " " + " ".join("".join(c if c.isalnum() else " " for c in re.sub(r"<[^>]*>", "", t).lower()).split()) + " "
+    r = random.Random(21)
+    items = [(n * 10 + k, " ".join(r.choice(WORDS) for _ in range(n))) for n in (3, 8, 14) for k in range(6)]
+    docs = []
+    for d in range(400):
+        w = [r.choice(WORDS) for _ in range(r.randint(0, 40))]
+        part = r.choice(items)[1].split()
+        if d % 4 == 1:
+            part = [x.upper() + "," for x in part]
+        elif d % 4 == 2:
+            part = [f"<b>{x}</b>" for x in part]
+        elif d % 4 == 3:
+            part[r.randrange(len(part))] = "other"
+        docs.append((d, " ".join([*w, *part, *w])))
+    want = {(d, i) for d, t in docs for i, x in items if plain(x) in plain(t)}
+    assert len(want) >= 300
+    leaks = lk.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    raw, texts = dict(docs), dict(items)
+    got = leaks.collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    assert all(plain(raw[x.doc_id][x.first_char : x.end_char]) == plain(texts[x.item_id]) for x in got)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_located_words_are_the_words(seed):
+    r = random.Random(seed)
+    bits = ["ß", "É", "a&amp;amp;b", "<b>", "</p>", "<!-- x -->", "<!-- open", "\\n", "\\u00e9", "%41", "=\n", "-", "’", "\u00ad", "ﬃ", "İ", " ", "x", "Zug", "&eacute;", "&lt;i&gt;", "é", "<a title='" + "y" * 900 + "'>"]
+    for _ in range(40):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        located = lk.located_words(text)
+        assert [w for w, _, _ in located] == lk.words(text)
+        assert all(0 <= a < b <= len(text) for _, a, b in located)
+
+
+def test_long_markup_inside_a_passage(spark):
+    w = [f"u{i}" for i in range(20)]
+    inside = [(1, " ".join(w[:10]) + f" <a href='{'x' * 5000}'>" + " ".join(w[10:])), (2, " ".join(w[:10]) + f" <!-- {'y ' * 3000}--> " + " ".join(w[10:]))]
+    got = lk.find_leaks(spark.createDataFrame(inside, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"))
+    assert {(x.doc_id, x.first_word, x.end_word) for x in got.collect()} == {(1, 0, 20), (2, 0, 20)}
+
+
+def test_blocks_and_chunks_do_not_matter(monkeypatch):
+    r = random.Random(8)
+    rows = item_texts(r)
+    docs = [(d, lk.words(" ".join(r.choice(WORDS) for _ in range(9)) + " " + r.choice(rows)[1])) for d in range(40)]
+    whole = sorted(lk.Items(rows).search_shard(docs))
+    monkeypatch.setattr(lk, "EXPANDED", 7)
+    assert len(whole) >= 40 and sorted(lk.Items(rows, block=3).search_shard(docs)) == whole
 
 
 def test_shards_do_not_matter(spark, monkeypatch):
@@ -125,7 +181,7 @@ def test_shards_do_not_matter(spark, monkeypatch):
     items = lk.Items(item_texts(r))
     docs = [(d, lk.words(" ".join(r.choice(WORDS) for _ in range(50)) + " " + " ".join(r.choice(WORDS) + "0" for _ in range(20)))) for d in range(30)]
     whole = items.search_shard(docs)
-    assert sorted(whole) == sorted(x for d in docs for x in items.search_shard([d]))
+    assert sorted((docs[d][0], *x) for d, *x in whole) == sorted((i, *x) for i, w in docs for _, *x in items.search_shard([(i, w)]))
 
 
 def test_empty(spark):
