@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamgraph.session import Scratch
 
 TOP_K = 100_000
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
@@ -53,16 +53,29 @@ def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratc
     return hot.unionByName(_meet(_meet(big, few, keys, "left_anti"), unique, keys, how))
 
 
-def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a stored table take at most ``limit`` bytes in memory, measured over all of them."""
+    wide = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in stored.dtypes if kind in ("string", "binary")]
+    wide += [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c, kind in stored.dtypes if kind.startswith(("array", "map", "struct"))]
+    row = F.lit(16 + 8 * len(stored.columns)).cast("long")
+    for w in wide:
+        row = row + w
+    return (stored.agg(F.sum(row)).first()[0] or 0) <= limit
+
+
+def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", limit: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
     """The same, but without moving ``big`` where the unique side is small.
 
-    The unique side is written and counted; up to ``limit`` rows it is
-    broadcast, beyond that ``hot_join`` takes over.
+    The unique side is written and measured; up to ``limit`` bytes it is
+    broadcast, beyond that ``hot_join`` takes over.  A caller that has stored and
+    measured it says so by ``small``.
     """
-    kept = scratch.keep(unique)
-    if kept.count() > limit:
-        return hot_join(big, kept, keys, scratch, how)
-    return _meet(big, F.broadcast(kept), keys, how)
+    kept = scratch.keep(unique) if small is None else unique
+    if small is None:
+        small = is_small(kept, limit)
+    if small:
+        return _meet(big, F.broadcast(kept), keys, how)
+    return hot_join(big, kept, keys, scratch, how)
 
 
 def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) -> DataFrame:

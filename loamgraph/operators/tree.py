@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.paths import child_path, path_ids, root_path, under
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import sized_join
+from loamgraph.session import Scratch
 
 KEY = ["tenant_id", "node_id"]
 MAX_DEPTH = 63
@@ -19,6 +20,10 @@ MOVE_LIMIT = 10_000
 SPACE_KEY = r"^[A-Z][A-Z0-9]{1,15}$"
 
 
+def _sized(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    return sized_join(big, unique, keys, Scratch(big.sparkSession, "tree"), how)
+
+
 def on_path(nodes: DataFrame) -> DataFrame:
     """``(tenant_id, node_id, anc_id, pos)``: every id on a node's path, itself last."""
     return nodes.select(*KEY, F.posexplode(path_ids(F.col("path"))).alias("pos", "anc_id"))
@@ -27,11 +32,11 @@ def on_path(nodes: DataFrame) -> DataFrame:
 def trashed_below(nodes: DataFrame) -> DataFrame:
     """Keys of nodes in the trash: any id on the path is trashed.
 
-    Driven from the trashed nodes, which are few, and salted: one trashed node
-    may have a large part of all nodes below it.
+    Driven from the trashed nodes: few are broadcast; of many, those that a large
+    part of all nodes lies below still are.
     """
     bad = nodes.where("status = 'TRASHED'").select("tenant_id", F.col("node_id").alias("anc_id")).distinct()
-    return salted_join(on_path(nodes), bad, ["tenant_id", "anc_id"], "node_id").select(*KEY).distinct()
+    return _sized(on_path(nodes), bad, ["tenant_id", "anc_id"]).select(*KEY).distinct()
 
 
 def with_trash_flag(nodes: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def breadcrumbs(nodes: DataFrame) -> DataFrame:
     """``(tenant_id, node_id, pos, anc_id, title)``: ancestors root first, without the node itself."""
     up = on_path(nodes).where("anc_id <> node_id")
     names = nodes.select("tenant_id", F.col("node_id").alias("anc_id"), F.col("title").alias("anc_title"))
-    return salted_join(up, names, ["tenant_id", "anc_id"], "node_id")
+    return _sized(up, names, ["tenant_id", "anc_id"])
 
 
 def children_page(nodes: DataFrame, tenant: str, parent: int, after: tuple[str, int] | None, limit: int) -> DataFrame:
@@ -80,7 +85,7 @@ def descendants_page(nodes: DataFrame, tenant: str, root_path_value: str, root_d
 def effective(nodes: DataFrame, old_prefix: str, new_prefix: str, depth_delta: int) -> DataFrame:
     """Rows read through a running move: stored paths below the old prefix appear below the new."""
     moved = F.col("path").startswith(old_prefix)
-    return nodes.withColumns({"path": F.when(moved, F.concat(F.lit(new_prefix), F.substring("path", len(old_prefix) + 1, 1_000_000))).otherwise(F.col("path")), "depth": F.when(moved, F.col("depth") + depth_delta).otherwise(F.col("depth")).cast("int")})
+    return nodes.withColumns({"path": F.when(moved, F.concat(F.lit(new_prefix), F.expr(f"substring(path, {len(old_prefix) + 1})"))).otherwise(F.col("path")), "depth": F.when(moved, F.col("depth") + depth_delta).otherwise(F.col("depth")).cast("int")})
 
 
 def trash_list(nodes: DataFrame, limit: int = 1000) -> DataFrame:
@@ -108,8 +113,8 @@ def check_create(requests: DataFrame, nodes: DataFrame, allowed: Column) -> Data
     """
     parent = with_trash_flag(nodes).select("tenant_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"), F.col("path").alias("parent_path"), F.col("depth").alias("parent_depth"), "in_trash")
     top = max_ranks(nodes)
-    out = salted_join(requests, parent, ["tenant_id", "parent_id"], "new_id", how="left")
-    out = salted_join(out, top, ["tenant_id", "parent_id"], "new_id", how="left")
+    out = _sized(requests, parent, ["tenant_id", "parent_id"], "left")
+    out = _sized(out, top, ["tenant_id", "parent_id"], "left")
     verdict = F.when(F.col("parent_path").isNull(), "NO_PARENT").when(F.col("in_trash"), "PARENT_TRASHED").when(F.col("parent_depth") >= MAX_DEPTH, "TOO_DEEP").when(~F.coalesce(allowed, F.lit(False)), "TYPE").otherwise("CREATED")
     ok = verdict == "CREATED"
     return out.select("tenant_id", "new_id", "parent_id", verdict.alias("verdict"), F.when(ok, child_path(F.col("parent_path"), F.col("new_id"))).alias("path"), F.when(ok, F.col("parent_depth") + 1).cast("int").alias("depth"), F.when(ok, F.col("max_rank")).alias("after_rank"))
@@ -131,7 +136,7 @@ def move_subtree(nodes: DataFrame, tenant: str, old_path: str, new_parent_path:
         {
             "parent_id": F.when(is_root, F.lit(new_parent_id)).otherwise(F.col("parent_id")),
             "depth": F.when(inside, F.col("depth") + delta).otherwise(F.col("depth")).cast("int"),
-            "path": F.when(inside, F.concat(F.lit(new_path), F.substring("path", len(old_path) + 1, 1_000_000))).otherwise(F.col("path")),
+            "path": F.when(inside, F.concat(F.lit(new_path), F.expr(f"substring(path, {len(old_path) + 1})"))).otherwise(F.col("path")),
         }
     )
 
@@ -149,7 +154,7 @@ def denied(nodes: DataFrame, restrictions: DataFrame, principals: list[str], op:
     ops = ["VIEW"] if op == "VIEW" else ["VIEW", op]
     rules = restrictions.where(F.col("op").isin(ops)).groupBy("tenant_id", F.col("node_id").alias("anc_id"), "op").agg(F.bool_or(F.col("principal").isin(principals)).alias("ok"))
     closed = rules.where("not ok").select("tenant_id", "anc_id").distinct()
-    return salted_join(on_path(nodes), closed, ["tenant_id", "anc_id"], "node_id").select(*KEY).distinct()
+    return _sized(on_path(nodes), closed, ["tenant_id", "anc_id"]).select(*KEY).distinct()
 
 
 def visible(nodes: DataFrame, restrictions: DataFrame, principals: list[str], op: str = "VIEW") -> DataFrame:
@@ -179,7 +184,7 @@ def purge(nodes: DataFrame, content: DataFrame, restrictions: DataFrame) -> tupl
 def violations(nodes: DataFrame) -> DataFrame:
     """``(tenant_id, node_id, problem)`` by comparing each node with its stored parent."""
     parent = nodes.select("tenant_id", F.col("node_id").alias("parent_id"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), F.col("space_id").alias("p_space"))
-    linked = salted_join(nodes.where("parent_id is not null"), parent, ["tenant_id", "parent_id"], "node_id")
+    linked = _sized(nodes.where("parent_id is not null"), parent, ["tenant_id", "parent_id"])
     wrong = [
         F.when(~F.col("path").eqNullSafe(child_path(F.col("p_path"), F.col("node_id"))), F.lit("path")),
         F.when(~F.col("depth").cast("int").eqNullSafe((F.col("p_depth") + 1).cast("int")), F.lit("depth")),
