@@ -26,17 +26,26 @@ def daily(df: DataFrame, keys: list[str], day: str, amount: str) -> DataFrame:
 
 
 def densify(per_day: DataFrame, keys: list[str], day: str, last_day: Column) -> DataFrame:
-    """A row for every key and day from the key's first day to ``last_day``, a scalar."""
-    spans = per_day.groupBy(*keys).agg(F.min(day).alias("_first"), F.map_from_entries(F.collect_list(F.struct(F.col(day), F.col("amount")))).alias("_by_day"))
-    dense = spans.select(*keys, "_by_day", F.col("_first"), F.explode(F.sequence(F.col("_first"), last_day)).alias(day))
-    return dense.select(*keys, day, "_first", F.coalesce(F.element_at("_by_day", F.col(day)), F.lit(0)).cast("long").alias("amount"))
+    """A row for every key and day from the key's first day to ``last_day``, a scalar.
+
+    Each stored day brings the empty days up to the next one with it, so a row
+    is made from one row and costs the same whatever the history of its key.
+    """
+    order = Window.partitionBy(*keys).orderBy(day)
+    following = F.coalesce(F.lead(day).over(order) - 1, last_day)
+    spans = per_day.select(*keys, "amount", F.col(day).alias("_from"), following.alias("_to"), F.min(day).over(Window.partitionBy(*keys)).alias("_first"))
+    dense = spans.select(*keys, "_first", "_from", "amount", F.explode(F.sequence("_from", "_to")).alias(day))
+    return dense.select(*keys, day, "_first", F.when(F.col(day) == F.col("_from"), F.col("amount")).otherwise(F.lit(0)).cast("long").alias("amount"))
 
 
 def rolling_totals(df: DataFrame, keys: list[str], day: str, amount: str, periods: tuple[int, ...] = (7, 30), where: Column | None = None) -> DataFrame:
     """``total_N`` and ``avg_N`` for each key, day and N; ``age`` counts days since the key's first."""
-    per_day = daily(df if where is None else df.where(where), keys, day, amount)
-    last_day = per_day.agg(F.max(day)).scalar()
-    dense = densify(per_day, keys, day, last_day)
+    rows = df if where is None else df.where(where)
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    last_day = rows.where(known).agg(F.max(day)).scalar()
+    dense = densify(daily(rows, keys, day, amount), keys, day, last_day)
     out = [F.sum("amount").over(Window.partitionBy(*keys).orderBy(day).rowsBetween(1 - n, 0)).alias(f"total_{n}") for n in periods]
     summed = dense.select(*keys, day, "amount", (F.col(day) - F.col("_first")).alias("age"), *out)
     return summed.select("*", *[(F.col(f"total_{n}") / F.lit(float(n))).alias(f"avg_{n}") for n in periods])
