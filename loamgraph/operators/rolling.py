@@ -3,7 +3,8 @@
 Daily values are aggregated first, so whatever the skew of the raw rows, an
 entity holds at most one row a day afterwards.  The calendar is generated per
 entity with ``explode(sequence(...))``: the entity-calendar product without
-a join.  Sums then run over a fixed number of preceding rows.
+a join.  A sum over a fixed number of preceding rows is the difference of two
+running sums, that of the row and that of the row as many places before.
 
 Defined results: null amounts count as 0; repeated (key, day) rows take the
 largest amount; rows with a null day or null key column are ignored; days run
@@ -46,6 +47,9 @@ def rolling_totals(df: DataFrame, keys: list[str], day: str, amount: str, period
         known = known & F.col(c).isNotNull()
     last_day = rows.where(known).agg(F.max(day)).scalar()
     dense = densify(daily(rows, keys, day, amount), keys, day, last_day)
-    out = [F.sum("amount").over(Window.partitionBy(*keys).orderBy(day).rowsBetween(1 - n, 0)).alias(f"total_{n}") for n in periods]
-    summed = dense.select(*keys, day, "amount", (F.col(day) - F.col("_first")).alias("age"), *out)
+    order = Window.partitionBy(*keys).orderBy(day)
+    run = dense.withColumn("_run", F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the sum over the last n rows, for one addition a row however long the period
+    out = [(F.col("_run") - F.coalesce(F.lag("_run", n).over(order), F.lit(0))).alias(f"total_{n}") for n in periods]
+    summed = run.select(*keys, day, "amount", (F.col(day) - F.col("_first")).alias("age"), *out)
     return summed.select("*", *[(F.col(f"total_{n}") / F.lit(float(n))).alias(f"avg_{n}") for n in periods])
