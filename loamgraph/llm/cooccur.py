@@ -2,10 +2,13 @@
 
 Basket collapsing: the items of each record become one sorted set, equal sets
 collapse to a weight, pairs are enumerated once per distinct set and weights
-are summed.  Two exact bounds remove items before any pair is formed: an item
-below ``min_count`` can be in no reported pair, and, where a least ratio over
-chance is asked for, nab * n >= r * na * nb with nab <= na gives r * nb <= n, so
-the most frequent items, which would make the most pairs, drop out.
+are summed, map-side first, so two items that stand together in a third of all
+records send one number from each split.  Counts are then scored.
+
+The collapsed baskets are written once; totals, single counts and pairs all
+read them.  A basket of more than ``WIDE`` items is cut into blocks of that many;
+each two of its blocks are one row, spread over the tasks, so that no task has
+to make all pairs of one large record.
 
 Defined results: null items are left out, a record left empty counts nowhere;
 repeated rows count once; a null group or record key is a value of its own;
@@ -17,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.operators.skew import salted_join
+from loamgraph.operators.skew import is_small, sized_join
+from loamgraph.session import Scratch
+
+WIDE = 256
 
 
 def baskets(df: DataFrame, group: str, record: list[str], item: str) -> DataFrame:
@@ -26,27 +32,30 @@ def baskets(df: DataFrame, group: str, record: list[str], item: str) -> DataFram
     return sets.groupBy("grp", "items").agg(F.count("*").alias("weight"))
 
 
-def pair_counts(df: DataFrame, group: str, record: list[str], item: str, min_count: int, min_ratio: float | None = None, salts: int = 16) -> DataFrame:
-    """``(grp, item_a, item_b, n, n_a, n_b, n_ab)`` of pairs in at least ``min_count`` records."""
-    held = baskets(df, group, [c for c in record if c != group], item)
+def weighted_pairs(held: DataFrame, wide: int = WIDE) -> DataFrame:
+    """``(grp, item_a, item_b, weight)``: every pair of every basket, the smaller item first."""
+    firsts = held.where((F.size("items") > 1) & (F.size("items") <= wide)).select("grp", "items", "weight", F.posexplode("items").alias("i", "item_a")).where("i < size(items) - 1")
+    narrow = firsts.select("grp", "item_a", F.explode(F.expr("slice(items, i + 2, size(items))")).alias("item_b"), "weight")
+    blocks = F.ceil(F.size("items") / F.lit(wide)).cast("int") - 1
+    left = held.where(F.size("items") > wide).withColumn("i", F.explode(F.sequence(F.lit(0), blocks)))
+    cut = lambda at: F.expr(f"slice(items, {at} * {wide} + 1, {wide})")
+    both = left.withColumn("j", F.explode(F.sequence("i", blocks))).select("grp", "weight", "i", "j", cut("i").alias("a"), cut("j").alias("b"))
+    spread = both.repartition("grp", F.element_at("a", 1), F.element_at("b", 1), "i", "j")
+    large = spread.select("grp", "weight", "b", F.explode("a").alias("item_a")).select("grp", "item_a", F.explode("b").alias("item_b"), "weight").where("item_a < item_b")
+    return narrow.unionByName(large)
+
+
+def pair_counts(df: DataFrame, group: str, record: list[str], item: str, min_count: int = 1, min_ratio: float | None = None) -> DataFrame:
+    """``(grp, item_a, item_b, n, n_a, n_b, n_ab)`` of pairs in at least ``min_count`` records, ``min_ratio`` times as often as by chance."""
+    scratch = Scratch(df.sparkSession, "pairs")
+    held = scratch.keep(baskets(df, group, [c for c in record if c != group], item))
     total = held.groupBy("grp").agg(F.sum("weight").alias("n"))
-    single = held.select("grp", F.explode("items").alias("item"), "weight").groupBy("grp", "item").agg(F.sum("weight").alias("n_i"))
-    useful = salted_join(single.where(F.col("n_i") >= min_count), total, ["grp"], "item", salts)
-    if min_ratio is not None:
-        useful = useful.where(F.col("n_i") * min_ratio <= F.col("n"))
-    again = held.where(F.size("items") > 1)
-    if min_count > 1 or min_ratio is not None:  # else every item stays and the sets are whole already
-        # two independent hashes name a basket; unlike a row number they survive recomputation
-        named = again.select("grp", F.xxhash64("grp", "items").alias("h1"), F.hash("items", "grp").alias("h2"), "weight", F.explode("items").alias("item"))
-        kept = salted_join(named, useful.select("grp", "item"), ["grp", "item"], "h1", salts)
-        again = kept.groupBy("grp", "h1", "h2").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("weight").alias("weight"))
-        again = again.where(F.size("items") > 1).groupBy("grp", "items").agg(F.sum("weight").alias("weight"))
-    firsts = again.select("grp", "items", "weight", F.posexplode("items").alias("i", "item_a")).where("i < size(items) - 1")
-    pairs = firsts.select("grp", "weight", "item_a", F.explode(F.expr("slice(items, i + 2, size(items))")).alias("item_b"))
-    summed = pairs.groupBy("grp", "item_a", "item_b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)
-    a = useful.select("grp", F.col("item").alias("item_a"), F.col("n_i").alias("n_a"), "n")
-    b = useful.select("grp", F.col("item").alias("item_b"), F.col("n_i").alias("n_b"))
-    out = salted_join(salted_join(summed, a, ["grp", "item_a"], "item_b", salts), b, ["grp", "item_b"], "item_a", salts)
+    single = scratch.keep(held.select("grp", F.explode("items").alias("item"), "weight").groupBy("grp", "item").agg(F.sum("weight").alias("n_i")))
+    summed = scratch.keep(weighted_pairs(held).groupBy("grp", "item_a", "item_b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count))
+    small = is_small(single)
+    out = sized_join(summed, single.select("grp", F.col("item").alias("item_a"), F.col("n_i").alias("n_a")), ["grp", "item_a"], scratch, small=small)
+    out = sized_join(out if small else scratch.keep(out), single.select("grp", F.col("item").alias("item_b"), F.col("n_i").alias("n_b")), ["grp", "item_b"], scratch, small=small)
+    out = sized_join(out if small else scratch.keep(out), total, ["grp"], scratch)
     if min_ratio is not None:
         out = out.where(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * min_ratio)
     return out.select("grp", "item_a", "item_b", "n", "n_a", "n_b", "n_ab")

@@ -47,6 +47,14 @@ def test_every_pair_without_a_bound(spark):
     assert listed(cooccur.pair_counts(spark.createDataFrame(data, S), "tenant_id", ENTITY, "tag_id", 1)) == brute(data, 1)
 
 
+def test_wide_baskets_are_cut(spark):
+    """Pairs of one large record, cut into blocks of 7, once each."""
+    r = random.Random(6)
+    held = [("t", sorted(r.sample(range(100), n)), n) for n in (1, 2, 6, 7, 8, 20, 49)] + [(None, list(range(15)), 1)]
+    got = cooccur.weighted_pairs(spark.createDataFrame(held, "grp string, items array<long>, weight long"), 7)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((g, a, b, w)) for g, items, w in held for a, b in combinations(items, 2))
+
+
 def test_scores(spark):
     pairs = spark.createDataFrame([("t", 1, 2, 100, 10, 20, 10), ("t", 1, 3, 100, 10, 20, 5)], "grp string, item_a long, item_b long, n long, n_a long, n_b long, n_ab long")
     got = {r.item_b: (r.lift, r.conviction) for r in cooccur.scored(pairs).collect()}
