@@ -41,19 +41,56 @@ def test_empty(tables):
     assert orphans.orphan_report(orphans.find_orphans(*none)).count() == 0
 
 
-def test_deltas_equal_recount(tables, spark):
-    """State kept by deltas is the state counted afresh, and removed references leave it."""
+def versions(tags, nodes):
+    return orphans.tag_versions(tags).unionByName(orphans.node_versions(nodes))
+
+
+def test_batches_equal_one(tables, spark, tmp_path):
+    """State kept by deltas, times included, is the state made at once; references taken back leave it."""
     et, tags, nodes, content = tables
-    refs = orphans.references(et, nodes, content)
-    whole = orphans.initial_state(refs, tags, nodes)
+    refs = orphans.assignment_refs(et).unionByName(orphans.content_refs(content))
+    whole = orphans.OrphanState(spark, f"{tmp_path}/whole").apply(versions(tags, nodes), refs)
     late = refs.where("row_key in ('t/e3', 't/e6')")
-    early = orphans.initial_state(refs.join(late, ["ref_table", "row_key"], "left_anti").select(*refs.columns), tags, nodes)
-    cols = ["kind", "tenant_id", "key", "refs", "rows", "live"]
-    stepped = orphans.apply_deltas(early, orphans.reference_deltas(late))
-    assert listed(stepped.select(cols)) == listed(whole.select(cols))
-    undone = orphans.apply_deltas(stepped, orphans.reference_deltas(late, -1))
-    assert listed(undone.select(cols)) == listed(early.select(cols))
-    assert {r.key for r in orphans.orphan_keys(undone).collect()} == {1, 2, 99, 77, 10, 11}
+    early = refs.where("row_key not in ('t/e3', 't/e6')")
+    # the older version of node 12 and of tag 1 arrive after the newer ones
+    newer, older = versions(tags.where("version = 2 or tag_id <> 1"), nodes.where("version = 1")), versions(tags.where("version = 1 and tag_id = 1"), nodes.where("version = 0"))
+    stepped = orphans.OrphanState(spark, f"{tmp_path}/steps").apply(newer, early)
+    before = listed(stepped.counts())
+    stepped.apply(older, late)
+    assert listed(stepped.counts()) == listed(whole.counts()) and listed(stepped.current()) == listed(whole.current())
+    stepped.apply(older.where("false"), refs.where("false"), late)
+    assert listed(stepped.counts()) == before
+    assert {r.key for r in orphans.orphan_keys(stepped.counts()).collect()} == {1, 2, 99, 77, 10, 11}
+
+
+def test_target_deleted_and_created_anew(spark, tmp_path):
+    """After -1 and +1 the new creation time counts: kept state and full recount agree that the reference is not, or is, late."""
+    nodes = lambda *rows: orphans.node_versions(spark.createDataFrame([("a", 11, None, v, t, t) for v, t in rows], NODES))
+    ref = orphans.assignment_refs(spark.createDataFrame([], ET)).unionByName(spark.createDataFrame([("nodes", "node", "a", "13", 11, T2)], "ref_table string, kind string, tenant_id string, row_key string, key long, ref_at timestamp_ntz"))
+    for first, second, reasons in ((T1, T3, {"late"}), (T3, T1, set())):
+        state = orphans.OrphanState(spark, f"{tmp_path}/{first:%m}").apply(nodes((1, first)), ref)
+        state.apply(nodes((2, second)), ref.where("false"))
+        at_once = orphans.OrphanState(spark, f"{tmp_path}/{first:%m}-whole").apply(nodes((1, first), (2, second)), ref)
+        assert listed(state.counts()) == listed(at_once.counts())
+        assert {r.reason for r in orphans.faults(ref, state.counts()).collect()} == reasons
+
+
+def test_lost_batch_and_late_writer(tables, spark, tmp_path):
+    """A batch that failed before its commit is applied again; a second writer of a committed batch changes nothing."""
+    et, tags, nodes, content = tables
+    refs = orphans.assignment_refs(et)
+    state = orphans.OrphanState(spark, str(tmp_path / "s")).apply(versions(tags, nodes), refs.where("row_key = 't/e1'"))
+    lost = orphans.OrphanState(spark, str(tmp_path / "s"))
+    lost.log.publish = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        lost.apply(versions(tags, nodes), refs)
+    before = listed(state.counts())
+    late = orphans.OrphanState(spark, str(tmp_path / "s"))
+    late.log.numbers = lambda: []  # believes that nothing is committed yet
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.apply(versions(tags, nodes), refs)
+    assert listed(state.counts()) == before
+    assert listed(state.apply(versions(tags, nodes), refs).counts()) != before
 
 
 def test_id_time(spark):
