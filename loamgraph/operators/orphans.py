@@ -176,6 +176,8 @@ def faults(refs: DataFrame, state: DataFrame) -> DataFrame:
     """
     bad = orphan_keys(state).select(*KEY, "rows", "live", "target_at")
     met = sized_join(refs, bad, list(KEY), Scratch(refs.sparkSession, "orphans"))
+    late = (F.col("ref_table") != "node_content") & (F.col("ref_at") < F.col("target_at"))
+    met = met.where((F.col("rows") <= 0) | (F.col("live") <= 0) | F.coalesce(late, F.lit(False)))
     hit = met.groupBy("ref_table", "tenant_id", "row_key", "key", "rows", "live", "target_at").agg(F.min("ref_at").alias("ref_at"))
     reasons = F.filter(
         F.array(
