@@ -8,7 +8,9 @@ into the block's array and the arrays are summed.  No row of a hot key
 travels; a key held by every split sends one number from each.
 
 Neither the dictionary nor the arrays are ever gathered in one place: a block
-holds about ``block_size`` codes, and there are as many blocks as needed.
+holds about ``block_size`` codes, and there are as many blocks as needed.  The
+splits' arrays of a block are summed in rounds of at most ``FAN_IN`` each, so a
+task holds ``FAN_IN`` x ``block_size`` numbers, however many splits there are.
 
 Defined results: null keys are counted under a null key of their own; an empty
 table gives no rows; ties need no order; other columns are ignored.
@@ -20,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.session import Scratch
 
-SPLIT_KEYS = 1_000_000
+SPLIT_KEYS, FAN_IN = 1_000_000, 64
 
 
 class _Column:
@@ -43,49 +46,57 @@ class _Column:
             self.counts = np.concatenate([self.counts, np.zeros(max(len(self.index), len(self.counts)), dtype=np.int64)])
         self.counts[np.asarray(local)] += np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(local))
 
-    def take(self) -> pa.RecordBatch:
+    def take(self, split: int) -> pa.RecordBatch:
         n = len(self.index)
-        out = [pa.array([self.field] * n, pa.string()), pa.array(list(self.index), pa.string()), pa.array(self.counts[:n])]
+        out = [pa.array([split] * n, pa.int64()), pa.array([self.field] * n, pa.string()), pa.array(list(self.index), pa.string()), pa.array(self.counts[:n])]
         self.__init__(self.field)
-        return pa.RecordBatch.from_arrays(out, ["field", "key", "n"])
+        return pa.RecordBatch.from_arrays(out, ["split", "field", "key", "n"])
 
 
 def _count_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of every column of one split: dictionary codes, then one bincount a batch."""
+    task = TaskContext.get()
+    split = task.partitionId() if task else 0
     columns: list[_Column] = []
     for batch in batches:
         columns = columns or [_Column(f) for f in batch.schema.names]
         for c, values in zip(columns, batch.columns, strict=True):
             c.add(values)
             if len(c.index) >= SPLIT_KEYS:  # bounds the split's dictionary; its other rows start the next one
-                yield c.take()
+                yield c.take(split)
     for c in columns:
         if c.index:
-            yield c.take()
+            yield c.take(split)
 
 
-def _sum_block(table: pa.Table) -> pa.Table:
-    """One block: scatter-add the splits' counts into its dense array."""
+def _sum_arrays(key: tuple, table: pa.Table) -> pa.Table:
+    """One group of arrays of a block: scatter-add into one dense array."""
     pos = table["pos"].to_numpy()
-    exact = np.zeros(int(pos.max()) + 1 if len(pos) else 0, dtype=np.int64)
-    np.add.at(exact, pos, table["n"].to_numpy())
-    first = np.zeros(len(exact), dtype=np.int64)
-    first[pos[::-1]] = np.arange(len(pos))[::-1]
+    dense = np.zeros(int(pos.max()) + 1 if len(pos) else 0, dtype=np.int64)
+    np.add.at(dense, pos, table["n"].to_numpy())
     held = np.unique(pos)
-    at = pa.array(first[held])
-    return pa.table({"field": table["field"].take(at).cast(pa.string()), "key": table["key"].take(at).cast(pa.string()), "n": pa.array(exact[held])})
+    n = len(held)
+    return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int32()), "split": pa.array([key[1].as_py()] * n, pa.int64()), "pos": pa.array(held, pa.int32()), "n": pa.array(dense[held])})
 
 
-def dense_counts(df: DataFrame, *fields: str, block_size: int = 65_536) -> DataFrame:
+def dense_counts(df: DataFrame, *fields: str, block_size: int = 65_536, fan_in: int = FAN_IN) -> DataFrame:
     """``(field string, key string, n long)``: rows per value of each field, from one pass over the rows."""
     scratch = Scratch(df.sparkSession, "counts")
-    splits = scratch.keep(df.select(*[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(_count_split, "field string, key string, n long"))
-    dictionary = splits.select("field", "key").distinct()
-    blocks = dictionary.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_size))).cast("int")).scalar()
-    coded = dictionary.withColumn("block", F.pmod(F.xxhash64("field", "key"), blocks).cast("int"))
-    coded = coded.select(F.col("field").alias("d_field"), F.col("key").alias("d_key"), "block", (F.row_number().over(Window.partitionBy("block").orderBy("field", "key")) - 1).alias("pos"))
-    scattered = splits.join(coded, (F.col("field") == F.col("d_field")) & F.col("key").eqNullSafe(F.col("d_key"))).select("block", "pos", "field", "key", "n")
-    return scratch.keep(scattered.groupBy("block").applyInArrow(_sum_block, "field string, key string, n long"))
+    splits = scratch.keep(df.select(*[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(_count_split, "split long, field string, key string, n long"))
+    dictionary = scratch.keep(splits.select("field", "key").distinct())
+    blocks = max(1, -(-dictionary.count() // block_size))
+    coded = dictionary.withColumn("block", F.pmod(F.xxhash64("field", "key"), F.lit(blocks)).cast("int"))
+    coded = scratch.keep(coded.select(F.col("field").alias("d_field"), F.col("key").alias("d_key"), "block", (F.row_number().over(Window.partitionBy("block").orderBy("field", "key")) - 1).cast("int").alias("pos")))
+    on = (F.col("field") == F.col("d_field")) & F.col("key").eqNullSafe(F.col("d_key"))
+    arrays, left = splits.join(coded, on).select("block", "split", "pos", "n"), (splits.agg(F.max("split")).first()[0] or 0) + 1
+    while True:
+        arrays = arrays.withColumn("split", F.floor(F.col("split") / F.lit(fan_in)).cast("long")).groupBy("block", "split").applyInArrow(_sum_arrays, "block int, split long, pos int, n long")
+        left = -(-left // fan_in)
+        if left == 1:
+            break
+        arrays = scratch.keep(arrays)
+    named = arrays.select(F.col("block").alias("a_block"), F.col("pos").alias("a_pos"), "n")
+    return scratch.keep(coded.join(named, (F.col("block") == F.col("a_block")) & (F.col("pos") == F.col("a_pos"))).select(F.col("d_field").alias("field"), F.col("d_key").alias("key"), "n"))
 
 
 def heavy_keys(df: DataFrame, shares: dict[str, float]) -> DataFrame:

@@ -57,15 +57,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_per_key(spark: SparkSession, d: str) -> DataFrame:
-    return skewcount.per_key_results(table(spark, d, "entity_tags"), ("tenant_id", "tag_id"), ("tenant_id", "entity_type", "entity_id"))
-
-
-def p6_assignments(spark: SparkSession, d: str) -> DataFrame:
-    """``p6_per_key`` with the assignments, which repeated rows and null tags don't count for."""
+    """Stored rows, assignments (which repeated rows and null tags don't count for) and entities of every value."""
     return skewcount.per_key_results(table(spark, d, "entity_tags"), ("tenant_id", "tag_id"), ("tenant_id", "entity_type", "entity_id"), "tag_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_backlog, p4_found, p4_rolling, p5_found, p5_hierarchy, p6_found, p6_per_key, p6_assignments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_backlog, p4_found, p4_rolling, p5_found, p5_hierarchy, p6_found, p6_per_key)}
 
 _NOW = """
 tag_now AS (SELECT tenant_id, tag_id, arg_max(deleted, version) AS deleted, min(created_at) AS created_at FROM tags GROUP BY ALL),
@@ -127,8 +123,6 @@ SELECT t.tenant_id, t.node_id, CASE WHEN NOT ring THEN root_id END AS root_id, C
 FROM told t LEFT JOIN below b ON b.tenant_id = t.tenant_id AND b.node_id = t.node_id AND NOT t.ring""",
     "p6_found": """SELECT 'tenant_id' AS field, tenant_id AS key_value FROM entity_tags WHERE tenant_id IS NOT NULL GROUP BY tenant_id HAVING count(*) >= 0.04 * (SELECT count(*) FROM entity_tags)
 UNION ALL SELECT 'tag_id', CAST(tag_id AS VARCHAR) FROM entity_tags WHERE tag_id IS NOT NULL GROUP BY tag_id HAVING count(*) >= 0.01 * (SELECT count(*) FROM entity_tags)""",
-    "p6_per_key": """SELECT 'tenant_id' AS field, tenant_id AS key_value, count(*) AS n_rows, count(DISTINCT (tenant_id, entity_type, entity_id)) AS n_entities FROM entity_tags GROUP BY tenant_id
-UNION ALL SELECT 'tag_id', CAST(tag_id AS VARCHAR), count(*), count(DISTINCT (tenant_id, entity_type, entity_id)) FROM entity_tags GROUP BY tag_id""",
-    "p6_assignments": """SELECT 'tenant_id' AS field, tenant_id AS key_value, count(*) AS n_rows, count(DISTINCT (tenant_id, entity_type, entity_id, tag_id)) FILTER (tag_id IS NOT NULL) AS n_assignments, count(DISTINCT (tenant_id, entity_type, entity_id)) AS n_entities FROM entity_tags GROUP BY tenant_id
+    "p6_per_key": """SELECT 'tenant_id' AS field, tenant_id AS key_value, count(*) AS n_rows, count(DISTINCT (tenant_id, entity_type, entity_id, tag_id)) FILTER (tag_id IS NOT NULL) AS n_assignments, count(DISTINCT (tenant_id, entity_type, entity_id)) AS n_entities FROM entity_tags GROUP BY tenant_id
 UNION ALL SELECT 'tag_id', CAST(tag_id AS VARCHAR), count(*), count(DISTINCT (tenant_id, entity_type, entity_id, tag_id)) FILTER (tag_id IS NOT NULL), count(DISTINCT (tenant_id, entity_type, entity_id)) FROM entity_tags GROUP BY tag_id""",
 }

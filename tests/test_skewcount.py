@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from support import listed
 
 from loamgraph.operators import skewcount as sk
@@ -46,11 +48,23 @@ def test_assignments_per_key(spark):
     assert not got
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_rounds_of_the_reduction(spark, fan_in):
+    """Many splits, few keys, one of them hot; blocks of a few codes: summed in rounds."""
+    df = spark.range(0, 5000, 1, 23).selectExpr("if(id % 3 = 0, 'hot', cast(id % 40 as string)) as k", "if(id % 7 = 0, null, id % 2) as j")
+    got = {(r.field, r.key): r.n for r in sk.dense_counts(df, "k", "j", block_size=8, fan_in=fan_in).collect()}
+    want = Counter()
+    for r in df.collect():
+        want["k", r.k] += 1
+        want["j", None if r.j is None else str(r.j)] += 1
+    assert got == want
+
+
 def test_split_dictionary_restarts():
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_arrays([pa.array(["a", "b", None, "a"])], ["key"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["key"])]
-    out = [dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for b in sk._count_split(iter(batches))]
+    out = [dict(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) for b in sk._count_split(iter(batches))]
     assert out == [{"a": 2, "b": 1, None: 1}]
 
 
@@ -61,7 +75,7 @@ def test_split_dictionary_is_bounded(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array([1] * len(x)).cast(pa.string())], ["k", "j"]) for x in (["a", "b"], ["b", "c", "b"], ["a"])]
     total = Counter()
     for b in sk._count_split(iter(batches)):
-        for f, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for _, f, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             total[f, k] += n
     assert total == {("k", "a"): 2, ("k", "b"): 3, ("k", "c"): 1, ("j", "1"): 6}
 
