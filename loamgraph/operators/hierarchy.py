@@ -7,14 +7,19 @@
    levels a round; when a round peels nothing more, what is left are the rings,
    and the nodes whose jump still leads somewhere are those on or below them.
 3. The rest is a forest.  Its Euler tours (enter and exit of every node) are
-   linked lists that are ranked in parallel by pointer doubling, carrying
-   counts and +1/-1 weights: entry and exit positions, depth and root.
+   linked lists that are ranked in parallel, carrying counts and +1/-1 weights:
+   entry and exit positions, depth and root.  Every eighth element, by hash, is a
+   splitter: all elements double their pointers up to the nearest splitter before
+   them, the list of splitters, an eighth as long, is ranked the same way, and
+   the others add the rank of theirs.  A list of at most ``LOCAL`` elements, a
+   bound of a few MB whatever the input, is ranked in one task.
 4. Cut into blocks of positions, with the intervals open at a block's start
    carried in, a single scan of each block with a stack gives the paths.
 
 Ancestors and descendants are interval containment.  Nothing is gathered: the
-children of one hot parent are linked in salted buckets and the buckets to each
-other; a block is of bounded size whatever the tree.
+children of one hot parent are linked in buckets and the buckets to each
+other; a block is of bounded size whatever the tree; the root of a tree that
+holds most nodes is sent to its nodes and not they to it.
 
 Defined results: the highest version of a node counts, ties by ``updated_at``;
 rows without node_id are ignored; a null tenant is a tenant of its own; links
@@ -26,15 +31,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.orphans import current
-from loamgraph.operators.skew import hot_join, salted_join
+from loamgraph.operators.skew import hot_join, meet, sized_join
 from loamgraph.session import Scratch
 
-BLOCK = 50_000
+BLOCK, BUCKET, LOCAL, SPLIT = 50_000, 100_000, 100_000, 8
+RANKED = "el long, pred long, head long, pos long, w long"
 
 
 def linked_nodes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -42,10 +50,10 @@ def linked_nodes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     now = current(nodes.where("node_id is not null"), ["tenant_id", "node_id"], "version", "updated_at", "parent_id", "path", "depth")
     own = scratch.keep(now.withColumn("nid", F.monotonically_increasing_id()).drop("updated_at", "version"))
     ids = own.select("tenant_id", F.col("node_id").alias("parent_id"), F.col("nid").alias("pid"))
-    child = own.where("parent_id is not null").select("nid", "tenant_id", "parent_id")
-    links = hot_join(child, ids, ["tenant_id", "parent_id"], scratch, "left").select("nid", "pid", F.col("pid").isNull().alias("dangling"))
-    joined = own.join(links.withColumnRenamed("nid", "l_nid"), F.col("nid") == F.col("l_nid"), "left").drop("l_nid")
-    return scratch.keep(joined.withColumn("dangling", F.coalesce("dangling", F.lit(False))))
+    linked = hot_join(own.where("parent_id is not null"), ids, ["tenant_id", "parent_id"], scratch, "left")
+    cols = ["nid", "pid", "dangling", "tenant_id", "node_id", "path", "depth"]
+    tops = own.where("parent_id is null").withColumns({"pid": F.lit(None).cast("long"), "dangling": F.lit(False)})
+    return scratch.keep(linked.withColumn("dangling", F.col("pid").isNull()).select(*cols).unionByName(tops.select(*cols)))
 
 
 def peel(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,25 +61,26 @@ def peel(links: DataFrame, scratch: Scratch) -> DataFrame:
     jump = scratch.keep(links.where("pid is not null").select("nid", F.col("pid").alias("to")))
     left = -1
     while True:
-        now = jump.select("to").distinct().count()
-        if now in (left, 0):
+        met = jump.groupBy("to").count().agg(F.count("*").alias("targets"), F.max("count").alias("most")).first()
+        if met.targets in (left, 0):
             break
-        left = now
+        left = met.targets
         # every node whose jump ends falls out of both sides, so the table shrinks to the rings and what hangs on them
-        ahead = jump.select(F.col("nid").alias("mid"), F.col("to").alias("far"))
-        nxt = scratch.keep(jump.join(ahead, F.col("to") == F.col("mid")).select("nid", F.col("far").alias("to")))
+        ahead = jump.select(F.col("nid").alias("to"), F.col("to").alias("far"))
+        joined = hot_join(jump, ahead, ["to"], scratch) if met.most > BUCKET else meet(jump, ahead, ["to"], "inner")
+        nxt = scratch.keep(joined.select("nid", F.col("far").alias("to")))
         scratch.drop(jump)
         jump = nxt
     ring = jump.select(F.col("to").alias("r")).distinct()
     return jump.join(ring, F.col("nid") == F.col("r"), "left").select("nid", F.when(F.col("r").isNotNull(), "cycle").otherwise("below_cycle").alias("kind"))
 
 
-def euler_links(forest: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+def euler_links(forest: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     """Predecessor links of the tours: ``(el, pred, w)`` with el = 2*nid (enter) or 2*nid + 1 (exit)."""
     kids = forest.where("pid is not null").select("nid", "pid")
-    # a parent's children sit in as many buckets as its child count asks for
+    # a parent's children sit in as many buckets as its child count asks for; at most one in bucket_rows rows is such a parent
     many = kids.groupBy("pid").count().where(F.col("count") > bucket_rows).select("pid", F.ceil(F.col("count") / F.lit(bucket_rows)).cast("int").alias("n_b"))
-    kids = salted_join(kids, many, ["pid"], "nid", 1, "left").withColumn("b", F.when(F.col("n_b").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("nid"), F.col("n_b"))).cast("int")).drop("n_b")
+    kids = meet(kids, F.broadcast(many), ["pid"], "left").withColumn("b", F.when(F.col("n_b").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("nid"), F.col("n_b"))).cast("int")).drop("n_b")
     within = Window.partitionBy("pid", "b").orderBy("nid")
     kids = kids.withColumn("before", F.lag("nid").over(within))
     ends = kids.groupBy("pid", "b").agg(F.max("nid").alias("last"))
@@ -87,32 +96,74 @@ def euler_links(forest: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     return enters.unionByName(exits).unionByName(roots)
 
 
-def rank_lists(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """List ranking by pointer doubling: ``(el, head, pos, level)``.
-
-    ``pos`` counts the steps from the list's head, ``level`` sums the weights.
-    Lists that have reached their head leave the work: each round joins only
-    the unfinished elements, and log2 of the longest list rounds suffice.
-    """
-    # at: where the element has got to; open: whether that place has a predecessor
-    rows = scratch.keep(links.select("el", F.coalesce("pred", "el").alias("at"), F.when(F.col("pred").isNull(), 0).otherwise(1).cast("long").alias("pos"), "w", F.col("pred").isNull().alias("done")))
-    while rows.where("not done").limit(1).count():
-        ahead = rows.select(F.col("el").alias("a_el"), F.col("at").alias("a_at"), F.col("pos").alias("a_pos"), F.col("w").alias("a_w"), F.col("done").alias("a_done"))
-        moved = rows.where("not done").join(ahead, F.col("at") == F.col("a_el")).select("el", F.col("a_at").alias("at"), (F.col("pos") + F.col("a_pos")).alias("pos"), (F.col("w") + F.col("a_w")).alias("w"), F.col("a_done").alias("done"))
-        nxt = scratch.keep(moved.unionByName(rows.where("done")))
-        scratch.drop(rows)
-        rows = nxt
-    return rows.select("el", F.col("at").alias("head"), "pos", F.col("w").alias("level"))
-
-
-def intervals(forest: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(nid, root_nid, entry, exit, depth)``."""
-    ranked = rank_lists(euler_links(forest), scratch)
+def _is_splitter(el: str, level: int) -> Column:
+    """One element in ``SPLIT``, others on every level."""
+    return F.pmod(F.xxhash64(F.col(el), F.lit(level)), F.lit(SPLIT)) == 0
+
+
+def _rank_local(table: pa.Table) -> pa.Table:
+    """All of a short list at once: ranks by pointer doubling over arrays."""
+    el, pos, w = (table[c].to_numpy().copy() for c in ("el", "pos", "w"))
+    order = np.argsort(el)
+    pred = table["pred"].fill_null(-1).to_numpy()
+    at = np.where(pred >= 0, order[np.searchsorted(el, pred, sorter=order).clip(max=max(0, len(el) - 1))], -1)
+    top = np.arange(len(el))
+    while (open_ := at >= 0).any():
+        to = at[open_]
+        add_pos, add_w, new_top, new_at = pos[to], w[to], top[to], at[to]
+        pos[open_] += add_pos
+        w[open_] += add_w
+        top[open_], at[open_] = new_top, new_at
+    head = table["head"].to_numpy(zero_copy_only=False)[top].astype(np.int64)
+    return pa.table({"el": el, "head": head, "pos": pos, "level": w})
+
+
+def _to_splitters(steps: DataFrame, scratch: Scratch, level: int) -> DataFrame:
+    """Pointers doubled up to the nearest splitter: ``(el, pred, head, pos, w)``, pred null where the list's head is reached."""
+    done, active = scratch.keep_split(steps.withColumn("done", F.col("pred").isNull() | _is_splitter("pred", level)), "done")
+    ended = [done] if done is not None else []
+    while active is not None:
+        known = active.withColumn("done", F.lit(False))
+        for x in ended:
+            known = known.unionByName(x.withColumn("done", F.lit(True)))
+        ahead = known.select(F.col("el").alias("a_el"), F.col("pred").alias("a_pred"), F.col("head").alias("a_head"), F.col("pos").alias("a_pos"), F.col("w").alias("a_w"), "done")
+        moved = active.join(ahead, F.col("pred") == F.col("a_el")).select("el", F.col("a_pred").alias("pred"), F.col("a_head").alias("head"), (F.col("pos") + F.col("a_pos")).alias("pos"), (F.col("w") + F.col("a_w")).alias("w"), "done")
+        done, nxt = scratch.keep_split(moved, "done")
+        scratch.drop(active)
+        active = nxt
+        ended += [done] if done is not None else []
+    out = ended[0] if ended else steps
+    for x in ended[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _rank(steps: DataFrame, scratch: Scratch, local: int, level: int = 0) -> DataFrame:
+    """``(el, head, pos, level)`` of stored steps ``(el, pred, head, pos, w)``; without pred the others are final."""
+    if steps.count() <= local:
+        return scratch.keep(steps.groupBy(F.lit(0).alias("_all")).applyInArrow(_rank_local, "el long, head long, pos long, level long"))
+    near = _to_splitters(steps, scratch, level)
+    short = _rank(scratch.keep(near.where(_is_splitter("el", level))), scratch, local, level + 1)
+    rest = near.where(~_is_splitter("el", level))
+    ahead = short.select(F.col("el").alias("s_el"), F.col("head").alias("s_head"), F.col("pos").alias("s_pos"), F.col("level").alias("s_level"))
+    told = rest.where("pred is not null").join(ahead, F.col("pred") == F.col("s_el")).select("el", F.col("s_head").alias("head"), (F.col("pos") + F.col("s_pos")).alias("pos"), (F.col("w") + F.col("s_level")).alias("level"))
+    return scratch.keep(short.unionByName(told).unionByName(rest.where("pred is null").select("el", "head", "pos", F.col("w").alias("level"))))
+
+
+def rank_lists(links: DataFrame, scratch: Scratch, local: int = LOCAL) -> DataFrame:
+    """List ranking: ``(el, head, pos, level)``; ``pos`` counts the steps from the list's head, ``level`` sums the weights."""
+    first = F.col("pred").isNull()
+    steps = links.select("el", "pred", F.when(first, F.col("el")).alias("head"), F.when(first, 0).otherwise(1).cast("long").alias("pos"), "w")
+    return _rank(scratch.keep(steps), scratch, local)
+
+
+def intervals(forest: DataFrame, scratch: Scratch, local: int = LOCAL) -> DataFrame:
+    """``(nid, root_nid, entry, exit, true_depth)``."""
+    ranked = rank_lists(euler_links(forest), scratch, local)
     is_exit = F.col("el") % 2 == 1
-    both = ranked.groupBy(F.shiftright("el", 1).alias("nid")).agg(
-        F.max(F.shiftright("head", 1)).alias("root_nid"), F.max(F.when(~is_exit, F.col("pos"))).alias("entry"), F.max(F.when(is_exit, F.col("pos"))).alias("exit"), F.max(F.when(~is_exit, F.col("level"))).cast("int").alias("depth")
+    return ranked.groupBy(F.shiftright("el", 1).alias("nid")).agg(
+        F.max(F.shiftright("head", 1)).alias("root_nid"), F.max(F.when(~is_exit, F.col("pos"))).alias("entry"), F.max(F.when(is_exit, F.col("pos"))).alias("exit"), F.max(F.when(~is_exit, F.col("level"))).cast("int").alias("true_depth")
     )
-    return both
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,34 +179,35 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             stack.append((out, f"{stack[-1][1] if stack else '/'}{node}/"))
             paths.append(stack[-1][1])
         own = ~frame["carried"]
-        yield pd.DataFrame({"nid": frame["nid"][own], "true_path": pd.Series(paths, index=frame.index, dtype=object)[own]})
+        yield frame.assign(true_path=pd.Series(paths, index=frame.index, dtype=object)).loc[own].drop(columns=["carried", "block"])
 
 
-def paths(spans: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(nid, true_path)`` by scanning blocks of the tours."""
-    named = spans.join(names.select(F.col("nid").alias("n_nid"), "node_id"), F.col("nid") == F.col("n_nid")).drop("n_nid")
-    own = named.withColumn("block", F.floor(F.col("entry") / F.lit(block))).withColumn("carried", F.lit(False))
-    last = F.floor(F.col("exit") / F.lit(block))
-    carried = named.where(last > F.floor(F.col("entry") / F.lit(block))).withColumn("block", F.explode(F.sequence(F.floor(F.col("entry") / F.lit(block)) + 1, last))).withColumn("carried", F.lit(True))
-    cols = ["root_nid", "block", "entry", "exit", "nid", "node_id", "carried"]
-    rows = own.select(*cols).unionByName(carried.select(*cols)).repartition("root_nid", "block").sortWithinPartitions("root_nid", "block", "entry")
-    return rows.mapInPandas(_scan, "nid long, true_path string")
+def paths(spans: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``spans`` with ``true_path``, by scanning blocks of the tours.
+
+    Needs ``node_id``, ``root_nid``, ``entry`` and ``exit``; other columns stay.
+    """
+    first, last = (F.floor(F.col(c) / F.lit(block)).cast("long") for c in ("entry", "exit"))
+    own = spans.withColumns({"block": first, "carried": F.lit(False)})
+    carried = spans.where(last > first).withColumns({"block": F.explode(F.sequence(first + 1, last)), "carried": F.lit(True)})
+    rows = own.unionByName(carried).repartition("root_nid", "block").sortWithinPartitions("root_nid", "block", "entry")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema.fields)
+    return rows.mapInPandas(_scan, f"{kept}, true_path string")
 
 
-def resolve(nodes: DataFrame, what: str = "tree") -> tuple[DataFrame, DataFrame]:
-    """(all current nodes, tours of those outside rings): see ``hierarchy`` and ``tree_faults``."""
+def resolve(nodes: DataFrame, what: str = "tree") -> DataFrame:
+    """All current nodes with their tours, roots, depths and paths; nulls for those on or below rings."""
     scratch = Scratch(nodes.sparkSession, what)
     own = linked_nodes(nodes, scratch)
     rings = scratch.keep(peel(own.select("nid", "pid"), scratch))
-    forest = scratch.keep(own.select("nid", "pid").join(rings.select(F.col("nid").alias("c_nid")), F.col("nid") == F.col("c_nid"), "left_anti"))
-    spans = scratch.keep(intervals(forest, scratch))
-    fixed = paths(spans, own)
-    root = own.select(F.col("nid").alias("r_nid"), F.col("node_id").alias("root_id"), F.col("dangling").alias("r_dangling"))
-    tours = spans.join(root, F.col("root_nid") == F.col("r_nid")).drop("r_nid", "root_nid").withColumnRenamed("depth", "true_depth")
-    tours = tours.join(fixed.withColumnRenamed("nid", "p_nid"), F.col("nid") == F.col("p_nid")).drop("p_nid")
-    told = own.join(rings.withColumnRenamed("nid", "c_nid"), F.col("nid") == F.col("c_nid"), "left").drop("c_nid")
-    full = told.join(tours.withColumnRenamed("nid", "t_nid"), F.col("nid") == F.col("t_nid"), "left").drop("t_nid")
-    return full, tours
+    caught = rings.select(F.col("nid").alias("c_nid"), "kind")
+    forest = scratch.keep(own.join(caught, F.col("nid") == F.col("c_nid"), "left_anti"))
+    spans = intervals(forest.select("nid", "pid"), scratch).withColumnRenamed("nid", "t_nid")
+    placed = scratch.keep(forest.drop("pid").join(spans, F.col("nid") == F.col("t_nid")).drop("t_nid"))
+    roots = forest.where("pid is null").select(F.col("nid").alias("root_nid"), F.col("node_id").alias("root_id"), F.col("dangling").alias("r_dangling"))
+    told = sized_join(scratch.keep(paths(placed)), roots, ["root_nid"], scratch).withColumn("kind", F.lit(None).cast("string")).drop("root_nid")
+    ringed = own.drop("pid").join(caught, F.col("nid") == F.col("c_nid")).drop("c_nid")
+    return told.unionByName(ringed, allowMissingColumns=True)
 
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
@@ -165,14 +217,14 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     path are those of the fragment), 'cycle' or 'below_cycle' (nulls elsewhere).
     Descendants of v: same tenant and root, entry and exit inside v's.
     """
-    full, _ = resolve(nodes, "hierarchy")
+    full = resolve(nodes, "hierarchy")
     state = F.coalesce(F.col("kind"), F.when(F.col("r_dangling"), "dangling").otherwise("rooted")).alias("state")
     return full.select("tenant_id", "node_id", "root_id", F.col("true_depth").alias("depth"), F.col("true_path").alias("path"), "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("n_descendants"), state)
 
 
 def tree_faults(nodes: DataFrame) -> DataFrame:
     """``(tenant_id, node_id, fault)``: ring members, nodes below rings, wrong stored path or depth."""
-    full, _ = resolve(nodes, "faults")
+    full = resolve(nodes, "faults")
     rooted = F.col("kind").isNull() & ~F.col("r_dangling")
     faults = F.filter(
         F.array(F.col("kind"), F.when(rooted & ~F.col("path").eqNullSafe(F.col("true_path")), F.lit("path")), F.when(rooted & ~F.col("depth").cast("int").eqNullSafe(F.col("true_depth")), F.lit("depth"))),

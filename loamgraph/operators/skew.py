@@ -26,7 +26,7 @@ def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], salt_by: str
     return left.join(right, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
-def _meet(big: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def meet(big: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Null-safe join that keeps the columns of ``big`` and adds those of ``right`` that are no keys."""
     named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = F.lit(True)
@@ -46,11 +46,11 @@ def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratc
     total = big.count()
     heavy = scratch.keep(big.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys))
     if heavy.isEmpty():
-        return _meet(big, unique, keys, how)
+        return meet(big, unique, keys, how)
     few = F.broadcast(heavy)
-    hot_side = _meet(unique, few, keys, "left_semi")
-    hot = _meet(_meet(big, few, keys, "left_semi"), F.broadcast(hot_side), keys, how)
-    return hot.unionByName(_meet(_meet(big, few, keys, "left_anti"), unique, keys, how))
+    hot_side = meet(unique, few, keys, "left_semi")
+    hot = meet(meet(big, few, keys, "left_semi"), F.broadcast(hot_side), keys, how)
+    return hot.unionByName(meet(meet(big, few, keys, "left_anti"), unique, keys, how))
 
 
 def is_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -74,7 +74,7 @@ def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scra
     if small is None:
         small = is_small(kept, limit)
     if small:
-        return _meet(big, F.broadcast(kept), keys, how)
+        return meet(big, F.broadcast(kept), keys, how)
     return hot_join(big, kept, keys, scratch, how)
 
 

@@ -76,17 +76,34 @@ def test_descendants_and_ancestors(spark):
     assert [r.node_id for r in hi.ancestors(tree, "a", 4).collect()] == [1, 2]
 
 
-def test_small_blocks_and_hot_parent(spark):
-    """Blocks far smaller than a tree, and children of one parent in several buckets, change nothing."""
-    parent = {0: None} | {i: 0 if i % 3 else i // 2 for i in range(1, 90)}
+@pytest.mark.parametrize("local", [10, 1000])
+def test_small_blocks_and_hot_parent(spark, local):
+    """Blocks far smaller than a tree, children of one parent in several buckets, lists contracted several times: nothing changes."""
+    parent = {0: None} | {i: 0 if i % 3 else i // 2 for i in range(1, 90)} | {i: None for i in range(200, 230)}
     want = walk(parent)
     scratch = Scratch(spark, "t")
     own = hi.linked_nodes(spark.createDataFrame([node("a", n, p) for n, p in parent.items()], S), scratch)
-    ranked = hi.rank_lists(hi.euler_links(own.select("nid", "pid"), bucket_rows=7), scratch)
-    assert ranked.count() == 180 and ranked.select("pos").distinct().count() == 180
-    spans = scratch.keep(hi.intervals(own.select("nid", "pid"), scratch))
-    got = {r.node_id: r.true_path for r in hi.paths(spans, own, block=11).join(own, "nid").collect()}
-    assert got == {n: "/" + "/".join(map(str, ids)) + "/" for n, (_, ids) in want.items()}
+    ranked = hi.rank_lists(hi.euler_links(own.select("nid", "pid"), bucket_rows=7), scratch, local)
+    assert ranked.count() == 240 and ranked.select("head", "pos").distinct().count() == 240
+    spans = scratch.keep(hi.intervals(own.select("nid", "pid"), scratch, local).join(own.select("nid", "node_id"), "nid"))
+    got = {r.node_id: (r.true_path, r.true_depth) for r in hi.paths(spans, block=11).collect()}
+    assert got == {n: ("/" + "/".join(map(str, ids)) + "/", len(ids) - 1) for n, (_, ids) in want.items()}
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "broom"])
+def test_one_tree_holds_all(spark, shape, monkeypatch):
+    """One root, one parent or one chain with all rows, hot parents kept apart: ranks, depths and paths are right."""
+    monkeypatch.setattr(hi, "LOCAL", 50)
+    monkeypatch.setattr(hi, "BUCKET", 40)
+    n = 400
+    parent = {0: None} | {i: i - 1 if shape == "chain" or shape == "broom" and i < 150 else 0 if shape == "star" else 149 for i in range(1, n)}
+    want = walk(parent)
+    got = {r.node_id: (r.depth, r.path, r.n_descendants) for r in hi.hierarchy(spark.createDataFrame([node("a", i, p) for i, p in parent.items()], S)).collect()}
+    below = {i: 0 for i in parent}
+    for _, ids in want.values():
+        for i in ids[:-1]:
+            below[i] += 1
+    assert got == {i: (len(ids) - 1, "/" + "/".join(map(str, ids)) + "/", below[i]) for i, (_, ids) in want.items()}
 
 
 def test_empty(spark):
