@@ -12,7 +12,7 @@
    splitter: all elements double their pointers up to the nearest splitter before
    them, the list of splitters, an eighth as long, is ranked the same way, and
    the others add the rank of theirs.  A list of at most ``LOCAL`` elements, a
-   bound of a few MB whatever the input, is ranked in one task.
+   bound of some 20 MB whatever the input, is ranked in one task.
 4. Cut into blocks of positions, with the intervals open at a block's start
    carried in, a single scan of each block with a stack gives the paths.
 
@@ -41,7 +41,7 @@ from loamgraph.operators.orphans import current
 from loamgraph.operators.skew import hot_join, meet, sized_join
 from loamgraph.session import Scratch
 
-BLOCK, BUCKET, LOCAL, SPLIT = 50_000, 100_000, 100_000, 8
+BLOCK, BUCKET, LOCAL, SPLIT = 50_000, 100_000, 500_000, 8
 RANKED = "el long, pred long, head long, pos long, w long"
 
 
