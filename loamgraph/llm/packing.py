@@ -8,9 +8,14 @@ tournament tree of remaining capacities, O(log bins) a piece.  Groups are
 independent, so the work spreads evenly whatever the sizes or ids look like,
 and at most the last, least filled containers of each group are lost to it.
 
+The tokenizer's file is read by the driver and sent along, so the executors
+need none.
+
 Defined results: null texts and texts without tokens need no room and appear
-in no container; equal sizes are placed by id and piece, so a packing is
-reproducible; an empty table gives an empty packing; the capacity must be positive.
+in no container; equal sizes are placed by id and piece; rows that repeat an id
+are items of their own and spread over the groups by their place in the stored
+table, so a packing is reproducible for one layout of the input; an empty table
+gives an empty packing; the capacity must be positive.
 """
 
 from __future__ import annotations
@@ -33,22 +38,27 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    """The tokenizer of a rank file; loaded once a Python worker."""
+def rank_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@lru_cache(maxsize=2)
+def encoder(ranks: bytes):
+    """The tokenizer of a rank file's bytes; built once a Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("loam", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("loam", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def token_counts(documents: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(item long, size long)`` for every text that has tokens."""
     kept = documents.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    shared = documents.sparkSession.sparkContext.broadcast(rank_file(tokenizer))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(shared.value).encode_ordinary
         for frame in frames:
             yield pd.DataFrame({"item": frame["item"], "size": [len(encode(t)) for t in frame["text"]]})
 
@@ -95,16 +105,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZ
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     scratch = Scratch(items.sparkSession, "packing")
-    sized = scratch.keep(items.select("item", "size").where("size > 0"))
+    sized = scratch.keep(items.select("item", "size").where("size > 0").withColumn("row", F.monotonically_increasing_id()))
     full = F.floor(F.col("size") / F.lit(capacity))
     rest = F.col("size") % capacity
     counted = sized.withColumn("full", full.cast("int")).withColumn("rest", rest).withColumn("n_pieces", (F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)).cast("int"))
-    whole = counted.where("full > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "n_pieces", F.lit(capacity).cast("long").alias("size"))
-    whole = whole.withColumn("container", F.concat(F.lit("full/"), F.col("item"), F.lit("/"), F.col("piece")))
-    open_items = counted.where("rest > 0").select("item", F.col("full").alias("piece"), "n_pieces", F.col("rest").alias("size"))
+    whole = counted.where("full > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "n_pieces", F.lit(capacity).cast("long").alias("size"), "row")
+    whole = whole.withColumn("container", F.concat(F.lit("full/"), F.col("row"), F.lit("/"), F.col("piece"))).drop("row")
+    open_items = counted.where("rest > 0").select("item", F.col("full").alias("piece"), "n_pieces", F.col("rest").alias("size"), "row")
     groups = max(1, -(-open_items.count() // group_size))
-    # the piece joins the key so that repeated item ids spread as well
-    grouped = open_items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "item", "size"), F.lit(groups)).cast("int"))
+    # the row joins the key so that repeated item ids spread as well
+    grouped = open_items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "item", "row"), F.lit(groups)).cast("int")).drop("row")
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("item", "ascending"), ("piece", "ascending")])

@@ -61,14 +61,25 @@ def test_repeated_ids_and_empty(spark):
         packing.pack(items(spark, [1]), 0)
 
 
+def test_one_id_on_many_rows_spreads(spark):
+    """A third of all rows repeat one id and size: no group gets them all, no container mixes them up."""
+    rows = packing.pack(spark.createDataFrame([(7, 300)] * 300 + [(i, 300) for i in range(100, 700)], "item long, size long"), 1024, group_size=100).collect()
+    per = defaultdict(int)
+    for x in rows:
+        per[x.container.split("/")[0]] += x.item == 7
+    assert len(rows) == 900 and len(per) == 9 and max(per.values()) < 70
+    whole = packing.pack(spark.createDataFrame([(7, 10), (7, 10)], "item long, size long"), 10).collect()
+    assert len({x.container for x in whole}) == 2
+
+
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 20_000), (5, "<|endoftext|>"), (6, "ü" * 50_000)], "doc_id long, text string")
     got = {r.item: r.size for r in packing.token_counts(docs, "doc_id", "text").collect()}
-    encode = packing.encoder(packing.TOKENIZER).encode_ordinary
+    encode = packing.encoder(packing.rank_file(packing.TOKENIZER)).encode_ordinary
     assert set(got) == {1, 4, 5, 6} and got[1] == 2 and got[5] == len(encode("<|endoftext|>")) > 1 and got[4] == len(encode("x " * 20_000))
 
 
 def test_round_trip_of_the_tokenizer():
-    enc = packing.encoder(packing.TOKENIZER)
+    enc = packing.encoder(packing.rank_file(packing.TOKENIZER))
     text = "Zwei Wörter\n\n  and 3 números — ok​."
     assert enc.decode(enc.encode_ordinary(text)) == text
