@@ -119,7 +119,9 @@ GROUPS = re.compile(r"[+(]*\d+\)?")
 ID = re.compile(r"(?<![\p{L}\p{N}_-])(?:\p{Lu}{1,2}[  ]?(?:\d{2}[  ]?){3}\p{Lu}|\p{Lu}{1,3}[  ]?\d{6,9}\p{Lu}?\d?|\d{6}[-+A]\d{3}[\p{Lu}\d]|\d{3}([  .\-‑])\d{2}\1\d{4}|\d{8}-?\p{Lu}|[XYZ]-?\d{7}-?\p{Lu}|\d{10,12}|\d{6}-\d{4}|\p{Lu}{6}\d{2}\p{Lu}\d{2}\p{Lu}\d{3}\p{Lu}|\p{Lu}\d{2}\p{Lu}{2,3}\d{4,5})(?![\p{L}\p{N}_])(?!-\d)")
 BARE_ID = re.compile(r"(?<=^\p{Lu}{2,3}[  ])\d{6,9}\p{Lu}?$")
 HOUSE_FIRST = re.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/=-])\d{{1,5}}[a-zA-Z]?,?[  ](?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|St\.|\d{{1,3}}(?:st|nd|rd|th))[  ])*{_CAP}(?![\p{{L}}\p{{N}}_])")
-HOUSE_LAST = re.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|calle)[  ]|{_CAP},[  ])*(?:{_CAP}|{_CAP}\.),?[  ]\d{{1,4}}(?:[  ]?[a-zA-Z])?(?![\p{{L}}\p{{N}}_/:.,-]*[\p{{L}}\p{{N}}])")
+#: A house number behind the name of a street, and, read backwards from it, the words before.
+HOUSE_TAIL = re.compile(r"(?<=\p{L}\.?,?[ \u00a0])\d{1,4}(?:[ \u00a0]?[a-zA-Z])?(?![\p{L}\p{N}_/:.,-]*[\p{L}\p{N}])")
+HOUSE_WORDS = re.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_CAP}|\p{{Lu}}\.|{_PART}|rue|calle)[ \u00a0]|{_CAP},[ \u00a0])*(?:{_CAP}|{_CAP}\.),?[ \u00a0]", re.REVERSE)
 RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}_.@/=&;-])(?:{_CAP}|\p{{Lu}}\.)(?:,?[  ](?:{_CAP}|\p{{Lu}}\.(?!\p{{L}})|{_PART}(?=[  ](?:{_PART}[  ])*\p{{Lu}})))+(?![\p{{L}}\p{{N}}_@=/-]|\.\p{{L}})")
 TOKEN = re.compile(r"[^  ]+")
 #: What stands between user and the second label of the host: whatever ``EMAIL`` matches holds it.
@@ -160,7 +162,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         out.update((*m.span(), "email") for m in EMAIL.finditer(text))
     for m in NUMBER.finditer(text):
         s, e = m.span()
-        groups = [(s + g.start(), s + g.end(), sum(c.isdigit() for c in g[0])) for g in GROUPS.finditer(text[s:e])]
+        if e - s < MIN_DIGITS:
+            continue
+        groups = [(s + g.start(), s + g.end(), len(g[0].strip("+()"))) for g in GROUPS.finditer(text[s:e])]
         for i, (a, _, _) in enumerate(groups):
             digits = 0
             for _, b, n in groups[i:]:
@@ -177,21 +181,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.add((m.start() + bare.start(), m.end(), "id_number"))
     for m in HOUSE_FIRST.finditer(text):
         out.update((s, e, "address") for s, e in _windows(text, *m.span()) if text[s].isdigit())
-    for m in HOUSE_LAST.finditer(text):
-        out.update((s, e, "address") for s, e in _windows(text, *m.span()) if _house_at_end(text[s:e]))
+    for m in HOUSE_TAIL.finditer(text):
+        if head := HOUSE_WORDS.match(text, max(0, m.end() - 2 * MAX_SPAN), m.start()):
+            out.update((s, e, "address") for s, e in _windows(text, head.start(), m.end()) if _house_at_end(text[s:e]))
     for m in RUN.finditer(text):
         for s, e in _windows(text, *m.span()):
             if e - s > 4 and text[e - 2] in "'’" and text[e - 1] in "sS":
                 e -= 2  # a possessive ending is no part of the name
             piece = text[s:e]
-            if piece.count(",") <= 1 and (piece[-1] != "." or piece[-3] in "  ") and _may_begin(piece.split()[0]) and len(piece) - piece.count(" ") > 4:
+            if piece.count(",") <= 1 and (piece[-1] != "." or piece[-3] in " \u00a0") and _may_begin(piece.split()[0]) and len(piece) - piece.count(" ") > 4:
                 out.add((s, e, "name"))
     return sorted(out)
 
 
 def _shape(piece: str) -> str:
     """Digits as 0, letters as A or a, dashes and spaces alike."""
-    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" if c in "‐‑‒–" else " " if c in "  " else c for c in piece)
+    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" if c in "‐‑‒–" else " " if c in " \u00a0" else c for c in piece)
 
 
 def _loud(piece: str) -> bool:
@@ -283,23 +288,31 @@ def _email_features(piece: str) -> list[tuple]:
     return [("tld", tld.isalpha() and len(tld) > 1), ("at", "at" if worded else sign[:1]), ("plain", worded, "." in host or "．" in host), ("digits", any(c.isdigit() for c in tld))]
 
 
+@lru_cache(maxsize=200_000)
+def _traits(low: str) -> tuple[bool, bool, bool, bool, bool, bool, bool]:
+    """Of a word of a name: initial, given name, ordinary, technical, function or cue word, surname ending, German noun ending."""
+    return (
+        len(low) == 2 and low[1] == ".", low.split("-")[0] in GIVEN, low in ORDINARY, low in TECHNICAL or low in CALENDAR,
+        low in FUNCTION or low in CUES, bool(SURNAME.search(low)), bool(GERMAN_NOUN.search(low)),
+    )
+
+
 def _name_features(text: str, start: int, end: int, piece: str, toks: list[str], low: list[str], r1: str, words: dict[str, str]) -> list[tuple]:
     inverted = "," in piece
     order = low if not inverted else [*low[1:], low[0]]
-    given = [w.split("-")[0] in GIVEN for w in order]
-    initial = [len(w) == 2 and w[1] == "." for w in low]
-    ordinary, technical = sum(w in ORDINARY for w in low), sum(w in TECHNICAL or w in CALENDAR for w in low)
-    odd = sum(bool(w in FUNCTION or w in CUES) for w in (low[0], low[-1]))
-    last = order[-1]
+    known = [_traits(w) for w in order]
+    given = known[0][1]
+    ordinary, technical = sum(t[2] for t in known), sum(t[3] for t in known)
+    odd = _traits(low[0])[4] + _traits(low[-1])[4]
     # what the lexicon has of each token: an ordinary word, a proper noun, or nothing
-    held = ["i" if len(w) == 2 and w[1] == "." else "o" if w in ORDINARY or w in TECHNICAL or w in CALENDAR else words.get(w.split("-")[0], "r") for w in order]
-    form = "/".join("I" if i else "U" if t.isupper() else "C" if t[0].isupper() else "l" for t, i in zip(toks, initial, strict=True))
-    out = [("case", form), ("given", given[0]), ("inverted", inverted), ("inverted", inverted, given[0]), ("ordinary", ordinary), ("technical", technical), ("odd", odd), ("initials", sum(initial))]
-    out += [("held", given[0], "".join(held[:3])), ("ends", given[0], held[0], held[-1]), ("last", held[-1]), ("first", held[0]), ("common", sum(h in "wo" for h in held), len(held))]
-    out += [("known", given[0], ordinary, technical > 0, odd > 0), ("surname", bool(SURNAME.search(last)), given[0]), ("noun", sum(bool(GERMAN_NOUN.search(w)) for w in low), given[0])]
-    out += [("label", r1, given[0])] if r1 in ("<group>", "<title>", "<thing>") else []
-    out += [("part", next((w for w in low[1:-1] if w in FUNCTION), "")), ("givens", sum(given))]
-    out += [("shouted", piece.isupper(), _loud(text[max(0, start - 12) : start]), _loud(text[end : end + 12]))]
+    held = ["i" if t[0] else "o" if t[2] or t[3] else words.get(w.split("-")[0], "r") for w, t in zip(order, known, strict=True)]
+    form = "/".join("I" if len(t) == 2 and t[1] == "." else "U" if t.isupper() else "C" if t[0].isupper() else "l" for t in toks)
+    out = [("case", form), ("given", given), ("inverted", inverted), ("inverted", inverted, given), ("ordinary", ordinary), ("technical", technical), ("odd", odd), ("initials", sum(t[0] for t in known))]
+    out += [("held", given, "".join(held[:3])), ("ends", given, held[0], held[-1]), ("last", held[-1]), ("first", held[0]), ("common", sum(h in "wo" for h in held), len(held))]
+    out += [("known", given, ordinary, technical > 0, odd > 0), ("surname", known[-1][5], given), ("noun", sum(t[6] for t in known), given)]
+    out += [("label", r1, given)] if r1 in ("<group>", "<title>", "<thing>") else []
+    out += [("part", next((w for w in low[1:-1] if w in FUNCTION), "")), ("givens", sum(t[1] for t in known))]
+    out += [("shouted", _loud(text[max(0, start - 12) : start]), _loud(text[end : end + 12]))] if piece.isupper() else [("spoken",)]
     if inverted:
         out += [("comma", "end" if piece.find(",") > piece.rfind(" ") else len(piece[: piece.find(",")].split()))]
     return out
