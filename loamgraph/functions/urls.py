@@ -14,7 +14,7 @@ from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 import regex as re
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
@@ -156,13 +156,15 @@ def url_hash_of(url: str) -> str:
 
 
 def trap_sql(url: Column) -> Column:
-    """Why a canonical URL looks like a trap, or null."""
+    """Why a canonical URL looks like a trap, or null; the reasons' texts are fixed values."""
     path = F.regexp_extract(url, r"^[a-z]+://[^/?]*([^?]*)", 1)
     parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
     named = F.filter(parts, lambda x: x != "")
-    counts = F.transform(F.array_distinct(named), lambda x: F.size(F.filter(named, lambda y: y == x)))
+    # the segment that is first met once too often
+    over = F.filter(named, lambda x, i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda y: y == x)) > MAX_REPEATS)
     params = F.when(F.locate("?", url) > 0, F.size(F.split(F.substring_index(url, "?", -1), "&"))).otherwise(0)
-    return F.when(F.size(parts) > MAX_SEGMENTS, "path too deep").when(F.coalesce(F.array_max(counts), F.lit(0)) > MAX_REPEATS, "repeating segment").when(params > MAX_PARAMS, "too many parameters")
+    repeated = F.concat(F.lit("repeating path segment '"), F.get(over, F.lit(0)), F.lit("'"))
+    return F.when(F.size(parts) > MAX_SEGMENTS, "path too deep").when(F.size(over) > 0, repeated).when(params > MAX_PARAMS, "too many query parameters")
 
 
 def variant_key_sql(url: Column) -> Column:
@@ -295,14 +297,14 @@ def robots_policy_sql(status: Column) -> Column:
 
 
 class Bloom:
-    """Membership without false negatives; sized for n keys at rate p, at most ``limit_bits`` bits."""
+    """Membership without false negatives; sized for n keys at rate p."""
 
-    def __init__(self, n: int, p: float, limit_bits: int = 1 << 30):
+    def __init__(self, n: int, p: float):
         import math
 
         import numpy as np
 
-        self.m = min(limit_bits, max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2)))
+        self.m = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2))
         self.k = max(1, round(self.m / max(1, n) * math.log(2)))
         self.bits = np.zeros((self.m + 7) // 8, np.uint8)
 
@@ -328,5 +330,43 @@ class Bloom:
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1) if len(keys) else np.zeros(0, bool)
 
 
+BLOOM_KEYS = 500_000
+
+
+def bloom_filter(keys: DataFrame, p: float, per_part: int = BLOOM_KEYS) -> DataFrame:
+    """``(part, parts, n, bits)``: a filter over all distinct keys, in parts of about ``per_part`` keys that no one holds together.
+
+    ``keys(key string)``; nulls are no keys.  A key's part is a hash of it, so
+    parts are even, and each has the bits its own number of keys asks for.
+    """
+    distinct = keys.where("key is not null").select("key").distinct()
+    parts = max(1, -(-distinct.count() // per_part))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = Bloom(len(pdf), p)
+        f.add(pdf["key"].tolist())
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "parts": [parts], "n": [len(pdf)], "bits": [f.bits.tobytes()]})
+
+    return distinct.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(build, "part int, parts int, n long, bits binary")
+
+
+def bloom_known(keys: DataFrame, stored: DataFrame, p: float) -> DataFrame:
+    """``(key, known)`` of the distinct keys; ``stored`` is a written ``bloom_filter`` of rate ``p``.  Keys meet their part, the filter is not broadcast."""
+    import numpy as np
+
+    parts = (stored.agg(F.max("parts")).first() or [None])[0] or 1
+    asked = keys.where("key is not null").select("key").distinct().withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = np.zeros(len(left), bool)
+        if len(left) and len(right):
+            f = Bloom(int(right["n"].iloc[0]), p)
+            f.bits = np.frombuffer(right["bits"].iloc[0], np.uint8)
+            known = f.has(left["key"].tolist())
+        return pd.DataFrame({"key": left["key"], "known": known})
+
+    return asked.groupBy("part").cogroup(stored.groupBy("part")).applyInPandas(probe, "key string, known boolean")
+
+
 def segment_counts(path: str) -> Counter:
     return Counter(x for x in path.split("/") if x)

@@ -13,6 +13,7 @@ vertex are combined before the shuffle) and adaptive skew joins.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -366,17 +367,19 @@ def dfs_preorder(arcs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def greedy_partition(vertices: list, neighbours: dict, parts: int, slack: float = 0.1) -> dict:
-    """Linear deterministic greedy: each vertex, in order, to the part with most placed neighbours, damped by load."""
-    cap = -(-int(len(vertices) * (1 + slack) * 1000) // (parts * 1000)) or 1
-    load, home = [0] * parts, {}
+    """Linear deterministic greedy (Stanton and Kliot): each vertex, in order, to the part where its placed neighbours, discounted by load, weigh most.
+
+    A part takes at most ceil((1 + slack) n / parts) vertices; equal weights go to the lightest, then the first part.
+    """
+    capacity = math.ceil(len(vertices) * (1 + slack) / parts)
+    load = np.zeros(parts)
+    home: dict = {}
     for x in vertices:
-        near = [0] * parts
-        for y in neighbours.get(x, ()):
-            if y in home:
-                near[home[y]] += 1
-        best = max((p for p in range(parts) if load[p] < cap), key=lambda p: (near[p] * (1 - load[p] / cap), -load[p], -p))
-        home[x] = best
-        load[best] += 1
+        held = np.bincount([home[y] for y in neighbours.get(x, ()) if y in home], minlength=parts)
+        weight = np.where(load < capacity, held * (1 - load / max(1, capacity)), -1.0)
+        part = int(np.lexsort((load, -weight))[0])
+        home[x] = part
+        load[part] += 1
     return home
 
 

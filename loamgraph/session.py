@@ -2,7 +2,12 @@
 
 Nothing here relies on a machine-local folder on a cluster: intermediate
 tables go to the folder the cluster names in ``spark.checkpoint.dir``.  Only
-where that setting is absent (tests, a laptop) a local folder is used.
+where that setting is absent and all runs in one process (tests, a laptop) a
+local folder is used; a cluster without the setting is refused.
+
+Intermediate tables live until ``release`` or the end of the session; a long
+session puts its queries into ``with scratch_scope():``, at whose end the tables
+made inside are deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,11 +65,32 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), f"loamgraph-{os.getpid()}")
     os.makedirs(local, exist_ok=True)
     return "file://" + local
 
 
+_MADE: list[Scratch] = []
+
+
+def release(since: int = 0) -> None:
+    """Deletes the intermediate tables made so far (or since a place in their list); results must have been read or written."""
+    while len(_MADE) > since:
+        _MADE.pop()._sweep()  # noqa: SLF001
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes at its end the intermediate tables that were made inside."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        release(since)
+
+
 class Scratch:
     """Written tables that cut lineage; each can be dropped once a later one replaces it.
 
@@ -75,7 +103,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/loam-{what}-{uuid.uuid4().hex}"
         self.made = 0
-        atexit.register(self._sweep)
+        _MADE.append(self)
 
     def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         path = f"{self.base}/{self.made}"
@@ -124,6 +152,9 @@ class Scratch:
             pass
 
 
+atexit.register(release)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give Python-heavy stages at least one partition a core.
 
