@@ -257,9 +257,11 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
     and is free again.
     """
     t = tags.select("tenant_id", "tag_id", F.col("version").alias("now"), F.col("name_norm").alias("had"), F.coalesce("deleted", F.lit(False)).alias("dead"))
-    taken = live(tags).select(F.col("tenant_id").alias("t_tenant"), F.col("name_norm").alias("taken"), F.col("tag_id").alias("owner")).dropDuplicates(["t_tenant", "taken"])
+    # dirty data may hold a name live twice, so both ends of its owners are kept
+    taken = live(tags).groupBy(F.col("tenant_id").alias("t_tenant"), F.col("name_norm").alias("taken")).agg(F.min("tag_id").alias("first_owner"), F.max("tag_id").alias("last_owner"))
     out = edits.join(t, ["tenant_id", "tag_id"], "left")
-    clash = (F.col("tenant_id") == F.col("t_tenant")) & (F.col("name_norm") == F.col("taken")) & (F.col("owner") != F.col("tag_id"))
+    others = (F.col("first_owner") != F.col("tag_id")) | (F.col("last_owner") != F.col("tag_id"))
+    clash = (F.col("tenant_id") == F.col("t_tenant")) & (F.col("name_norm") == F.col("taken")) & others
     out = out.join(taken, clash, "left")
     outcome = F.when(F.col("now").isNull() | F.col("dead"), "NOT_FOUND").when(F.col("now") != F.col("expected_version"), "CONFLICT").when(~F.col("delete") & F.col("taken").isNotNull(), "NAME_TAKEN").otherwise("APPLIED")
     ok = outcome == "APPLIED"

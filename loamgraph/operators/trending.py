@@ -101,3 +101,20 @@ def newest(rows: DataFrame, key: list[str], seq: str, *values: str) -> DataFrame
 def signed_rows(log: DataFrame) -> DataFrame:
     """Analytics rows: +1 for an attached tag, -1 for a detached one."""
     return once(log).where("type in ('TAGS_ATTACHED', 'TAGS_DETACHED')").select("tenant", "tag", "at", F.when(F.col("type") == "TAGS_ATTACHED", 1).otherwise(-1).alias("delta"))
+
+
+def outbox_lag(log: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the latest number, the latest relayed one and the time of the oldest row not yet relayed (``seq, at, relayed``)."""
+    sent = F.coalesce(F.col("relayed"), F.lit(False))
+    return log.groupBy(*keys).agg(F.max("seq").alias("latest_seq"), F.max(F.when(sent, F.col("seq"))).alias("relayed_seq"), F.min(F.when(~sent, F.col("at"))).alias("oldest_unrelayed"))
+
+
+def prune_relayed(log: DataFrame, now: Column, keep: str) -> DataFrame:
+    """The outbox without relayed rows older than ``keep``; rows not relayed stay whatever their age, as do undated ones."""
+    old = F.col("at") < now - F.expr(f"interval {keep}")
+    return log.where(~(F.coalesce(F.col("relayed"), F.lit(False)) & F.coalesce(old, F.lit(False))))
+
+
+def prune_older(rows: DataFrame, at: str, now: Column, keep: str) -> DataFrame:
+    """Idempotency records at least as young as ``keep``."""
+    return rows.where(F.col(at) >= now - F.expr(f"interval {keep}"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import html, urls
 from loamgraph.operators import crawl as cr
-from loamgraph.plans.views import using
+from loamgraph.operators import tagsearch
+from loamgraph.plans.views import rendezvous_sql, using
+from loamgraph.session import Scratch
 from loamgraph.sources import domain
 from loamgraph.sources.tables import table
 
@@ -74,13 +76,15 @@ def c05_hashes(s, d):
     return domain.pages(s, d).select("page_id", urls.url_hash(F.col("url")).alias("url_hash"), "hash")
 
 
-@_q("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'path too deep' WHEN event_id % 4 = 1 THEN 'repeating segment' WHEN event_id % 4 = 2 THEN 'too many parameters' END AS trap FROM events")
+@_q("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'path too deep' WHEN event_id % 4 = 1 THEN 'repeating path segment ''' || (CASE WHEN event_id % 8 = 1 THEN 'a' ELSE 'b' || user_id % 9 END) || '''' WHEN event_id % 4 = 2 THEN 'too many query parameters' END AS trap FROM events")
 def c06_traps(s, d):
     e = table(s, d, "events")
     kind = F.col("event_id") % 4
     deep = F.concat(F.lit("http://x.example/"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("s"), i)), "/"))
     wide = F.concat(F.lit("http://x.example/a?"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.concat(F.lit("p"), i, F.lit("=1"))), "&"))
-    url = F.when(kind == 0, deep).when(kind == 1, "http://x.example/a/b/a/b/a/b/a/").when(kind == 2, wide).otherwise(F.concat(F.lit("http://x.example/a/b/"), F.col("event_id")))
+    again = F.concat(F.lit("/b"), F.col("user_id") % 9, F.lit("/a"))
+    twice = F.when(F.col("event_id") % 8 == 1, "/a/b/a/b/a/b/a/b/").otherwise(F.concat(F.repeat(again, F.lit(3)), F.lit("/b"), F.col("user_id") % 9))
+    url = F.when(kind == 0, deep).when(kind == 1, F.concat(F.lit("http://x.example"), twice)).when(kind == 2, wide).otherwise(F.concat(F.lit("http://x.example/a/b/"), F.col("event_id")))
     return e.select("event_id", urls.trap_sql(url).alias("trap"))
 
 
@@ -91,13 +95,14 @@ def c06_variant_cap(s, d):
     return capped.groupBy("user_id").agg(F.count_if(F.col("over")).alias("over"))
 
 
-@_q("SELECT DISTINCT host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) || '.co.uk' AS wide FROM (SELECT DISTINCT host FROM mentions)", "mentions")
+@_q(
+    "SELECT DISTINCT host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_extract(host, '([^.]+)$', 1) || '.co.uk' AS wide, regexp_extract(host, '([^.]+)$', 1) || '.com.de' AS third, 'org.uk.example' AS short FROM mentions",
+    "mentions",
+)
 def c07_domains(s, d):
     h = domain.mentions(s, d).select("host").distinct()
-    stem = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    both = F.concat("host", F.lit(".co.uk"))
-    last = urls.registrable_domain_sql(both)
-    return h.select("host", urls.registrable_domain_sql(F.col("host")).alias("domain"), F.concat(stem, F.when(last == F.concat(F.substring_index("host", ".", -1), F.lit(".co.uk")), ".co.uk").otherwise("?")).alias("wide"))
+    of = lambda suffix: urls.registrable_domain_sql(F.concat("host", F.lit(suffix)))
+    return h.select("host", of("").alias("domain"), of(".co.uk").alias("wide"), of(".com.de").alias("third"), F.concat(urls.registrable_domain_sql(F.lit("org.uk")), F.lit(".example")).alias("short"))
 
 
 @_q("SELECT event_id, (['PAGE','IMAGE','VIDEO','AUDIO','CSS','SCRIPT','FONT','DOCUMENT','OTHER'])[event_id % 9 + 1] AS by_path, (['PAGE','IMAGE','VIDEO','AUDIO','CSS','SCRIPT','FONT','DOCUMENT','OTHER'])[event_id % 9 + 1] AS by_media FROM events")
@@ -108,32 +113,26 @@ def c08_resource_types(s, d):
     return table(s, d, "events").select("event_id", urls.type_by_path_sql(F.element_at(names, at)).alias("by_path"), urls.type_by_media_sql(F.element_at(media, at)).alias("by_media"))
 
 
-@_q("SELECT count(*) AS missed FROM documents WHERE false")
+@_q(
+    "WITH k AS (SELECT DISTINCT hash, hash IN (SELECT hash FROM pages WHERE page_id % 2 = 0) AS held FROM pages), a AS (SELECT count(*) AS absent FROM (SELECT DISTINCT reverse(hash) AS r FROM pages) WHERE r NOT IN (SELECT hash FROM pages)) SELECT count(*) FILTER (held) AS found, 0 AS missed, (SELECT absent FROM a) AS absent, true AS few_wrong FROM k",
+    "pages",
+)
 def c09_bloom(s, d):
-    """Keys that a filter over all page hashes fails to know; by construction none."""
-    hashes = domain.pages(s, d).select("hash")
-    n = hashes.agg(F.approx_count_distinct("hash")).first()[0]
-
-    def build(frames):
-        f = urls.Bloom(n * 2 + 100, 0.01)
-        for x in frames:
-            f.add(x["hash"].tolist())
-        yield pd.DataFrame({"bits": [f.bits.tobytes()]})
-
-    shape = urls.Bloom(n * 2 + 100, 0.01)
-    parts = hashes.mapInPandas(build, "bits binary")
-    # the filter's size is fixed by n and p; its parts are or-ed pairwise on the driver's side of a reduce
-    import numpy as np
-
-    for row in parts.toLocalIterator():
-        shape.bits |= np.frombuffer(row[0], np.uint8)
-    shared = s.sparkContext.broadcast(shape)
-
-    def probe(frames):
-        for x in frames:
-            yield pd.DataFrame({"n": [int((~shared.value.has(x["hash"].tolist())).sum())]})
-
-    return hashes.mapInPandas(probe, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("missed"))
+    """A filter of the even pages' hashes: those it must know, those it fails to know, and whether it takes few of the absent ones for known.
+
+    Absent are the reversed hashes; at a rate of 1 % at most 2 % and ten of them may be taken for known.
+    """
+    scratch = Scratch(s, "bloom")
+    p = domain.pages(s, d).select("page_id", "hash")
+    stored = scratch.keep(urls.bloom_filter(p.where("page_id % 2 = 0").select(F.col("hash").alias("key")), 0.01, 2_000))
+    held = p.where("page_id % 2 = 0").select("hash").distinct()
+    away = p.select(F.reverse("hash").alias("hash")).distinct().join(p.select("hash").distinct(), "hash", "left_anti")
+    asked = held.withColumn("held", F.lit(True)).unionByName(away.withColumn("held", F.lit(False)))
+    told = urls.bloom_known(asked.select(F.col("hash").alias("key")), stored, 0.01)
+    both = asked.join(told, F.col("hash") == F.col("key"))
+    wrong = F.count_if(~F.col("held") & F.col("known"))
+    absent = F.count_if(~F.col("held"))
+    return both.agg(F.count_if(F.col("held") & F.col("known")).alias("found"), F.count_if(F.col("held") & ~F.col("known")).alias("missed"), absent.alias("absent"), (wrong <= absent * 0.02 + 10).alias("few_wrong"))
 
 
 _ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: loam\nDisallow: /wiki_export/\nAllow: /wiki_export/*5$\nDisallow: /chat*\nCrawl-delay: 2.5\n"
@@ -155,11 +154,26 @@ def c11_robots_policy(s, d):
     return domain.fetches(s, d).select("doc_id", "path", "status", urls.robots_policy_sql(F.col("status")).alias("policy"))
 
 
-@_q(r"SELECT DISTINCT ip, true AS public FROM (SELECT unnest(regexp_extract_all(text, '(?:192\.0\.2|198\.51\.100|203\.0\.113)\.\d+')) AS ip FROM documents WHERE text IS NOT NULL)")
+@_q(
+    r"""WITH ips AS (SELECT unnest(regexp_extract_all(text, '(?:192\.0\.2|198\.51\.100|203\.0\.113)\.\d+')) AS ip FROM documents WHERE text IS NOT NULL),
+n AS (SELECT DISTINCT CAST(split_part(ip, '.', 3) AS INTEGER) AS c, CAST(split_part(ip, '.', 4) AS INTEGER) AS e FROM ips),
+heads AS (SELECT a, b FROM range(0, 256) t(a), (VALUES (0), (15), (16), (18), (31), (32), (63), (64), (100), (127), (128), (168), (254)) u(b)),
+moved AS (SELECT DISTINCT (c * 7 + e) % 256 AS a, b, c, e FROM n JOIN heads ON a = (c * 7 + e) % 256)
+SELECT form, CASE form WHEN 'v4' THEN a || '.' || b || '.' || c || '.' || e WHEN 'mapped' THEN '::ffff:' || a || '.' || b || '.' || c || '.' || e ELSE '64:ff9b::' || a || '.' || b || '.' || c || '.' || e END AS ip,
+NOT (a IN (0, 10, 127) OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND (b = 168 OR b = 0 AND c = 0) OR a = 198 AND b IN (18, 19) OR a >= 224) AS public
+FROM moved, (VALUES ('v4'), ('mapped'), ('nat64')) f(form) WHERE true"""
+)
 def c12_egress(s, d):
+    """Addresses that texts name, moved into every first block and the edges of the second, as IPv4, mapped IPv6 and NAT64."""
     docs = table(s, d, "documents").where("text is not null")
-    ips = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:192\.0\.2|198\.51\.100|203\.0\.113)\.\d+"), F.lit(0))).alias("ip")).distinct()
-    return ips.select("ip", urls.public_addresses(F.col("ip")).alias("public"))
+    ips = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:192\.0\.2|198\.51\.100|203\.0\.113)\.\d+"), F.lit(0))).alias("ip"))
+    at = lambda i: F.split_part("ip", F.lit("."), F.lit(i)).cast("int")
+    n = ips.select(at(3).alias("c"), at(4).alias("e")).distinct()
+    seconds = F.array(*[F.lit(x) for x in (0, 15, 16, 18, 31, 32, 63, 64, 100, 127, 128, 168, 254)])
+    moved = n.select(((F.col("c") * 7 + F.col("e")) % 256).alias("a"), F.explode(seconds).alias("b"), "c", "e").distinct()
+    v4 = F.concat_ws(".", "a", "b", "c", "e")
+    forms = moved.select(F.explode(F.create_map(F.lit("v4"), v4, F.lit("mapped"), F.concat(F.lit("::ffff:"), v4), F.lit("nat64"), F.concat(F.lit("64:ff9b::"), v4))).alias("form", "ip"))
+    return forms.select("form", "ip", urls.public_addresses(F.col("ip")).alias("public"))
 
 
 def _html(s, d) -> DataFrame:
@@ -167,10 +181,10 @@ def _html(s, d) -> DataFrame:
     to = domain.links(s, d).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(F.lit('<a href="../p/'), x["dst"], F.lit('.html#s">x</a>'))), "\n")
     p = domain.pages(s, d).join(to, F.col("page_id") == F.col("src"))
-    return p.select("page_id", "url", F.concat(F.lit('<html><head><title>t</title><link rel="canonical" href="/c"><style>p{background:url(\'bg.png\')}</style></head><body>'), body, F.lit('<img src="i.png" srcset="a.png 1x, b.png 2x"></body></html>')).alias("html"))
+    return p.select("page_id", "url", F.concat(F.lit('<html><head><title>t</title><link rel="canonical" href="/c"><style>@import "base.css"; p{background:url(\'bg'), F.col("page_id") % 3, F.lit('.png\')} i{src:url(data:x)} b{src: URL( f.woff )}</style></head><body>'), body, F.lit('<img src="i.png" srcset="a'), F.col("page_id") % 5, F.lit('.png 1x, , b.png"></body></html>')).alias("html"))
 
 
-@_q("SELECT src AS page_id, count(*) + 4 AS links, count(*) AS pages FROM links GROUP BY src", "mentions links")
+@_q("SELECT src AS page_id, count(*) + 6 AS links, count(*) AS pages FROM links GROUP BY src", "mentions links")
 def c13_html_links(s, d):
     @F.pandas_udf("array<struct<ref:string,kind:string>>")
     def links_of(h: pd.Series) -> pd.Series:
@@ -186,23 +200,34 @@ def c13_hrefs_sql(s, d):
     return _html(s, d).select("page_id", F.explode(refs).alias("ref"))
 
 
-@_q("SELECT src AS page_id, 'bg.png' AS ref FROM links GROUP BY src", "mentions links")
+@_q("SELECT src AS page_id, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS pos, unnest(r) AS ref FROM (SELECT DISTINCT src, ['bg' || src % 3 || '.png', 'f.woff', 'base.css'] AS r FROM links)", "mentions links")
 def c14_css_urls(s, d):
-    refs = F.regexp_extract_all("html", F.lit(r"""(?i)url\(\s*['"]?([^'")]+)['"]?\s*\)"""), F.lit(1))
-    return _html(s, d).select("page_id", F.explode(F.filter(refs, lambda x: ~x.startswith("data:"))).alias("ref"))
+    """References of ``url()`` and then of ``@import`` in the pages' style; ``data:`` is none."""
 
+    @F.pandas_udf("array<string>")
+    def refs(css: pd.Series) -> pd.Series:
+        return css.map(html.css_urls)
 
-@_q("SELECT src AS page_id, unnest(['a.png', 'b.png']) AS ref FROM (SELECT DISTINCT src FROM links)", "mentions links")
+    styled = _html(s, d).select("page_id", F.regexp_extract("html", "(?s)<style>(.*?)</style>", 1).alias("css"))
+    return styled.select("page_id", F.posexplode(refs("css")).alias("pos", "ref"))
+
+
+@_q("SELECT src AS page_id, unnest(['a' || src % 5 || '.png', 'b.png']) AS ref FROM (SELECT DISTINCT src FROM links)", "mentions links")
 def c15_srcset(s, d):
-    parts = F.split(F.regexp_extract("html", 'srcset="([^"]*)"', 1), ",")
-    return _html(s, d).select("page_id", F.explode(F.transform(parts, lambda x: F.substring_index(F.trim(x), " ", 1))).alias("ref"))
+    """The addresses of image sets; empty candidates are none."""
+
+    @F.pandas_udf("array<string>")
+    def refs(value: pd.Series) -> pd.Series:
+        return value.map(html.srcset_urls)
+
+    return _html(s, d).select("page_id", F.explode(refs(F.regexp_extract("html", 'srcset="([^"]*)"', 1))).alias("ref"))
 
 
-@_q("SELECT DISTINCT host, true AS stable FROM pages", "pages")
+@_q(f"SELECT host, {rendezvous_sql('host', ['w0', 'w1', 'w2', 'w3', 'w4'])} AS owner, {rendezvous_sql('host', ['w0', 'w2', 'w3', 'w4'])} AS after FROM (SELECT DISTINCT host FROM pages) t", "pages")
 def c16_host_partitions(s, d):
-    h = domain.pages(s, d).select("host")
-    part = F.pmod(F.xxhash64("host"), F.lit(16))
-    return h.select("host", part.alias("p")).groupBy("host").agg((F.countDistinct("p") == 1).alias("stable"))
+    """The worker that owns a host, and the owner once worker w1 is gone: only its hosts move."""
+    h = domain.pages(s, d).select("host").distinct()
+    return h.select("host", tagsearch.rendezvous(F.col("host"), ["w0", "w1", "w2", "w3", "w4"]).alias("owner"), tagsearch.rendezvous(F.col("host"), ["w0", "w2", "w3", "w4"]).alias("after"))
 
 
 _LEVELS = """arcs AS (SELECT src, dst, min(pos) AS pos FROM links WHERE dst % 11 <> 3 GROUP BY ALL),

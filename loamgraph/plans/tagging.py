@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import tagsearch as ts
 from loamgraph.operators import trending as tr
-from loamgraph.plans.views import using
+from loamgraph.plans.views import rendezvous_sql, using
 from loamgraph.sources import domain
 from loamgraph.sources.tables import table
 
@@ -214,14 +214,19 @@ def t24_usage_deltas(s, d):
 
 
 @_q(
-    """WITH edits AS (SELECT tenant_id, tag_id, version - CASE WHEN tag_id % 7 = 0 THEN 1 ELSE 0 END AS expected_version, 'fresh ' || tag_id AS name_norm, tag_id % 5 = 0 AS remove, version, deleted, name_norm AS had FROM tag_current)
-SELECT tenant_id, tag_id, CASE WHEN deleted THEN 'NOT_FOUND' WHEN version <> expected_version THEN 'CONFLICT' ELSE 'APPLIED' END AS outcome, CASE WHEN NOT deleted AND version = expected_version THEN version + 1 END AS version,
-CASE WHEN NOT deleted AND version = expected_version THEN CASE WHEN remove THEN had || '~' || tag_id ELSE name_norm END END AS name_norm FROM edits""",
+    """WITH live AS (SELECT tenant_id, name_norm, min(tag_id) AS owner FROM tag_current WHERE NOT coalesce(deleted, false) GROUP BY ALL),
+edits AS (SELECT c.tenant_id, c.tag_id, version - CASE WHEN c.tag_id % 7 = 0 THEN 1 ELSE 0 END AS expected_version, CASE WHEN c.tag_id % 3 = 1 THEN (SELECT min(name_norm) FROM live l WHERE l.tenant_id = c.tenant_id) ELSE 'fresh ' || c.tag_id END AS wanted, c.tag_id % 5 = 0 AS remove, version, coalesce(deleted, false) AS dead, name_norm AS had FROM tag_current c),
+told AS (SELECT e.*, CASE WHEN dead THEN 'NOT_FOUND' WHEN version <> expected_version THEN 'CONFLICT' WHEN NOT remove AND EXISTS (SELECT 1 FROM tag_current o WHERE o.tenant_id = e.tenant_id AND o.name_norm = e.wanted AND NOT coalesce(o.deleted, false) AND o.tag_id <> e.tag_id) THEN 'NAME_TAKEN' ELSE 'APPLIED' END AS outcome FROM edits e)
+SELECT tenant_id, tag_id, outcome, CASE WHEN outcome = 'APPLIED' THEN version + 1 END AS version, CASE WHEN outcome = 'APPLIED' THEN CASE WHEN remove THEN had || '~' || tag_id ELSE wanted END END AS name_norm FROM told""",
     "tag_current",
 )
 def t25_tag_edits(s, d):
+    """Every third tag asks for the first live name of its tenant, which is another's unless it has it itself."""
     tags = domain.tag_current(s, d)
-    edits = tags.select("tenant_id", "tag_id", (F.col("version") - (F.col("tag_id") % 7 == 0).cast("int")).alias("expected_version"), F.concat(F.lit("fresh "), "tag_id").alias("name_norm"), (F.col("tag_id") % 5 == 0).alias("delete"))
+    first = ts.live(tags).groupBy(F.col("tenant_id").alias("f_tenant")).agg(F.min("name_norm").alias("first_name"))
+    wanted = F.when(F.col("tag_id") % 3 == 1, F.col("first_name")).otherwise(F.concat(F.lit("fresh "), "tag_id"))
+    asked = tags.join(first, F.col("tenant_id") == F.col("f_tenant"), "left")
+    edits = asked.select("tenant_id", "tag_id", (F.col("version") - (F.col("tag_id") % 7 == 0).cast("int")).alias("expected_version"), wanted.alias("name_norm"), (F.col("tag_id") % 5 == 0).alias("delete"))
     return ts.apply_tag_edits(tags, edits)
 
 
@@ -340,16 +345,38 @@ def t42_never_used(s, d):
     return ts.live(domain.tag_current(s, d)).select("tenant_id", "tag_id").join(used, ["tenant_id", "tag_id"], "left_anti")
 
 
-@_q()
+_SHARDS = [f"shard-{i:04d}" for i in range(8)]
+
+
+@_q(f"SELECT tenant_id, {rendezvous_sql('tenant_id', _SHARDS)} AS shard FROM (SELECT DISTINCT tenant_id FROM tags) t")
 def t43_rendezvous(s, d):
     tenants = table(s, d, "tags").select("tenant_id").distinct()
-    return tenants.select("tenant_id", ts.rendezvous(F.col("tenant_id"), [f"shard-{i:04d}" for i in range(8)]).alias("shard"))
+    return tenants.select("tenant_id", ts.rendezvous(F.col("tenant_id"), _SHARDS).alias("shard"))
 
 
-@_q("SELECT tenant, max(seq) AS latest_seq, max(seq) FILTER (seq <= 8000) AS relayed_seq, min(at_time) FILTER (seq > 8000) AS oldest_unrelayed FROM tag_log GROUP BY tenant", "tag_log")
+@_q(
+    "WITH r AS (SELECT *, seq % 10 <> 7 OR seq < (SELECT max(seq) FROM tag_log) // 2 AS relayed FROM tag_log) SELECT tenant, max(seq) AS latest_seq, max(seq) FILTER (relayed) AS relayed_seq, min(at_time) FILTER (NOT relayed) AS oldest_unrelayed FROM r GROUP BY tenant",
+    "tag_log",
+)
 def t45_lag(s, d):
+    return tr.outbox_lag(_relayed(s, d), ["tenant"])
+
+
+@_q(
+    "WITH r AS (SELECT *, seq % 10 <> 7 OR seq < (SELECT max(seq) FROM tag_log) // 2 AS relayed FROM tag_log) SELECT tenant, seq FROM r WHERE NOT (relayed AND at_time < (SELECT max(at_time) FROM tag_log) - INTERVAL 3 DAYS)",
+    "tag_log",
+)
+def t45_retention(s, d):
+    """Only relayed rows are pruned, however old the others are."""
+    log = _relayed(s, d)
+    return tr.prune_relayed(log, log.agg(F.max("at")).scalar(), "3 days").select("tenant", "seq")
+
+
+def _relayed(s, d) -> DataFrame:
+    """The outbox with every tenth row of its later half still unrelayed."""
     log = domain.tag_log(s, d)
-    return log.groupBy("tenant").agg(F.max("seq").alias("latest_seq"), F.max(F.when(F.col("seq") <= 8000, F.col("seq"))).alias("relayed_seq"), F.min(F.when(F.col("seq") > 8000, F.col("at"))).alias("oldest_unrelayed"))
+    half = F.floor(log.agg(F.max("seq")).scalar() / F.lit(2))
+    return log.withColumn("relayed", (F.col("seq") % 10 != 7) | (F.col("seq") < half))
 
 
 QUERIES = Q

@@ -33,3 +33,21 @@ def using(names: str, body: str, recursive: bool = False) -> str:
     word = "WITH RECURSIVE " if recursive else "WITH "
     rest = body.strip()
     return f"{word}{head}, {rest[5:]}" if rest.startswith("WITH ") else f"{word}{head} {rest}"
+
+
+def rendezvous_sql(key: str, shards: list[str]) -> str:
+    """SQL of ``tagsearch.rendezvous``: FNV-1a over the bytes of key, a zero byte and shard, one mixing round, signed maximum."""
+    big = "CAST(18446744073709551616 AS UHUGEINT)"
+    code = lambda text: f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substring({text}, i, 1)) AS UHUGEINT))"
+    start, factor, mix = (f"CAST({x} AS UHUGEINT)" for x in (14695981039346656037, 1099511628211, 18397679294719823053))
+    zero = "[CAST(0 AS UHUGEINT)]"
+
+    def weight(shard: str) -> str:
+        codes = f"[{start}] || {code(key)} || {zero} || {code(repr(shard))}"
+        h = f"list_reduce({codes}, lambda h, x: (xor(h, x) * {factor}) % {big})"
+        h = f"list_reduce([{h}, CAST(0 AS UHUGEINT)], lambda h, x: (xor(h, h >> 33) * {mix}) % {big})"
+        h = f"list_reduce([{h}, CAST(0 AS UHUGEINT)], lambda h, x: xor(h, h >> 33))"
+        return f"(CASE WHEN {h} >= CAST(9223372036854775808 AS UHUGEINT) THEN CAST({h} AS HUGEINT) - CAST(18446744073709551616 AS HUGEINT) ELSE CAST({h} AS HUGEINT) END)"
+
+    named = sorted(shards)
+    return f"(SELECT s FROM (SELECT unnest([{', '.join(map(repr, named))}]) AS s, unnest([{', '.join(map(weight, named))}]) AS w) ORDER BY w DESC, s LIMIT 1)"
