@@ -6,11 +6,11 @@ Pages are ``(page_id, url, host, dir, hash)``, links ``(src, dst, pos)``.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.urls import LEARN_VALUES, MAX_VARIANTS, registrable_domain_sql, without_param_sql
-from loamgraph.operators.skew import first_in_order
+from loamgraph.operators.skew import first_in_order, with_places
 from loamgraph.session import Scratch
 
 RETRIES, MAX_HOPS = 3, 10
@@ -46,28 +46,18 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int,
     open_ids = pages.where(allowed).select(F.col("page_id").alias("p"))
     arcs = scratch.keep(links.join(open_ids, F.col("dst") == F.col("p"), "left_semi").groupBy("src", "dst").agg(F.min("pos").alias("pos")))
     start = first_in_order(seeds.select("page_id").distinct(), ["page_id"], max_pages, scratch).select("page_id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
-    levels = [scratch.keep(start)]
-    admitted = levels[0].count()
+    seen = scratch.log(start)
+    admitted = seen.last.count()
     for depth in range(1, max_depth + 1):
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.union(x)
-        reached = arcs.join(levels[-1].select(F.col("page_id").alias("src")), "src").groupBy(F.col("dst").alias("page_id")).agg(F.min(F.struct("src", "pos")).alias("via"))
-        fresh = reached.join(seen.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(depth).alias("depth"), F.col("via.src").alias("parent"), F.col("via.pos").alias("pos"))
+        reached = arcs.join(seen.last.select(F.col("page_id").alias("src")), "src").groupBy(F.col("dst").alias("page_id")).agg(F.min(F.struct("src", "pos")).alias("via"))
+        fresh = reached.join(seen.all.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(depth).alias("depth"), F.col("via.src").alias("parent"), F.col("via.pos").alias("pos"))
         level = scratch.keep(fresh)
-        n = level.count()
-        if n > max_pages - admitted:
-            level = scratch.keep(first_in_order(level, ["parent", "pos", "page_id"], max_pages - admitted, scratch))
-            n = max_pages - admitted
-        level = level.drop("pos")
+        n = min(level.count(), max_pages - admitted)
         if not n:
             break
+        seen.append(first_in_order(level, ["parent", "pos", "page_id"], n, scratch).drop("pos") if n == max_pages - admitted else level.drop("pos"))
         admitted += n
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    return seen.all
 
 
 def relaxed_depths(links: DataFrame, seeds: DataFrame, weightless: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -78,22 +68,19 @@ def relaxed_depths(links: DataFrame, seeds: DataFrame, weightless: DataFrame | N
     scratch = Scratch(links.sparkSession, "relax")
     paid = scratch.keep(links.select("src", "dst").distinct())
     free = scratch.keep(weightless.select("src", "dst").distinct()) if weightless is not None else None
-    done = front = scratch.keep(seeds.select("page_id").distinct().withColumn("depth", F.lit(0)))
+    done = scratch.log(seeds.select("page_id").distinct().withColumn("depth", F.lit(0)))
+
+    def reach(arcs: DataFrame, front: DataFrame, depth: int) -> bool:
+        met = arcs.join(front.select(F.col("page_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("page_id")).distinct()
+        return done.append(met.join(done.all.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(depth)))
+
     depth = 0
     while True:
-        step = front
-        while free is not None:
-            step = scratch.keep(free.join(step.select(F.col("page_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("page_id")).distinct().join(done.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(depth)))
-            if step.isEmpty():
-                break
-            done, front = done.union(step), front.union(step)
-        if max_depth is not None and depth >= max_depth:
-            return done
+        while free is not None and reach(free, done.last, depth):
+            pass
+        if max_depth is not None and depth >= max_depth or not reach(paid, done.all.where(F.col("depth") == depth), depth + 1):
+            return done.all
         depth += 1
-        front = scratch.keep(paid.join(front.select(F.col("page_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("page_id")).distinct().join(done.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return done
-        done = done.union(front)
 
 
 def scope_key(host: Column, scope: str) -> Column:
@@ -107,12 +94,22 @@ def in_scope(pages: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
 
 def cap_variants(urls: DataFrame, key: Column, order: str, cap: int = MAX_VARIANTS) -> DataFrame:
     """Query variants of one path beyond the cap marked ``over``; urls without a query have no key."""
-    w = Window.partitionBy("_k").orderBy(order)
     keyed = urls.withColumn("_k", key)
-    counted = keyed.where("_k is not null").withColumn("over", F.row_number().over(w) > cap)
+    counted = with_places(keyed.where("_k is not null"), ["_k"], [order], Scratch(urls.sparkSession, "variants")).withColumn("over", F.col("place") >= cap).drop("place")
     return counted.unionByName(keyed.where("_k is null").withColumn("over", F.lit(False))).drop("_k")
 
 
+def admit_assets(asked: DataFrame, seen: DataFrame, downloaded: list[str], remaining: int) -> DataFrame:
+    """Assets ``(key, depth, src, pos, type)``, leaves at their page's depth: ``admit`` with the status of what is admitted.
+
+    Types that are downloaded are QUEUED, all others stay REFERENCED nodes; both
+    count against the budget.
+    """
+    judged = admit(asked, seen, remaining, ["depth", "src", "pos"])
+    kind = F.when(F.col("type").isin(downloaded), "QUEUED").otherwise("REFERENCED")
+    return judged.withColumn("status", F.when(F.col("verdict") == "ADMITTED", kind))
+
+
 # --- content ----------------------------------------------------------------
 
 
@@ -204,8 +201,7 @@ def retry_rule(status: Column, attempt: Column, backoff_ms: int) -> Column:
 
 def frontier_order(tasks: DataFrame, delay_ms: int) -> DataFrame:
     """Earliest start of each task: per host by (depth, seq), one at a time, a delay apart."""
-    turn = F.row_number().over(Window.partitionBy("host").orderBy("depth", "seq")) - 1
-    return tasks.withColumn("turn", turn).withColumn("not_before_ms", (F.col("turn") * delay_ms).cast("long"))
+    return with_places(tasks, ["host"], ["depth", "seq"], Scratch(tasks.sparkSession, "frontier"), "turn").withColumn("not_before_ms", (F.col("turn") * delay_ms).cast("long"))
 
 
 def host_schedule(contacts: DataFrame) -> DataFrame:

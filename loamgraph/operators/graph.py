@@ -5,10 +5,12 @@ explicit insertion order that ties and group numbers refer to.  An undirected
 graph keeps each edge once with ``src <= dst``.
 
 Iterative operators run one Spark job a round; state between rounds is a
-written table (see ``session.Scratch``), so a plan never grows with the rounds
-and a lost executor costs only its tasks.  Joins are on vertex ids, never
-gathered; hot vertices are left to map-side combining (all messages to one
-vertex are combined before the shuffle) and adaptive skew joins.
+written table (see ``session.Scratch``) to which a round appends, read as one
+scan of many folders, so a plan never grows with the rounds, no round writes
+what did not change, and a lost executor costs only its tasks.  Joins are on
+vertex ids; all messages to one vertex are combined map-side before the
+shuffle, and where the links of one vertex have to meet its row, hot vertices
+are broadcast and their links stay where they are.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.operators.skew import salted_join, sized_join
+from loamgraph.operators.skew import counted_join, meet, sized_join, with_places
 from loamgraph.session import Scratch
 
 
@@ -136,17 +138,13 @@ def bfs(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None, what: s
     """``(id, depth)``: fewest arcs from any root.  ``arcs(src, dst)``; loops and cycles are fine."""
     scratch = Scratch(arcs.sparkSession, what)
     arcs = scratch.keep(arcs.select("src", "dst").distinct())
-    levels = [scratch.keep(roots.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))]
-    while (max_depth is None or len(levels) <= max_depth) and not levels[-1].isEmpty():
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.union(x)
-        reached = arcs.join(levels[-1].select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        levels.append(scratch.keep(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(len(levels)))))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    seen = scratch.log(roots.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
+    while max_depth is None or seen.rounds <= max_depth:
+        front = seen.last.select(F.col("id").alias("src"))
+        reached = arcs.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        if not seen.append(reached.join(seen.all.select("id"), "id", "left_anti").withColumn("depth", F.lit(seen.rounds))):
+            break
+    return seen.all
 
 
 def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tuple[DataFrame, int]:
@@ -164,12 +162,12 @@ def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tupl
     while True:
         rounds += 1
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low, most = _minima(both, scratch)
+        large = counted_join(both.where("v > u"), low, ["u"], "n", most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # a vertex that is its own minimum keeps no link to itself
-        large = large.where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        large = scratch.keep(large.where("u <> v"))
+        least, most = _minima(large, scratch)
+        small = counted_join(large, least, ["u"], "n", most).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = scratch.keep(small.where("u <> v").distinct())
         state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(links)
@@ -181,6 +179,12 @@ def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tupl
     return v.join(label, F.col("ord") == F.col("u"), "left").select("id", F.coalesce("m", "ord").alias("label")), rounds
 
 
+def _minima(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(u, m, n)``: the smallest of each vertex and its neighbours, and their number; the largest number."""
+    low = scratch.keep(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    return low, low.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def min_label_rounds(vertices: DataFrame, edges: DataFrame, what: str = "labels") -> tuple[DataFrame, int, int]:
     """Plain label propagation: ``(id, label)``, rounds and messages; only changed vertices send."""
     scratch = Scratch(vertices.sparkSession, what)
@@ -203,26 +207,27 @@ def waves(vertices: DataFrame, edges: DataFrame, what: str = "waves") -> DataFra
     """``(id, round)`` of topological waves; null for vertices on or below a cycle (a loop is one).
 
     A round hands each finished vertex's successors one decrement; decrements
-    to a vertex are summed map-side before they travel.
+    to a vertex are summed map-side before they travel.  What a round sends is
+    appended to a log; only the vertices it touched are looked at, and those
+    are ripe whose decrements of all rounds add up to their predecessors.
     """
     scratch = Scratch(vertices.sparkSession, what)
     arcs = scratch.keep(edges.select("src", "dst").distinct())
-    need = vertices.select("id").join(arcs.groupBy("dst").agg(F.count("*").alias("open")), F.col("id") == F.col("dst"), "left").select("id", F.coalesce("open", F.lit(0)).cast("long").alias("open"))
-    wave, waiting = scratch.keep_split(need.withColumn("ripe", F.col("open") == 0), "ripe")
-    done: list[DataFrame] = []
-    while wave is not None:
-        done.append(wave.select("id", F.lit(len(done)).alias("round")))
-        if waiting is None:
+    ids = scratch.keep(vertices.select("id").distinct())
+    need = scratch.keep(arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("open")))
+    done = scratch.log(ids.join(need, "id", "left_anti").withColumn("round", F.lit(0)))
+    sent = None
+    while True:
+        cut = arcs.join(done.last.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        if sent is None:
+            sent = scratch.log(cut)
+        elif not sent.append(cut):
             break
-        cut = arcs.join(wave.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("n"))
-        left = waiting.join(cut, F.col("id") == F.col("dst"), "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"))
-        before = waiting
-        wave, waiting = scratch.keep_split(left.withColumn("ripe", F.col("open") == 0), "ripe")
-        scratch.drop(before)
-    out = vertices.select("id", F.lit(None).cast("int").alias("round")).where("false") if waiting is None else waiting.select("id", F.lit(None).cast("int").alias("round"))
-    for x in done:
-        out = out.union(x)
-    return out
+        got = sent.all.join(sent.last.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+        ripe = need.join(got, "id").where(F.col("n") == F.col("open")).join(ids, "id", "left_semi")
+        if not done.append(ripe.select("id", F.lit(done.rounds).alias("round"))):
+            break
+    return ids.join(done.all, "id", "left").select("id", "round")
 
 
 def eligible(vertices: DataFrame, edges: DataFrame, policy: str = "ISOLATE_GROUP") -> DataFrame:
@@ -234,7 +239,9 @@ def eligible(vertices: DataFrame, edges: DataFrame, policy: str = "ISOLATE_GROUP
         blocked = blocked.where("false")
     grouped, _ = components(vertices, edges, "policy-groups")
     bad = grouped.join(blocked, F.col("id") == F.col("b"), "left_semi").select(F.col("label").alias("bad")).distinct()
-    return grouped.join(bad, F.col("label") == F.col("bad"), "left").select("id", F.col("label").alias("group"), F.col("bad").isNull().alias("eligible"))
+    scratch = Scratch(vertices.sparkSession, "eligible")
+    marked = sized_join(grouped, bad.select(F.col("bad").alias("label"), F.lit(True).alias("bad")), ["label"], scratch, "left")
+    return marked.select("id", F.col("label").alias("group"), F.col("bad").isNull().alias("eligible"))
 
 
 def run_waves(vertices: DataFrame, edges: DataFrame, failing: DataFrame) -> DataFrame:
@@ -271,7 +278,7 @@ def default_roots(vertices: DataFrame, edges: DataFrame, admit: Column | None =
     grouped, _ = components(vertices, edges, "roots")
     labelled = vertices.join(grouped.withColumnRenamed("id", "g"), F.col("id") == F.col("g")).drop("g")
     rooted = labelled.join(free.select(F.col("id").alias("f")), F.col("id") == F.col("f"), "left_semi").select(F.col("label").alias("r")).distinct()
-    rootless = labelled.join(rooted, F.col("label") == F.col("r"), "left_anti")
+    rootless = sized_join(labelled, rooted.select(F.col("r").alias("label")), ["label"], Scratch(vertices.sparkSession, "rootless"), "left_anti")
     if admit is not None:
         rootless = rootless.where(admit)
     first = rootless.groupBy("label").agg(F.min_by("id", "ord").alias("id"))
@@ -280,8 +287,23 @@ def default_roots(vertices: DataFrame, edges: DataFrame, admit: Column | None =
 
 def lanes(rows: DataFrame, lane: str, order: str, delay_ms: int) -> DataFrame:
     """Round-robin over lanes: the first of every lane, then the second; starts lie a delay apart in a lane."""
-    turn = F.row_number().over(Window.partitionBy(lane).orderBy(order)) - 1
-    return rows.withColumn("turn", turn).withColumn("start_ms", (F.col("turn") * delay_ms).cast("long"))
+    placed = with_places(rows, [lane], [order], Scratch(rows.sparkSession, "lanes"), "turn")
+    return placed.withColumn("turn", F.col("turn").cast("int")).withColumn("start_ms", (F.col("turn") * delay_ms).cast("long"))
+
+
+def java_hash(key: Column, kind: str) -> Column:
+    """Hash of a key as stable placement has it: of texts the polynomial in 31 over characters, of numbers both halves xored, as 32-bit signed."""
+    if kind == "string":
+        wide = F.aggregate(F.transform(F.filter(F.split(key, ""), lambda c: c != ""), F.ascii), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    else:
+        wide = key.cast("long").bitwiseXOR(F.shiftrightunsigned(key.cast("long"), 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(wide >= 1 << 31, wide - (1 << 32)).otherwise(wide).cast("int")
+
+
+def partition_by_key(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """``part``: equal keys always go to the same part; balance is as good as that of the keys.  A null key goes to part 0."""
+    kind = dict(rows.dtypes)[key]
+    return rows.withColumn("part", F.coalesce(F.pmod(java_hash(F.col(key), kind), F.lit(parts)), F.lit(0)).cast("int"))
 
 
 def edge_cut(edges: DataFrame, owners: DataFrame) -> DataFrame:
@@ -409,6 +431,24 @@ def place_groups(groups: DataFrame, parts: int, placed: list[int] | None = None)
     return marked.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fill, "group long, part int, whole boolean")
 
 
+def greedy_by_group(vertices: DataFrame, edges: DataFrame, parts: int, slack: float = 0.1) -> DataFrame:
+    """``(group, id, part)``: each group's vertices ``(group, id, ord)`` in order by ``greedy_partition``; edges ``(group, src, dst)`` inside groups.
+
+    Sequential in a group, which one task holds as arrays; groups run in parallel.
+    """
+
+    def run(mine: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        ids = mine.sort_values(["ord", "id"])["id"].tolist()
+        near: dict[int, list[int]] = {}
+        for a, b in zip(arcs["src"].tolist(), arcs["dst"].tolist(), strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        home = greedy_partition(ids, near, parts, slack)
+        return pd.DataFrame({"group": mine["group"].iloc[:1].repeat(len(home)).to_numpy(), "id": list(home), "part": list(home.values())})
+
+    return vertices.groupBy("group").cogroup(edges.groupBy("group")).applyInPandas(run, "group long, id long, part int")
+
+
 class _Near:
     """Neighbour lists of the vertices 0..n-1 in two arrays."""
 
@@ -489,4 +529,4 @@ def adjacency(vertices: DataFrame, arcs: DataFrame, ids: DataFrame | None = None
     """``(id, successors)`` with edgeless vertices kept and unknown ids omitted."""
     asked = vertices.select("id") if ids is None else vertices.join(ids.select("id").distinct(), "id", "left_semi").select("id")
     lists = arcs.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("successors"))
-    return salted_join(asked.withColumnRenamed("id", "src"), lists, ["src"], "src", 1, "left").select(F.col("src").alias("id"), F.coalesce("successors", F.array().cast("array<long>")).alias("successors"))
+    return meet(asked.withColumnRenamed("id", "src"), lists, ["src"], "left").select(F.col("src").alias("id"), F.coalesce("successors", F.array().cast("array<long>")).alias("successors"))

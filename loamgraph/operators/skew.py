@@ -94,3 +94,31 @@ def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) ->
     joined = placed.withColumn("_part", part).join(before, "_part")
     inside = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) < n
     return joined.where(inside).select(*df.columns)
+
+
+def counted_join(big: DataFrame, unique: DataFrame, keys: list[str], count: str, most: int, bucket: int = 100_000, how: str = "inner") -> DataFrame:
+    """Join with a stored side that knows how many rows of ``big`` each key has (``count``, at most ``most``).
+
+    Keys with more than ``bucket`` rows, at most one in ``bucket`` rows, are
+    broadcast and their rows stay where they are; the others are shuffled.
+    """
+    if most <= bucket:
+        return meet(big, unique, keys, how)
+    hot = F.broadcast(unique.where(F.col(count) > bucket))
+    rest = meet(big, hot.select(*keys), keys, "left_anti")
+    return meet(meet(big, hot.select(*keys), keys, "left_semi"), hot, keys, how).unionByName(meet(rest, unique, keys, how))
+
+
+def with_places(df: DataFrame, keys: list[str], order: list[str], scratch: Scratch, name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 0) among the rows of its key, in an order that is unique within it.
+
+    Rows are range-partitioned by key and order, so the rows of one hot key
+    spread over many partitions; a place is the one inside the partition plus
+    the counts of the key in the partitions before.
+    """
+    placed = scratch.keep(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    per = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select(*keys, "_part", (before - F.col("_first")).alias("_off"))
+    return meet(placed, offsets, [*keys, "_part"], "inner").withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_part", "_off")

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.operators.skew import sized_join
+from loamgraph.session import Scratch
+
 ENTITY = ["tenant_id", "entity_type", "entity_id"]
 MAX_TERMS, DEFAULT_PAGE, MAX_PAGE, MAX_NAME = 32, 50, 200, 64
 
@@ -164,7 +167,7 @@ def usage(assignments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def with_live_tags(assignments: DataFrame, tags: DataFrame) -> DataFrame:
     """Assignments of live tags with the tag's names (the scan that feeds an index)."""
-    return assignments.join(live(tags).select("tenant_id", "tag_id", "name", "name_norm"), ["tenant_id", "tag_id"])
+    return sized_join(assignments, live(tags).select("tenant_id", "tag_id", "name", "name_norm"), ["tenant_id", "tag_id"], Scratch(tags.sparkSession, "live"))
 
 
 # --- names ----------------------------------------------------------------
@@ -272,7 +275,7 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
 def purge(assignments: DataFrame, tags: DataFrame) -> DataFrame:
     """Assignments left once those of deleted tags are gone."""
     dead = tags.where("coalesce(deleted, false)").select("tenant_id", "tag_id").distinct()
-    return assignments.join(dead, ["tenant_id", "tag_id"], "left_anti")
+    return sized_join(assignments, dead, ["tenant_id", "tag_id"], Scratch(tags.sparkSession, "dead"), "left_anti")
 
 
 def idempotent(requests: DataFrame) -> DataFrame:

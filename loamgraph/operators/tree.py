@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.paths import child_path, path_ids, root_path, under
-from loamgraph.operators.skew import sized_join
+from loamgraph.operators.skew import meet, sized_join, with_places
 from loamgraph.session import Scratch
 
 KEY = ["tenant_id", "node_id"]
@@ -61,16 +61,10 @@ def children_page(nodes: DataFrame, tenant: str, parent: int, after: tuple[str,
 
 
 def all_children(nodes: DataFrame) -> DataFrame:
-    """Active children of every parent with their place, without sorting one hot parent in a task.
-
-    Places come from per-bucket ranks: the children of a parent are bucketed
-    by rank prefix, numbered inside and offset by the buckets before.
-    """
-    active = nodes.where("status = 'ACTIVE' and parent_id is not null").select("tenant_id", "parent_id", "node_id", "rank").withColumn("b", F.substring(F.coalesce("rank", F.lit("")), 1, 4))
-    sizes = active.groupBy("tenant_id", "parent_id", "b").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("off", F.coalesce(F.sum("n").over(Window.partitionBy("tenant_id", "parent_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = active.withColumn("r", F.row_number().over(Window.partitionBy("tenant_id", "parent_id", "b").orderBy("rank", "node_id")))
-    return inner.join(before.drop("n"), ["tenant_id", "parent_id", "b"]).select("tenant_id", "parent_id", "node_id", (F.col("r") + F.col("off")).cast("int").alias("place"))
+    """Active children of every parent with their place, without sorting one hot parent in a task."""
+    active = nodes.where("status = 'ACTIVE' and parent_id is not null").select("tenant_id", "parent_id", "node_id", "rank")
+    placed = with_places(active, ["tenant_id", "parent_id"], ["rank", "node_id"], Scratch(nodes.sparkSession, "children"))
+    return placed.select("tenant_id", "parent_id", "node_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def descendants_page(nodes: DataFrame, tenant: str, root_path_value: str, root_depth: int, max_depth: int, after: str | None, limit: int) -> DataFrame:
@@ -82,9 +76,9 @@ def descendants_page(nodes: DataFrame, tenant: str, root_path_value: str, root_d
     return rows.join(hidden, KEY, "left_anti").orderBy("path").limit(limit + 1)
 
 
-def effective(nodes: DataFrame, old_prefix: str, new_prefix: str, depth_delta: int) -> DataFrame:
-    """Rows read through a running move: stored paths below the old prefix appear below the new."""
-    moved = F.col("path").startswith(old_prefix)
+def effective(nodes: DataFrame, tenant: str, old_prefix: str, new_prefix: str, depth_delta: int) -> DataFrame:
+    """Rows read through a running move: a tenant's stored paths below the old prefix appear below the new."""
+    moved = F.coalesce((F.col("tenant_id") == tenant) & F.col("path").startswith(old_prefix), F.lit(False))
     return nodes.withColumns({"path": F.when(moved, F.concat(F.lit(new_prefix), F.expr(f"substring(path, {len(old_prefix) + 1})"))).otherwise(F.col("path")), "depth": F.when(moved, F.col("depth") + depth_delta).otherwise(F.col("depth")).cast("int")})
 
 
@@ -96,10 +90,13 @@ def trash_list(nodes: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def rank_neighbours(nodes: DataFrame) -> DataFrame:
-    """``below`` and ``above``: nearest strictly lower and higher rank among siblings."""
-    distinct = nodes.where("parent_id is not null").select("tenant_id", "parent_id", "rank").distinct()
-    w = Window.partitionBy("tenant_id", "parent_id").orderBy("rank")
-    return distinct.select("tenant_id", "parent_id", "rank", F.lag("rank").over(w).alias("below"), F.lead("rank").over(w).alias("above"))
+    """``below`` and ``above``: nearest strictly lower and higher rank among siblings, also of a parent with very many."""
+    scratch = Scratch(nodes.sparkSession, "ranks")
+    keys = ["tenant_id", "parent_id"]
+    placed = scratch.keep(with_places(nodes.where("parent_id is not null").select(*keys, "rank").distinct(), keys, ["rank"], scratch))
+    beside = lambda by, name: placed.select(*keys, (F.col("place") + by).alias("place"), F.col("rank").alias(name))
+    out = meet(meet(placed, beside(1, "below"), [*keys, "place"], "left"), beside(-1, "above"), [*keys, "place"], "left")
+    return out.select(*keys, "rank", "below", "above")
 
 
 def max_ranks(nodes: DataFrame) -> DataFrame:
@@ -141,6 +138,27 @@ def move_subtree(nodes: DataFrame, tenant: str, old_path: str, new_parent_path:
     )
 
 
+def check_moves(requests: DataFrame, nodes: DataFrame, limit: int = MOVE_LIMIT) -> DataFrame:
+    """Verdict on moves ``(tenant_id, node_id, to_id)`` from probes of the subtree: its size and deepest node.
+
+    In this order: NO_NODE, NO_TARGET, SAME_PARENT (a mere reordering), ROOT, TRASHED
+    (either), CYCLE (the target lies inside), TOO_DEEP, TOO_LARGE (above ``limit``
+    into another space), JOB (above it in the same space) or DONE.
+    """
+    marked = with_trash_flag(nodes).select("tenant_id", "node_id", "parent_id", "space_id", "path", "depth", "in_trash")
+    sizes = subtree_sizes(nodes).select("tenant_id", F.col("anc_id").alias("node_id"), "n", "deepest")
+    target = marked.select("tenant_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"to_{c}") for c in ("space_id", "path", "depth", "in_trash")])
+    out = _sized(_sized(requests.select("tenant_id", "node_id", "to_id"), marked, ["tenant_id", "node_id"], "left"), sizes, ["tenant_id", "node_id"], "left")
+    out = _sized(out, target, ["tenant_id", "to_id"], "left")
+    large, elsewhere = F.col("n") > limit, ~F.col("space_id").eqNullSafe(F.col("to_space_id"))
+    verdict = (
+        F.when(F.col("path").isNull(), "NO_NODE").when(F.col("to_path").isNull(), "NO_TARGET").when(F.col("parent_id") == F.col("to_id"), "SAME_PARENT").when(F.col("parent_id").isNull(), "ROOT")
+        .when(F.col("in_trash") | F.col("to_in_trash"), "TRASHED").when(F.col("to_path").startswith(F.col("path")), "CYCLE").when(F.col("deepest") - F.col("depth") + F.col("to_depth") + 1 > MAX_DEPTH, "TOO_DEEP")
+        .when(large & elsewhere, "TOO_LARGE").when(large, "JOB").otherwise("DONE")
+    )
+    return out.select("tenant_id", "node_id", "to_id", verdict.alias("verdict"), F.col("n").alias("size"))
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """``(tenant_id, anc_id, n, deepest)``: nodes in each subtree and their greatest stored depth."""
     return nodes.select("tenant_id", "depth", F.explode(path_ids(F.col("path"))).alias("anc_id")).groupBy("tenant_id", "anc_id").agg(F.count("*").alias("n"), F.max("depth").cast("int").alias("deepest"))
@@ -210,3 +228,10 @@ def set_restrictions(current: DataFrame, wanted: DataFrame, limit: int = 100) ->
     fine = counted.where(F.col("n") <= limit).select(*key)
     kept = current.select(*key, "principal").join(fine, key, "left_anti")
     return kept.unionByName(wanted.where("principal is not null").select(*key, "principal").distinct().join(fine, key, "left_semi"))
+
+
+def outbox_lag_ms(outbox: DataFrame, now: Column) -> DataFrame:
+    """``(tenant_id, lag_ms)``: age of the oldest row of ``(tenant_id, at, relayed)`` that is not relayed, 0 where there is none."""
+    oldest = F.min(F.when(~F.coalesce(F.col("relayed"), F.lit(False)), F.col("at")))
+    ms = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / 1000).cast("long")
+    return outbox.groupBy("tenant_id").agg(F.greatest(F.lit(0).cast("long"), F.coalesce(ms(now) - ms(oldest), F.lit(0).cast("long"))).alias("lag_ms"))

@@ -251,6 +251,17 @@ def c21_crawl(s, d):
     return cr.crawl(p, domain.links(s, d), p.where("page_id % 97 = 0"), 3, 10**9, F.col("page_id") % 11 != 3).select("page_id", "depth")
 
 
+@_q(
+    f"WITH {_LEVELS}, via AS (SELECT d.page_id, d.depth, min((a.src, a.pos)) AS m FROM depths d LEFT JOIN depths p ON p.depth = d.depth - 1 LEFT JOIN arcs a ON a.dst = d.page_id AND a.src = p.page_id WHERE d.depth = 0 OR a.src IS NOT NULL GROUP BY ALL) SELECT page_id, depth, CASE WHEN depth > 0 THEN m[1] END AS parent FROM via ORDER BY depth, CASE WHEN depth > 0 THEN m[1] END NULLS FIRST, CASE WHEN depth > 0 THEN m[2] END, page_id LIMIT (SELECT count(*) // 4 FROM pages)",
+    "pages mentions links",
+    True,
+)
+def c21_crawl_budget(s, d):
+    """The same with a budget of a quarter of all pages: earlier levels whole, the last one by (parent, position)."""
+    p = domain.pages(s, d)
+    return cr.crawl(p, domain.links(s, d), p.where("page_id % 97 = 0"), 3, p.count() // 4, F.col("page_id") % 11 != 3).select("page_id", "depth", "parent")
+
+
 @_q("SELECT page_id, CAST(depth AS INTEGER) AS depth FROM (WITH RECURSIVE walk AS (SELECT page_id, 0 AS depth FROM pages WHERE page_id % 97 = 0 UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.page_id WHERE w.depth < 5) SELECT page_id, min(depth) AS depth FROM walk GROUP BY page_id)", "pages mentions links")
 def c22_depths(s, d):
     return cr.relaxed_depths(domain.links(s, d), domain.pages(s, d).where("page_id % 97 = 0"), max_depth=5)
@@ -302,11 +313,17 @@ def _nodes(s, d) -> DataFrame:
 _NODES = "own AS (SELECT *, min(page_id) OVER (PARTITION BY hash, dir) AS owner FROM pages), nodes_ AS (SELECT page_id AS id, url, substring(sha256(url), 1, 32) AS url_hash, CASE WHEN page_id % 13 = 4 THEN 'REDIRECT' WHEN page_id = owner THEN 'FETCHED' ELSE 'DUPLICATE' END AS status, CASE WHEN page_id % 6 = 1 THEN 'IMAGE' ELSE 'PAGE' END AS type, hash, CASE WHEN page_id % 13 = 4 THEN page_id + 1 WHEN page_id <> owner THEN owner END AS next FROM own), hops AS (SELECT id, id AS at, 0 AS k FROM nodes_ UNION ALL SELECT h.id, n.next, k + 1 FROM hops h JOIN nodes_ n ON n.id = h.at WHERE n.status <> 'FETCHED' AND n.next IS NOT NULL AND k < 9), resolved AS (SELECT h.id, max(CASE WHEN n.status = 'FETCHED' THEN h.at END) AS target FROM hops h LEFT JOIN nodes_ n ON n.id = h.at GROUP BY h.id)"
 
 
-@_q(f"WITH {_NODES} SELECT id, CASE WHEN status IN ('QUEUED') THEN 'LATER' WHEN type = 'PAGE' THEN 'DOWNLOAD' WHEN id % 12 = 1 THEN 'DOWNLOAD' ELSE 'REFERENCED' END AS policy FROM nodes_", "pages", True)
+@_q(
+    "WITH asked AS (SELECT dst AS key, src % 4 AS depth, src, pos, (['IMAGE', 'CSS', 'VIDEO', 'FONT', 'OTHER'])[(src + pos) % 5 + 1] AS type FROM links WHERE dst % 6 = 1), f AS (SELECT key, min((depth, src, pos, type)) AS r FROM asked GROUP BY key), j AS (SELECT key, r[1] AS depth, r[2] AS src, r[3] AS pos, r[4] AS type, key % 18 = 1 AS known FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY known ORDER BY depth, src, pos, key) AS k FROM j), t AS (SELECT *, CASE WHEN known THEN CASE WHEN depth < 2 THEN 'SHALLOWER' ELSE 'SEEN' END WHEN k <= (SELECT count(*) // 40 FROM links) THEN 'ADMITTED' ELSE 'OVER_BUDGET' END AS verdict FROM n) SELECT key, depth, verdict, CASE WHEN verdict = 'ADMITTED' THEN CASE WHEN type IN ('IMAGE', 'CSS') THEN 'QUEUED' ELSE 'REFERENCED' END END AS status FROM t",
+    "mentions links",
+)
 def c26_asset_policy(s, d):
-    """Downloaded types are fetched, other assets only referenced; here every other image is of a downloaded kind."""
-    kind = F.when(F.col("type") == "PAGE", "PAGE").when(F.col("id") % 12 == 1, "IMAGE").otherwise("OTHER")
-    return _nodes(s, d).select("id", F.when(kind.isin("PAGE", "IMAGE"), "DOWNLOAD").otherwise("REFERENCED").alias("policy"))
+    """Links to every sixth page are taken for assets: leaves at their page's depth, downloaded or referenced, within a budget."""
+    kinds = F.array(*[F.lit(x) for x in ("IMAGE", "CSS", "VIDEO", "FONT", "OTHER")])
+    e = domain.links(s, d)
+    asked = e.where("dst % 6 = 1").select(F.col("dst").alias("key"), (F.col("src") % 4).alias("depth"), "src", "pos", F.element_at(kinds, ((F.col("src") + F.col("pos")) % 5 + 1).cast("int")).alias("type"))
+    seen = asked.where("key % 18 = 1").select("key", F.lit(2).alias("depth")).distinct()
+    return cr.admit_assets(asked, seen, ["IMAGE", "CSS"], e.count() // 40).select("key", "depth", "verdict", "status")
 
 
 @_q("SELECT event_id, CASE WHEN (event_id % 5 = 0 OR event_id % 5 = 1 OR event_id % 5 = 2) AND user_id % 5 < 3 THEN CAST(250 * pow(2, user_id % 5) AS BIGINT) END AS wait_ms FROM events")
@@ -400,12 +417,16 @@ def c39_sitemaps(s, d):
     return m.select(links(xml).alias("n")).agg(F.count("*").alias("pages"), F.sum("n").alias("links"))
 
 
-@_q()
+@_q(
+    "WITH e AS (SELECT 'm' || page_id // 20 AS sitemap, page_id AS src, CASE WHEN page_id % 3 > 0 THEN page_id // 20 * 20 + (page_id * 7 + 3) % 20 END AS dst FROM pages), n AS (SELECT sitemap, src AS id FROM e UNION SELECT sitemap, dst FROM e WHERE dst IS NOT NULL), free AS (SELECT * FROM n WHERE (sitemap, id) NOT IN (SELECT (sitemap, dst) FROM e WHERE dst IS NOT NULL AND dst <> src)), reach AS (SELECT sitemap, id AS top, id AS at FROM n UNION SELECT r.sitemap, r.top, e.dst FROM reach r JOIN e ON e.sitemap = r.sitemap AND e.src = r.at WHERE e.dst IS NOT NULL), rest AS (SELECT * FROM n WHERE (sitemap, id) NOT IN (SELECT (r.sitemap, r.at) FROM reach r JOIN free f ON f.sitemap = r.sitemap AND f.id = r.top)) SELECT sitemap, id AS root FROM free UNION ALL SELECT x.sitemap, x.id FROM rest x WHERE NOT EXISTS (SELECT 1 FROM reach r JOIN rest y ON y.sitemap = r.sitemap AND y.id = r.top WHERE r.sitemap = x.sitemap AND r.at = x.id AND r.top < x.id)",
+    "pages",
+    True,
+)
 def c40_sitemap_roots(s, d):
-    """Per sitemap the pages nothing links to, then in file order the first of each part these do not reach."""
-    e = domain.trade(s, d).select("src", "dst")
-    rows = domain.nations(s, d).select(F.lit("trade").alias("sitemap"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(e.select(F.lit("trade").alias("sitemap"), "src", "dst"))
-    return cr.sitemap_roots(rows)
+    """Per sitemap of twenty pages those nothing links to, then in file order the first of each part these do not reach."""
+    block = F.floor(F.col("page_id") / 20).cast("long")
+    dst = F.when(F.col("page_id") % 3 > 0, block * 20 + (F.col("page_id") * 7 + 3) % 20)
+    return cr.sitemap_roots(domain.pages(s, d).select(F.concat(F.lit("m"), block).alias("sitemap"), F.col("page_id").alias("src"), dst.alias("dst")))
 
 
 @_q(

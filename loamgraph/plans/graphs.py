@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators import graph as gr
@@ -160,7 +160,7 @@ def x02_label_propagation(s, d):
     return gr.min_label_rounds(*_bip(s, d))[0].groupBy("label").agg(F.count("*").alias("members"))
 
 
-_BLOCKED = """seeds AS (SELECT event_id AS src, event_id >> 2 AS dst FROM events WHERE event_id >= 400 AND event_id % 97 = 0 AND event_id < 1500),
+_BLOCKED = """seeds AS (SELECT event_id AS src, event_id >> 2 AS dst FROM events WHERE event_id >= 400 AND event_id % 97 = 0),
 walk AS (SELECT dst AS id FROM seeds UNION SELECT e.dst FROM walk w JOIN heap e ON e.src = w.id)"""
 
 
@@ -180,20 +180,23 @@ def x04_policy(s, d):
     return gr.eligible(domain.heap_nodes(s, d).where("id >= 2"), e).withColumnRenamed("group", "grp")
 
 
-@_q("SELECT id, CAST(floor(log2(id)) AS INTEGER) AS round FROM heap_nodes", "heap_nodes")
+# The round of a vertex is the longest way to it, by any of its predecessors.
+_ROUNDS = "ways AS (SELECT 1 AS id, 0 AS k UNION SELECT f.dst, w.k + 1 FROM ways w JOIN fan f ON f.src = w.id), rounds AS (SELECT id, max(k) AS round FROM ways GROUP BY id)"
+
+
+@_q(f"WITH {_ROUNDS} SELECT id, round FROM rounds", "fan", True)
 def x05_waves(s, d):
-    return gr.waves(domain.heap_nodes(s, d), domain.heap(s, d))
+    return gr.waves(domain.heap_nodes(s, d), domain.fan(s, d))
 
 
 @_q(
-    "WITH down AS (SELECT id AS f, id FROM heap_nodes WHERE id % 37 = 5 UNION SELECT d.f, e.dst FROM down d JOIN heap e ON e.src = d.id) SELECT id, CAST(floor(log2(id)) AS INTEGER) AS round, CASE WHEN id IN (SELECT id FROM down WHERE id <> f) THEN 'SKIPPED' WHEN id % 37 = 5 THEN 'FAILED' ELSE 'DONE' END AS status FROM heap_nodes",
-    "heap heap_nodes",
+    f"WITH {_ROUNDS}, heirs AS (SELECT dst AS id FROM fan WHERE src % 1037 = 5 UNION SELECT f.dst FROM heirs h JOIN fan f ON f.src = h.id) SELECT id, round, CASE WHEN id IN (SELECT id FROM heirs) THEN 'SKIPPED' WHEN id % 1037 = 5 THEN 'FAILED' ELSE 'DONE' END AS status FROM rounds",
+    "fan",
     True,
 )
 def x06_failures(s, d):
     v = domain.heap_nodes(s, d)
-    failing = v.where("id % 37 = 5")
-    return gr.run_waves(v, domain.heap(s, d), failing)
+    return gr.run_waves(v, domain.fan(s, d), v.where("id % 1037 = 5"))
 
 
 def _start(s, d) -> DataFrame:
@@ -229,28 +232,26 @@ def x10_lanes(s, d):
     return gr.lanes(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id", 250)
 
 
-@_q("SELECT id % 4 AS part, count(*) AS nodes FROM heap_nodes GROUP BY 1", "heap_nodes")
-def x11_partition_by_key(s, d):
-    return domain.heap_nodes(s, d).select(F.pmod("id", F.lit(4)).alias("part")).groupBy("part").agg(F.count("*").alias("nodes"))
-
+_TEXT_HASH = "list_reduce([CAST(0 AS BIGINT)] || list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substring(k, i, 1)) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
 
-@_q()
-def x12_greedy(s, d):
-    """Sequential by definition, so for graphs one task can hold; here the nations."""
-    rows = domain.nations(s, d).select("id", F.lit(None).cast("long").alias("dst")).unionByName(domain.trade(s, d).select(F.col("src").alias("id"), "dst"))
 
-    def run(pdf):
-        import pandas as pd
+@_q(
+    f"WITH v AS (SELECT 'host-' || (user_id * 7919) || '.' || event_type AS k, event_id * 4295000000 + user_id AS n FROM events), h AS (SELECT k, n, {_TEXT_HASH} AS t, xor(n, n >> 32) % 4294967296 AS u FROM v), w AS (SELECT k, n, CASE WHEN t >= 2147483648 THEN t - 4294967296 ELSE t END AS t, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS u FROM h) SELECT k, n, CAST((t % 7 + 7) % 7 AS INTEGER) AS by_text, CAST((u % 7 + 7) % 7 AS INTEGER) AS by_number FROM w"
+)
+def x11_partition_by_key(s, d):
+    e = table(s, d, "events")
+    rows = e.select(F.concat(F.lit("host-"), F.col("user_id") * 7919, F.lit("."), "event_type").alias("k"), (F.col("event_id") * F.lit(4_295_000_000) + F.col("user_id")).alias("n"))
+    both = gr.partition_by_key(gr.partition_by_key(rows, "k", 7).withColumnRenamed("part", "by_text"), "n", 7)
+    return both.withColumnRenamed("part", "by_number")
 
-        near: dict = {}
-        for a, b in zip(pdf["id"], pdf["dst"], strict=True):
-            if b == b and b is not None:
-                near.setdefault(int(a), set()).add(int(b))
-                near.setdefault(int(b), set()).add(int(a))
-        home = gr.greedy_partition(sorted({int(x) for x in pdf["id"]}), near, 4)
-        return pd.DataFrame({"id": list(home), "part": list(home.values())})
 
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "id long, part int")
+@_q("SELECT event_id AS id, user_id AS grp, CAST((row_number() OVER w - 1) // CAST(ceil(count(*) OVER (PARTITION BY user_id) * (1 + CAST(0.1 AS DOUBLE)) / 4) AS BIGINT) AS INTEGER) AS part FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def x12_greedy(s, d):
+    """Each user's events form a chain, which the greedy rule cuts into full parts one after the other."""
+    e = table(s, d, "events").select(F.col("user_id").alias("group"), F.col("event_id").alias("id"), F.col("event_id").alias("ord"))
+    before = F.lag("id").over(Window.partitionBy("group").orderBy("id"))
+    arcs = e.select("group", before.alias("src"), F.col("id").alias("dst")).where("src is not null")
+    return gr.greedy_by_group(e, arcs, 4).select("id", F.col("group").alias("grp"), "part")
 
 
 @_q()
@@ -266,9 +267,9 @@ def x14_edge_cut(s, d):
     return gr.edge_cut(domain.trade(s, d), domain.nations(s, d).select("id", (F.col("id") % 4).alias("owner")))
 
 
-@_q("SELECT count(*) AS decrement_edges, count(DISTINCT (src % 4, dst % 4, floor(log2(src)))) AS batches_sent FROM heap", "heap")
+@_q(f"WITH {_ROUNDS} SELECT count(*) AS decrement_edges, count(DISTINCT (src % 4, dst % 4, round)) AS batches_sent FROM fan JOIN rounds ON id = src", "fan", True)
 def x15_message_combining(s, d):
-    v, e = domain.heap_nodes(s, d), domain.heap(s, d)
+    v, e = domain.heap_nodes(s, d), domain.fan(s, d)
     return gr.message_stats(e, gr.waves(v, e), v.select("id", (F.col("id") % 4).alias("owner")))
 
 
@@ -278,15 +279,15 @@ def x16_replays(s, d):
     return gr.dedupe_batches(b.union(b))
 
 
-@_q("SELECT dst AS id, count(*) FILTER (floor(log2(src)) >= 6) AS pending FROM heap GROUP BY dst", "heap")
+@_q(f"WITH {_ROUNDS} SELECT dst AS id, count(*) FILTER (round >= 6) AS pending FROM fan JOIN rounds ON id = src GROUP BY dst", "fan", True)
 def x17_rebuild(s, d):
-    v, e = domain.heap_nodes(s, d), domain.heap(s, d)
+    v, e = domain.heap_nodes(s, d), domain.fan(s, d)
     return gr.pending_after(e, gr.waves(v, e), 6)
 
 
-@_q("SELECT dst AS id, bool_and(floor(log2(src)) < 6) AS ready FROM heap GROUP BY dst", "heap")
+@_q(f"WITH {_ROUNDS} SELECT dst AS id, bool_and(round < 6) AS ready FROM fan JOIN rounds ON id = src GROUP BY dst", "fan", True)
 def x18_ready(s, d):
-    v, e = domain.heap_nodes(s, d), domain.heap(s, d)
+    v, e = domain.heap_nodes(s, d), domain.fan(s, d)
     return gr.ready_at(e, gr.waves(v, e), 6)
 
 
@@ -308,10 +309,11 @@ def x21_node_page(s, d):
     return gr.page_of_nodes(domain.heap_nodes(s, d).select("id"), 500, 40)
 
 
-@_q("SELECT id FROM nations WHERE id NOT IN (SELECT src FROM trade UNION SELECT dst FROM trade)", "trade nations")
+@_q("WITH e AS (SELECT src, dst FROM trade WHERE src < 12 AND dst < 12) SELECT id FROM nations WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)", "trade nations")
 def x22_isolated(s, d):
-    """Sources of an undirected store are its isolated vertices."""
-    return _trade(s, d, directed=False).degrees().where("out_degree = 0").select("id")
+    """Sources of an undirected store are its isolated vertices; here trade among the first twelve nations only."""
+    near = domain.trade(s, d).where("src < 12 and dst < 12").drop("weight")
+    return gr.Graph.of(domain.nations(s, d), near, directed=False).degrees().where("out_degree = 0").select("id")
 
 
 @_q("SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM (SELECT DISTINCT src, dst FROM bipartite)", "bipartite")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import lexorank
@@ -94,10 +94,10 @@ def h05_shape(s, d):
     return n.groupBy("tenant_id", "depth").agg(F.count("*").alias("nodes"), F.max(F.length("path")).alias("longest"))
 
 
-@_q(f"WITH {_PICK} SELECT n.node_id, CASE WHEN starts_with(n.path, p.path) THEN '/1/2/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS path, CAST(CASE WHEN starts_with(n.path, p.path) THEN n.depth + 2 ELSE n.depth END AS INTEGER) AS depth FROM node_current n, pick p WHERE n.tenant_id = p.tenant_id", "node_current")
+@_q(f"WITH {_PICK} SELECT n.node_id, CASE WHEN n.tenant_id = p.tenant_id AND starts_with(n.path, p.path) THEN '/1/2/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS path, CAST(CASE WHEN n.tenant_id = p.tenant_id AND starts_with(n.path, p.path) THEN n.depth + 2 ELSE n.depth END AS INTEGER) AS depth FROM node_current n, pick p WHERE true", "node_current")
 def h06_overlay(s, d):
     at = _pick(s, d)
-    return tree.effective(domain.node_current(s, d).where(F.col("tenant_id") == at["tenant_id"]), at["path"], "/1/2/", 2).select("node_id", "path", "depth")
+    return tree.effective(domain.node_current(s, d), at["tenant_id"], at["path"], "/1/2/", 2).select("node_id", "path", "depth")
 
 
 @_q("SELECT tenant_id, space_id, node_id, CAST(row_number() OVER (PARTITION BY tenant_id, space_id ORDER BY trashed_at DESC NULLS LAST, node_id) AS INTEGER) AS place FROM node_current WHERE status = 'TRASHED' QUALIFY place <= 1000", "node_current")
@@ -137,14 +137,35 @@ def h10_create(s, d):
 
 
 @_q(
-    f"WITH {_PICK}, target AS (SELECT n.* FROM node_current n, pick p WHERE n.tenant_id = p.tenant_id AND n.parent_id IS NULL ORDER BY n.space_id = p.space_id, n.node_id LIMIT 1) SELECT n.node_id, CASE WHEN n.path = p.path THEN t.node_id ELSE n.parent_id END AS parent_id, CASE WHEN starts_with(n.path, p.path) THEN t.path || p.node_id || '/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS path, CAST(CASE WHEN starts_with(n.path, p.path) THEN n.depth + t.depth + 1 - (length(p.path) - length(replace(p.path, '/', '')) - 2) ELSE n.depth END AS INTEGER) AS depth FROM node_current n, pick p, target t WHERE n.tenant_id = p.tenant_id",
+    f"WITH {_PICK}, target AS (SELECT n.* FROM node_current n, pick p WHERE n.tenant_id = p.tenant_id AND n.parent_id IS NULL ORDER BY n.space_id = p.space_id, n.node_id LIMIT 1) SELECT n.node_id, CASE WHEN n.tenant_id = p.tenant_id AND n.path = p.path THEN t.node_id ELSE n.parent_id END AS parent_id, CASE WHEN n.tenant_id = p.tenant_id AND starts_with(n.path, p.path) THEN t.path || p.node_id || '/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS path, CAST(CASE WHEN n.tenant_id = p.tenant_id AND starts_with(n.path, p.path) THEN n.depth + t.depth + 1 - (length(p.path) - length(replace(p.path, '/', '')) - 2) ELSE n.depth END AS INTEGER) AS depth FROM node_current n, pick p, target t WHERE true",
     "node_current",
 )
 def h11_move(s, d):
     at, n = _pick(s, d), domain.node_current(s, d)
     mine = n.where(F.col("tenant_id") == at["tenant_id"])
     to = mine.where("parent_id is null").orderBy(F.col("space_id") == at["space_id"], "node_id").first()
-    return tree.move_subtree(mine, at["tenant_id"], at["path"], to["path"], to["node_id"], to["depth"]).select("node_id", "parent_id", "path", "depth")
+    return tree.move_subtree(n, at["tenant_id"], at["path"], to["path"], to["node_id"], to["depth"]).select("node_id", "parent_id", "path", "depth")
+
+
+_MOVES = """asked AS (SELECT tenant_id, node_id, CASE (node_id >> 22) % 6 WHEN 0 THEN parent_id WHEN 1 THEN node_id + 1 ELSE (SELECT min(x.node_id) FROM node_current x WHERE x.tenant_id = n.tenant_id AND x.depth = (n.node_id >> 22) % 4 AND x.node_id > n.node_id) END AS to_id FROM node_current n)"""
+
+
+@_q(
+    f"WITH {_PICK}, {_MOVES}, j AS (SELECT a.*, n.path, n.depth, n.parent_id, n.space_id, z.n, z.deepest, t.path AS t_path, t.depth AS t_depth, t.space_id AS t_space, (a.tenant_id, a.node_id) IN (SELECT (tenant_id, node_id) FROM gone) OR (a.tenant_id, a.to_id) IN (SELECT (tenant_id, node_id) FROM gone) AS dead FROM asked a JOIN node_current n ON n.tenant_id = a.tenant_id AND n.node_id = a.node_id LEFT JOIN sizes z ON z.tenant_id = a.tenant_id AND z.anc_id = a.node_id LEFT JOIN node_current t ON t.tenant_id = a.tenant_id AND t.node_id = a.to_id WHERE a.to_id IS NOT NULL) SELECT tenant_id, node_id, to_id, CASE WHEN t_path IS NULL THEN 'NO_TARGET' WHEN parent_id = to_id THEN 'SAME_PARENT' WHEN parent_id IS NULL THEN 'ROOT' WHEN dead THEN 'TRASHED' WHEN starts_with(t_path, path) THEN 'CYCLE' WHEN deepest - depth + t_depth + 1 > 63 THEN 'TOO_DEEP' WHEN n > 5 AND space_id IS DISTINCT FROM t_space THEN 'TOO_LARGE' WHEN n > 5 THEN 'JOB' ELSE 'DONE' END AS verdict, n AS size FROM j",
+    "node_current",
+)
+def h11_move_checks(s, d):
+    """Every node asked to move below its parent, a missing node or a later one of another depth; subtrees above five nodes are large."""
+    n = domain.node_current(s, d)
+    k = F.shiftright("node_id", 22)
+    later = Window.partitionBy("tenant_id", "level").orderBy("node_id")
+    # the next node of each depth: candidates and askers in one order, each asker sees the first candidate behind it
+    both = n.select("tenant_id", F.col("depth").cast("long").alias("level"), "node_id", F.lit(True).alias("target")).unionByName(n.select("tenant_id", (k % 4).alias("level"), "node_id", F.lit(False).alias("target")))
+    after = F.min(F.when(F.col("target"), F.col("node_id"))).over(later.rangeBetween(1, Window.unboundedFollowing))
+    next_of = both.withColumn("next", after).where("not target").select(F.col("tenant_id").alias("x_tenant"), F.col("node_id").alias("x_node"), "next")
+    asked = n.join(next_of, (F.col("tenant_id") == F.col("x_tenant")) & (F.col("node_id") == F.col("x_node")))
+    to = F.when(k % 6 == 0, F.col("parent_id")).when(k % 6 == 1, F.col("node_id") + 1).otherwise(F.col("next"))
+    return tree.check_moves(asked.select("tenant_id", "node_id", to.alias("to_id")).where("to_id is not null"), n, 5)
 
 
 @_q(f"WITH {_PICK} SELECT tenant_id, anc_id, n, deepest FROM sizes", "node_current")
@@ -214,9 +235,9 @@ def h21_id_parts(s, d):
     return n.select("node_id", F.date_format(id_time("node_id"), "yyyy-MM-dd HH:mm:ss").alias("made"), F.shiftright("node_id", 12).bitwiseAND(F.lit(1023).cast("long")).alias("worker"), F.col("node_id").bitwiseAND(F.lit(4095).cast("long")).alias("seq"))
 
 
-@_q("WITH req AS (SELECT tenant_id, CASE WHEN node_id % 10 = 0 THEN lower(node_type) ELSE upper(substring(node_type, 1, 3)) || (node_id >> 22) % 20 END AS key, node_id AS seq FROM node_current WHERE depth <= 1) SELECT tenant_id, key, seq, CASE WHEN NOT regexp_matches(key, '^[A-Z][A-Z0-9]{1,15}$') THEN 'BAD_KEY' WHEN row_number() OVER (PARTITION BY tenant_id, key ORDER BY seq) > 1 THEN 'TAKEN' ELSE 'CREATED' END AS verdict FROM req", "node_current")
+@_q("WITH req AS (SELECT tenant_id, CASE WHEN node_id % 10 = 0 THEN lower(node_type) ELSE upper(substring(node_type, 1, 3)) || (node_id >> 22) % 20 END AS key, node_id AS seq FROM node_current) SELECT tenant_id, key, seq, CASE WHEN NOT regexp_matches(key, '^[A-Z][A-Z0-9]{1,15}$') THEN 'BAD_KEY' WHEN row_number() OVER (PARTITION BY tenant_id, key ORDER BY seq) > 1 THEN 'TAKEN' ELSE 'CREATED' END AS verdict FROM req", "node_current")
 def h22_spaces(s, d):
-    n = domain.node_current(s, d).where("depth <= 1")
+    n = domain.node_current(s, d)
     key = F.when(F.col("node_id") % 10 == 0, F.lower("node_type")).otherwise(F.concat(F.upper(F.substring("node_type", 1, 3)), F.shiftright("node_id", 22) % 20))
     return tree.check_spaces(n.select("tenant_id", key.alias("key"), F.col("node_id").alias("seq")))
 
@@ -228,11 +249,18 @@ def h22_set_restrictions(s, d):
     return tree.set_restrictions(r, want)
 
 
-@_q("SELECT tenant_id, 1756684800000 - epoch_us(min(updated_at)) // 1000 AS lag_ms FROM node_current WHERE version > 1 GROUP BY tenant_id", "node_current")
+@_q("SELECT tenant_id, greatest(0, coalesce(1756684800000 - epoch_us(min(updated_at) FILTER (version > 1 AND status = 'ACTIVE')) // 1000, 0)) AS lag_ms FROM node_current GROUP BY tenant_id", "node_current")
 def h23_outbox_lag(s, d):
-    n = domain.node_current(s, d).where("version > 1")
-    ms = F.lit(1_756_684_800_000) - F.unix_millis(F.min("updated_at").cast("timestamp"))
-    return n.groupBy("tenant_id").agg(ms.alias("lag_ms"))
+    """Changed active nodes stand for rows not yet relayed."""
+    rows = domain.node_current(s, d).select("tenant_id", F.col("updated_at").alias("at"), ((F.col("version") <= 1) | (F.col("status") != "ACTIVE")).alias("relayed"))
+    return tree.outbox_lag_ms(rows, F.expr("timestamp_ntz'2025-09-01'")).select("tenant_id", "lag_ms")
+
+
+@_q("SELECT event_id, ts FROM events WHERE event_type = 'click' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAYS")
+def h23_prune_idempotency(s, d):
+    """Clicks stand for the recorded requests."""
+    e = table(s, d, "events").where("event_type = 'click'").select("event_id", "ts")
+    return trending.prune_older(e, "ts", table(s, d, "events").agg(F.max("ts")).scalar(), "5 days")
 
 
 @_q(f"WITH {_PICK} SELECT n.tenant_id, n.node_id FROM node_current n, pick p WHERE n.tenant_id = p.tenant_id AND starts_with(n.path, p.path)", "node_current")

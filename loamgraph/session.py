@@ -130,6 +130,9 @@ class Scratch:
                 out[-1]._loam_path = part  # noqa: SLF001
         return out[0], out[1]
 
+    def log(self, first: DataFrame) -> Log:
+        return Log(self, first)
+
     def _exists(self, path: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)  # noqa: SLF001
@@ -152,6 +155,35 @@ class Scratch:
             pass
 
 
+class Log:
+    """A written table that grows by a folder a round and is read as one scan of them all."""
+
+    def __init__(self, scratch: Scratch, first: DataFrame):
+        self.scratch, self.schema, self.paths = scratch, first.schema, []
+        self.append(first)
+
+    @property
+    def rounds(self) -> int:
+        return len(self.paths)
+
+    @property
+    def last(self) -> DataFrame:
+        return self.scratch.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    @property
+    def all(self) -> DataFrame:
+        return self.scratch.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def append(self, rows: DataFrame) -> bool:
+        """Writes one more round; False, and nothing kept, where it has no rows."""
+        kept = self.scratch.keep(rows)
+        if self.paths and kept.isEmpty():
+            self.scratch.drop(kept)
+            return False
+        self.paths.append(kept._loam_path)  # noqa: SLF001
+        return True
+
+
 atexit.register(release)
 
 

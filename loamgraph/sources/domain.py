@@ -37,8 +37,16 @@ def heap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_id >= 2").select(F.shiftright("event_id", 1).alias("src"), F.col("event_id").alias("dst"))
 
 
+def fan(spark: SparkSession, d: str) -> DataFrame:
+    """Every event k leads to 2k, 2k + 1 and 3k: acyclic, with up to two predecessors at different levels."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("dst"))
+    two = e.where("dst >= 2").select(F.shiftright("dst", 1).alias("src"), "dst")
+    three = e.where("dst >= 3 and dst % 3 = 0").select(F.floor(F.col("dst") / 3).cast("long").alias("src"), "dst")
+    return two.unionByName(three).distinct()
+
+
 def heap_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    back = table(spark, d, "events").where("event_id >= 400 and event_id % 97 = 0 and event_id < 1500").select(F.col("event_id").alias("src"), F.shiftright("event_id", 2).alias("dst"))
+    back = table(spark, d, "events").where("event_id >= 400 and event_id % 97 = 0").select(F.col("event_id").alias("src"), F.shiftright("event_id", 2).alias("dst"))
     return heap(spark, d).unionByName(back)
 
 
