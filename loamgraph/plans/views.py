@@ -5,8 +5,8 @@ VIEWS = {
     "nations": "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS ord FROM nation",
     "heap_nodes": "SELECT event_id AS id, event_id AS ord FROM events WHERE event_id >= 1",
     "heap": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2",
-    "fan": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2 UNION SELECT event_id // 3, event_id FROM events WHERE event_id >= 3 AND event_id % 3 = 0",
-    "heap_cyclic": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2 UNION ALL SELECT event_id, event_id >> 2 FROM events WHERE event_id >= 400 AND event_id % 97 = 0",
+    "fan": "SELECT DISTINCT src, dst FROM (SELECT event_id AS dst, unnest(CASE event_id % 3 WHEN 0 THEN [event_id // 3, event_id // 4] WHEN 1 THEN [event_id // 2] ELSE [event_id // 2, event_id // 5] END) AS src FROM events WHERE event_id >= 2) WHERE src >= 1",
+    "heap_cyclic": "SELECT event_id >> 1 AS src, event_id AS dst FROM events WHERE event_id >= 2 UNION ALL SELECT event_id, event_id >> 2 FROM events WHERE event_id >= 400 AND event_id % 97 = 0 AND substring(bin(event_id), 2, 1) = '0'",
     "bipartite": "SELECT DISTINCT l_orderkey AS src, -l_partkey - 1 AS dst FROM lineitem",
     "tag_current": "SELECT * FROM tags QUALIFY row_number() OVER (PARTITION BY tenant_id, tag_id ORDER BY version DESC, updated_at DESC, deleted DESC, name DESC, color DESC NULLS LAST) = 1",
     "node_current": "SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY tenant_id, node_id ORDER BY version DESC, updated_at DESC) = 1",

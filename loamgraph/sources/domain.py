@@ -38,15 +38,16 @@ def heap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fan(spark: SparkSession, d: str) -> DataFrame:
-    """Every event k leads to 2k, 2k + 1 and 3k: acyclic, with up to two predecessors at different levels."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("dst"))
-    two = e.where("dst >= 2").select(F.shiftright("dst", 1).alias("src"), "dst")
-    three = e.where("dst >= 3 and dst % 3 = 0").select(F.floor(F.col("dst") / 3).cast("long").alias("src"), "dst")
-    return two.unionByName(three).distinct()
+    """Every event k hangs below k // 2, or below k // 3 and k // 4, or below k // 2 and k // 5, by its rest of 3: acyclic, with uneven ways to a vertex."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("dst")).where("dst >= 2")
+    by = lambda n: F.floor(F.col("dst") / n).cast("long")
+    above = F.when(F.col("dst") % 3 == 0, F.array(by(3), by(4))).when(F.col("dst") % 3 == 1, F.array(by(2))).otherwise(F.array(by(2), by(5)))
+    return e.select(F.explode(above).alias("src"), "dst").where("src >= 1").distinct()
 
 
 def heap_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    back = table(spark, d, "events").where("event_id >= 400 and event_id % 97 = 0").select(F.col("event_id").alias("src"), F.shiftright("event_id", 2).alias("dst"))
+    """The heap with links back up in the half below 2, at every 97th event."""
+    back = table(spark, d, "events").where("event_id >= 400 and event_id % 97 = 0 and substring(bin(event_id), 2, 1) = '0'").select(F.col("event_id").alias("src"), F.shiftright("event_id", 2).alias("dst"))
     return heap(spark, d).unionByName(back)
 
 
