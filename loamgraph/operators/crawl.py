@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.urls import LEARN_VALUES, MAX_VARIANTS, registrable_domain_sql, without_param_sql
-from loamgraph.operators.skew import first_in_order, with_places
+from loamgraph.operators.skew import first_in_order, sized_join, with_places
 from loamgraph.session import Scratch
 
 RETRIES, MAX_HOPS = 3, 10
@@ -204,6 +204,32 @@ def frontier_order(tasks: DataFrame, delay_ms: int) -> DataFrame:
     return with_places(tasks, ["host"], ["depth", "seq"], Scratch(tasks.sparkSession, "frontier"), "turn").withColumn("not_before_ms", (F.col("turn") * delay_ms).cast("long"))
 
 
+def replayed(tasks: DataFrame, commits: DataFrame, owners: DataFrame, draining: DataFrame) -> DataFrame:
+    """Tasks ``(part, off)`` that are delivered again after a change of members, at least once: not committed, in a part that moved, and not being finished by its old owner.
+
+    ``owners(part, before, after)``; a live old owner finishes what it is ``draining``.
+    """
+    key = ["part", "off"]
+    left = tasks.join(commits.select(*key), key, "left_anti").join(draining.select(*key), key, "left_anti")
+    moved = owners.where(~F.col("before").eqNullSafe(F.col("after")) & F.col("after").isNotNull())
+    return sized_join(left, moved, ["part"], Scratch(tasks.sparkSession, "replay")).select(*key, "before", "after")
+
+
+def job_outcomes(log: DataFrame, chain: tuple[str, ...] = ("QUEUED", "RUNNING"), terminal: tuple[str, ...] = ("COMPLETED", "FAILED", "CANCELLED")) -> DataFrame:
+    """``(job, status, ended)`` after transitions ``(job, seq, from_status, to_status)``, each applied only in the status it names.
+
+    A status is left once, by the first transition from it after it was entered;
+    so each job ends at most once, with one terminal event (``ended`` its number).
+    """
+    out = log.select("job").distinct().withColumns({"status": F.lit(chain[0]), "since": F.lit(None).cast("long"), "ended": F.lit(None).cast("long")})
+    for step in chain:
+        asked = log.where(F.col("from_status") == step).join(out.where(F.col("status") == step).select("job", "since"), "job").where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
+        left = asked.groupBy("job").agg(F.min(F.struct("seq", "to_status")).alias("t"))
+        out = out.join(left, "job", "left")
+        out = out.select("job", F.coalesce("t.to_status", "status").alias("status"), F.coalesce("t.seq", "since").alias("since"), F.coalesce(F.when(F.col("t.to_status").isin(*terminal), F.col("t.seq")), F.col("ended")).alias("ended"))
+    return out.select("job", "status", "ended")
+
+
 def host_schedule(contacts: DataFrame) -> DataFrame:
     return contacts.groupBy("host").agg(F.max("not_before_ms").alias("not_before_ms"))
 

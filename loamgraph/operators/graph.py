@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.skew import counted_join, meet, sized_join, with_places
@@ -346,6 +346,17 @@ def run_report(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def fenced_arrivals(arrivals: DataFrame, claims: DataFrame) -> DataFrame:
+    """Arrivals ``(shard, round, attempt, seq)`` that count: made under the newest claim ``(shard, attempt, seq)`` so far, the first of each round.
+
+    A worker whose shard was taken over meanwhile is fenced off: its arrival carries an older attempt.
+    """
+    both = claims.select("shard", F.lit(None).cast("long").alias("round"), "attempt", "seq", F.col("attempt").alias("claimed")).unionByName(arrivals.select("shard", "round", "attempt", "seq", F.lit(None).cast(dict(claims.dtypes)["attempt"]).alias("claimed")))
+    newest = F.max("claimed").over(Window.partitionBy("shard").orderBy("seq", F.desc_nulls_last("claimed")).rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("newest", newest).where((F.col("round").isNotNull()) & (F.col("attempt") == F.col("newest")))
+    return held.groupBy("shard", "round").agg(F.min(F.struct("seq", "attempt")).alias("f")).select("shard", "round", "f.attempt", "f.seq")
+
+
 def first_outcome(log: DataFrame) -> DataFrame:
     """Completion log: the first write of each id stands (``seq`` orders writes)."""
     return log.groupBy("id").agg(F.min_by(F.struct("status", "round", "error"), "seq").alias("o")).select("id", "o.status", "o.round", "o.error")

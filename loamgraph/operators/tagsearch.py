@@ -272,6 +272,20 @@ def apply_tag_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
     return out.select("tenant_id", "tag_id", outcome.alias("outcome"), F.when(ok, F.col("now") + 1).alias("version"), name.alias("name_norm"))
 
 
+def read_at(log: DataFrame, marks: DataFrame, level: str = "SESSION") -> DataFrame:
+    """``(tenant, tag, type, seq, by)``: the newest event of each tag that a read sees.
+
+    ``marks(tenant, applied, barrier)``: an index that has applied events up to
+    ``applied`` answers, with these, if the read asks for no more (EVENTUAL) or the
+    index has reached the caller's ``barrier``; else, or where it has no mark, the
+    store answers with all events.
+    """
+    seen = sized_join(log, marks.select("tenant", "applied", "barrier"), ["tenant"], Scratch(log.sparkSession, "read"), "left")
+    indexed = F.coalesce(F.col("applied") >= 0, F.lit(False)) & (F.lit(level == "EVENTUAL") | F.coalesce(F.col("applied") >= F.coalesce("barrier", F.lit(0)), F.lit(False)))
+    seen = seen.withColumn("by", F.when(indexed, "index").otherwise("store")).where((F.col("by") == "store") | (F.col("seq") <= F.col("applied")))
+    return seen.groupBy("tenant", "tag").agg(F.max(F.struct("seq", "type", "by")).alias("m")).select("tenant", "tag", "m.type", "m.seq", "m.by")
+
+
 def purge(assignments: DataFrame, tags: DataFrame) -> DataFrame:
     """Assignments left once those of deleted tags are gone."""
     dead = tags.where("coalesce(deleted, false)").select("tenant_id", "tag_id").distinct()

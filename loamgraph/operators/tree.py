@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.paths import child_path, path_ids, root_path, under
-from loamgraph.operators.skew import meet, sized_join, with_places
+from loamgraph.operators.skew import first_in_order, meet, sized_join, with_places
 from loamgraph.session import Scratch
 
 KEY = ["tenant_id", "node_id"]
@@ -138,6 +138,19 @@ def move_subtree(nodes: DataFrame, tenant: str, old_path: str, new_parent_path:
     )
 
 
+def rewrite_batch(nodes: DataFrame, tenant: str, old_prefix: str, new_prefix: str, depth_delta: int, batch: int) -> DataFrame:
+    """One batch of a background move: the first ``batch`` rows by id still below the old prefix get their new path and depth.
+
+    Between batches ``effective`` reads the same tree; a move is done when nothing is left below the old prefix.
+    """
+    below = nodes.where((F.col("tenant_id") == tenant) & F.col("path").startswith(old_prefix))
+    now = first_in_order(below.select("node_id"), ["node_id"], batch, Scratch(nodes.sparkSession, "batch")).select(F.col("node_id").alias("b_node"))
+    mine = (F.col("tenant_id") == tenant) & F.col("b_node").isNotNull()
+    met = nodes.join(now, (F.col("node_id") == F.col("b_node")) & (F.col("tenant_id") == tenant), "left")
+    path = F.concat(F.lit(new_prefix), F.expr(f"substring(path, {len(old_prefix) + 1})"))
+    return met.withColumns({"path": F.when(mine, path).otherwise(F.col("path")), "depth": F.when(mine, F.col("depth") + depth_delta).otherwise(F.col("depth")).cast("int")}).drop("b_node")
+
+
 def check_moves(requests: DataFrame, nodes: DataFrame, limit: int = MOVE_LIMIT) -> DataFrame:
     """Verdict on moves ``(tenant_id, node_id, to_id)`` from probes of the subtree: its size and deepest node.
 

@@ -348,6 +348,29 @@ def c29_frontier_order(s, d):
     return cr.frontier_order(t, 1000).select("page_id", "not_before_ms")
 
 
+@_q(
+    f"WITH parts AS (SELECT DISTINCT 'p' || event_id % 64 AS part FROM events), o AS (SELECT part, {rendezvous_sql('part', ['n1', 'n2', 'n3', 'n4'])} AS before, {rendezvous_sql('part', ['n1', 'n2', 'n4', 'n5'])} AS after FROM parts t) SELECT o.part, event_id AS off, before, after FROM events e JOIN o ON o.part = 'p' || event_id % 64 WHERE before <> after AND event_id % 5 = 0 AND NOT (before <> 'n3' AND event_id % 35 = 0)"
+)
+def c30_replay(s, d):
+    """Node n3 leaves and n5 joins: uncommitted tasks of the parts that moved come again, but for what live owners are finishing."""
+    e = table(s, d, "events").select(F.concat(F.lit("p"), F.col("event_id") % 64).alias("part"), F.col("event_id").alias("off"))
+    parts = e.select("part").distinct()
+    owners = parts.select("part", tagsearch.rendezvous(F.col("part"), ["n1", "n2", "n3", "n4"]).alias("before"), tagsearch.rendezvous(F.col("part"), ["n1", "n2", "n4", "n5"]).alias("after"))
+    draining = e.where("off % 35 = 0").join(owners.where("before <> 'n3'").select("part"), "part", "left_semi")
+    return cr.replayed(e, e.where("off % 5 <> 0"), owners, draining)
+
+
+@_q(
+    "WITH log AS (SELECT 'j' || event_id % 700 AS job, event_id AS seq, CASE event_type WHEN 'click' THEN 'QUEUED' ELSE 'RUNNING' END AS f, CASE WHEN event_type = 'click' AND event_id % 3 > 0 THEN 'RUNNING' WHEN event_type = 'click' THEN 'CANCELLED' WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS t FROM events), q AS (SELECT job, min(seq) AS s1, arg_min(t, seq) AS t1 FROM log WHERE f = 'QUEUED' GROUP BY job), r AS (SELECT l.job, min(l.seq) AS s2, arg_min(l.t, l.seq) AS t2 FROM log l JOIN q ON q.job = l.job WHERE l.f = 'RUNNING' AND q.t1 = 'RUNNING' AND l.seq > q.s1 GROUP BY l.job) SELECT j.job, coalesce(t2, t1, 'QUEUED') AS status, CASE WHEN t2 IS NOT NULL THEN s2 WHEN t1 = 'CANCELLED' THEN s1 END AS ended FROM (SELECT DISTINCT job FROM log) j LEFT JOIN q ON q.job = j.job LEFT JOIN r ON r.job = j.job"
+)
+def c47_job_outcomes(s, d):
+    e = table(s, d, "events")
+    click = F.col("event_type") == "click"
+    to = F.when(click & (F.col("event_id") % 3 > 0), "RUNNING").when(click, "CANCELLED").when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETED")
+    log = e.select(F.concat(F.lit("j"), F.col("event_id") % 700).alias("job"), F.col("event_id").alias("seq"), F.when(click, "QUEUED").otherwise("RUNNING").alias("from_status"), to.alias("to_status"))
+    return cr.job_outcomes(log)
+
+
 @_q("SELECT 'j' || user_id % 7 AS job, count(*) FILTER (event_id % 4 = 0) AS pending, count(*) FILTER (event_id % 4 <> 0) AS closed FROM events GROUP BY 1")
 def c31_task_close(s, d):
     t = table(s, d, "events").select(F.concat(F.lit("j"), F.col("user_id") % 7).alias("job"), F.col("event_id").alias("hash"), F.lit(1).alias("depth"), F.lit(0).alias("attempt"))

@@ -298,6 +298,19 @@ def x19_report(s, d):
     return gr.run_report(arrivals)
 
 
+@_q(
+    "WITH c AS (SELECT user_id % 6 AS shard, row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id) AS attempt, event_id AS seq FROM events WHERE event_id % 53 = 0), a AS (SELECT e.user_id % 6 AS shard, e.event_id // 100 AS round, (SELECT count(*) FROM c WHERE c.shard = e.user_id % 6 AND c.seq <= e.event_id) - CASE WHEN e.event_id % 4 = 0 THEN 1 ELSE 0 END AS attempt, (SELECT max(attempt) FROM c WHERE c.shard = e.user_id % 6 AND c.seq <= e.event_id) AS newest, e.event_id AS seq FROM events e WHERE e.event_id % 53 <> 0) SELECT shard, round, arg_min(attempt, seq) AS attempt, min(seq) AS seq FROM a WHERE attempt = newest GROUP BY shard, round"
+)
+def x20_fenced_arrivals(s, d):
+    """Every 53rd event claims its shard anew; every fourth arrival still carries the attempt before."""
+    e = table(s, d, "events").select((F.col("user_id") % 6).alias("shard"), F.col("event_id").alias("seq"))
+    by_seq = Window.partitionBy("shard").orderBy("seq")
+    claims = e.where("seq % 53 = 0").withColumn("attempt", F.row_number().over(by_seq).cast("long"))
+    numbered = e.withColumn("held", F.count_if(F.col("seq") % 53 == 0).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)))
+    arrivals = numbered.where("seq % 53 <> 0").select("shard", F.floor(F.col("seq") / 100).cast("long").alias("round"), (F.col("held") - (F.col("seq") % 4 == 0).cast("int")).cast("long").alias("attempt"), "seq")
+    return gr.fenced_arrivals(arrivals, claims)
+
+
 @_q("SELECT id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM trade WHERE src = id), '') AS successors FROM nations", "trade nations")
 def x21_adjacency(s, d):
     lists = gr.adjacency(domain.nations(s, d), domain.trade(s, d))

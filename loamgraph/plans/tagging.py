@@ -345,6 +345,19 @@ def t42_never_used(s, d):
     return ts.live(domain.tag_current(s, d)).select("tenant_id", "tag_id").join(used, ["tenant_id", "tag_id"], "left_anti")
 
 
+@_q(
+    "WITH marks AS (SELECT tenant, CASE tenant WHEN 't0' THEN max(seq) // 2 WHEN 't1' THEN max(seq) // 3 END AS applied, CASE tenant WHEN 't0' THEN max(seq) // 3 ELSE max(seq) // 2 END AS barrier FROM tag_log GROUP BY tenant), seen AS (SELECT l.*, CASE WHEN applied >= barrier THEN 'index' ELSE 'store' END AS by_, applied FROM tag_log l JOIN marks m ON m.tenant = l.tenant) SELECT tenant, tag, arg_max(type, seq) AS type, max(seq) AS seq, max(by_) AS by FROM seen WHERE by_ = 'store' OR seq <= applied GROUP BY tenant, tag",
+    "tag_log",
+)
+def t40_read_barrier(s, d):
+    """One tenant's index has passed the caller's barrier, one's is behind it, one has no index."""
+    log = domain.tag_log(s, d)
+    top = F.max("seq")
+    part = lambda n: F.floor(top / n).cast("long")
+    marks = log.groupBy("tenant").agg(F.when(F.col("tenant") == "t0", part(2)).when(F.col("tenant") == "t1", part(3)).alias("applied"), F.when(F.col("tenant") == "t0", part(3)).otherwise(part(2)).alias("barrier"))
+    return ts.read_at(log.select("tenant", "tag", "type", "seq"), marks)
+
+
 _SHARDS = [f"shard-{i:04d}" for i in range(8)]
 
 

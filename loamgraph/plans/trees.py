@@ -173,6 +173,20 @@ def h11_subtree_sizes(s, d):
     return tree.subtree_sizes(domain.node_current(s, d))
 
 
+@_q(
+    f"WITH {_PICK}, k AS (SELECT n.tenant_id, n.node_id, row_number() OVER (ORDER BY n.node_id) <= 6 AS now FROM node_current n, pick p WHERE n.tenant_id = p.tenant_id AND starts_with(n.path, p.path)) SELECT n.tenant_id, n.node_id, CASE WHEN k.now THEN '/1/2/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS path, CASE WHEN k.node_id IS NOT NULL THEN '/1/2/' || substring(n.path, length(p.path) + 1) ELSE n.path END AS read_path, CAST(CASE WHEN k.now THEN n.depth + 2 ELSE n.depth END AS INTEGER) AS depth FROM node_current n JOIN pick p ON true LEFT JOIN k ON k.tenant_id = n.tenant_id AND k.node_id = n.node_id",
+    "node_current",
+)
+def h13_move_batches(s, d):
+    """After two batches of three rows: what is stored, and what a read through the running move sees."""
+    at, n = _pick(s, d), domain.node_current(s, d)
+    for _ in range(2):
+        n = tree.rewrite_batch(n, at["tenant_id"], at["path"], "/1/2/", 2, 3)
+    seen = tree.effective(n, at["tenant_id"], at["path"], "/1/2/", 2).select(F.col("tenant_id").alias("e_tenant"), F.col("node_id").alias("e_node"), F.col("path").alias("read_path"))
+    both = n.join(seen, F.col("tenant_id").eqNullSafe(F.col("e_tenant")) & (F.col("node_id") == F.col("e_node")))
+    return both.select("tenant_id", "node_id", "path", "read_path", "depth")
+
+
 @_q(f"WITH {_PICK}, {_RULES}, closed AS (SELECT tenant_id, node_id FROM rules WHERE op = 'VIEW' GROUP BY ALL HAVING NOT bool_or(principal IN ('group:g1', 'group:g9'))), bad AS (SELECT DISTINCT i.tenant_id, i.node_id FROM (SELECT tenant_id, node_id, unnest(ids) AS anc_id FROM ids) i JOIN closed c ON c.tenant_id = i.tenant_id AND c.node_id = i.anc_id) SELECT tenant_id, node_id FROM node_current WHERE (tenant_id, node_id) NOT IN (SELECT (tenant_id, node_id) FROM bad)", "node_current")
 def h12_visible(s, d):
     return tree.visible(domain.node_current(s, d), _restrictions(s, d), ["group:g1", "group:g9"]).select("tenant_id", "node_id")
