@@ -64,6 +64,42 @@ def test_bloom():
     assert b.has([f"z{i}" for i in range(100_000)]).sum() < 2_000
 
 
+def test_bloom_in_parts(spark):
+    from loamgraph.session import Scratch
+
+    held = spark.range(20_000).selectExpr("concat('k', id) as key")
+    held = held.unionByName(held.where("key < 'k2'")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    stored = Scratch(spark, "bloom").keep(urls.bloom_filter(held, 0.01, 3_000))
+    assert stored.count() == 7 and stored.agg({"n": "sum"}).first()[0] == 20_000
+    asked = held.unionByName(spark.range(20_000).selectExpr("concat('z', id) as key"))
+    told = urls.bloom_known(asked, stored, 0.01).toPandas()
+    assert len(told) == 40_000 and told[told["key"].str[0] == "k"]["known"].all()
+    assert told[told["key"].str[0] == "z"]["known"].mean() < 0.02
+    none = Scratch(spark, "bloom").keep(urls.bloom_filter(held.where("false"), 0.01))
+    assert none.count() == 0 and not urls.bloom_known(asked.limit(5), none, 0.01).toPandas()["known"].any()
+
+
+def test_literal_ranks():
+    pairs = {(None, None): "i", ("i", None): "i00001", ("i00009", None): "i0000a", ("i0000z", None): "i00011", (None, "i"): "hzzzzz", (None, "i00011"): "i0000z", ("zzzzzz", None): "zzzzzzi", (None, "000001"): "000000i", ("a", "b"): "ai", ("a", "a1"): "a0i", ("az", "b"): "azi"}
+    assert {k: lexorank.between(*k) for k in pairs} == pairs
+
+
+def test_placement_weights():
+    """Against the hash computed byte by byte with whole numbers."""
+    from loamgraph.operators.tagsearch import placement_weights
+
+    def one(text):
+        h = 14695981039346656037
+        for b in text.encode():
+            h = (h ^ b) * 1099511628211 % 2**64
+        h = (h ^ h >> 33) * 18397679294719823053 % 2**64
+        h ^= h >> 33
+        return h - 2**64 if h >= 2**63 else h
+
+    keys = ["", "a", "tenant-0042", "ä" * 40]
+    assert placement_weights(keys, "shard-1").tolist() == [one(f"{k}\0shard-1") for k in keys]
+
+
 def test_html_links():
     page = html.parse_page(
         """<html><head><title> A  b </title><base href="/x/"><link rel="canonical" href="/c"><link rel=stylesheet href=s.css><link rel="preload" as="font" href="f"><link rel=icon href=i.ico><link rel=next href=n>

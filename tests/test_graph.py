@@ -115,7 +115,7 @@ def test_placement(spark):
 
 
 def placed_plainly(groups, near, parts):
-    """GroupPlacement of the reference, one vertex after the other."""
+    """Split groups first, then whole ones, one vertex after the other."""
     limit, load, home = -(-sum(map(len, groups)) // parts), [0] * parts, {}
     for g in (g for g in groups if len(g) > limit):
         order = [g[0]]
@@ -156,6 +156,51 @@ def test_placement_query_places_every_vertex(spark, data_dir):
     assert got.groupby("part").size().max() <= -(-len(got) * 11 // 40)
 
 
+def longest(n, edges):
+    """Brute force: longest way to each vertex, None on or below a cycle."""
+    out, left = {}, set(range(n))
+    while True:
+        ripe = {x for x in left if all(a in out for a, b in edges if b == x)}
+        if not ripe:
+            return {x: out.get(x) for x in range(n)}
+        out |= {x: max((out[a] + 1 for a, b in edges if b == x), default=0) for x in ripe}
+        left -= ripe
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_waves_with_several_predecessors(spark, seed):
+    """In-degrees up to five, uneven ways, repeated edges, a few cycles."""
+    r = random.Random(seed)
+    edges = [(r.randrange(max(0, x - 12), x), x) for x in range(1, 60) for _ in range(r.randint(0, 5))]
+    edges += [(x, r.randrange(x)) for x in r.sample(range(40, 60), 2)] + [(59, 59)]
+    v, e = frames(spark, range(60), edges + edges[:9])
+    assert {x.id: x.round for x in gr.waves(v, e).collect()} == longest(60, set(edges))
+
+
+def test_star_and_chain_components(spark):
+    """One vertex with all links, and one long chain: one label each."""
+    v, e = frames(spark, range(700), [(0, x) for x in range(1, 400)] + [(x, x + 1) for x in range(400, 699)])
+    assert {(x.id, x.label) for x in gr.components(v, e)[0].collect()} == {(i, 0 if i < 400 else 400) for i in range(700)}
+
+
+@pytest.mark.parametrize("key", ["", "a", "host-7919.click", "zzzzzzzzzz"])
+def test_java_hash(spark, key):
+    want = 0
+    for c in key:
+        want = (want * 31 + ord(c) + 2**31) % 2**32 - 2**31
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(key, -5, 2**40 + 3)], "k string, a long, b long").select(gr.java_hash(F.col("k"), "string").alias("k"), gr.java_hash(F.col("a"), "bigint").alias("a"), gr.java_hash(F.col("b"), "bigint").alias("b")).first()
+    assert tuple(row) == (want, 4, 2**8 ^ 3)
+
+
+def test_fenced_arrivals(spark):
+    claims = spark.createDataFrame([(1, 1, 0), (1, 2, 10)], "shard long, attempt long, seq long")
+    rows = [(1, 5, 1, 3), (1, 5, 1, 4), (1, 6, 1, 12), (1, 6, 2, 13), (2, 5, 1, 1)]
+    got = gr.fenced_arrivals(spark.createDataFrame(rows, "shard long, round long, attempt long, seq long"), claims)
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 1, 3), (1, 6, 2, 13)]
+
+
 def test_empty(spark):
     v, e = frames(spark, [], [])
     assert gr.components(v, e)[0].count() == 0 and gr.waves(v, e).count() == 0

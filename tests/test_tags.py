@@ -104,3 +104,71 @@ def test_hot_keys_join(spark):
     big = spark.range(250_000).selectExpr("hash(id) as h", "id")
     cut = first_in_order(big, ["h", "id"], 120_000, Scratch(spark, "t"))
     assert cut.count() == 120_000 and cut.agg({"h": "max"}).first()[0] <= big.join(cut, "id", "left_anti").agg({"h": "min"}).first()[0]
+
+
+def test_joins_and_places_of_hot_keys(spark):
+    """Hot keys apart or not, null keys, ties broken by a second column: the same rows and places."""
+    from pyspark.sql import functions as F
+
+    from loamgraph.operators.skew import counted_join, is_small, with_places
+    from loamgraph.session import Scratch
+
+    scratch = Scratch(spark, "places")
+    big = scratch.keep(spark.range(0, 3000, 1, 7).selectExpr("if(id % 5 = 0, null, if(id % 3 > 0, 0, id % 11)) as k", "hash(id) % 50 as o", "id", "1 as n"))
+    counts = scratch.keep(big.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("top")))
+    most = counts.agg(F.max("c")).first()[0]
+    plain = sorted(map(str, counted_join(big, counts, ["k"], "c", most, 10**9).collect()))
+    assert len(plain) == 3000 and plain == sorted(map(str, counted_join(big, counts, ["k"], "c", most, 100).collect()))
+    want = {}
+    for r in sorted(big.collect(), key=lambda r: (r.o, r.id)):
+        want[r.id] = sum(1 for x in want.values() if x[0] == r.k), r.k
+        want[r.id] = (r.k, want[r.id][0])
+    got = with_places(big, ["k"], ["o", "id"], scratch)
+    assert got.columns == [*big.columns, "place"] and {r.id: (r.k, r.place) for r in got.collect()} == want
+    assert with_places(big.where("false"), ["k"], ["o", "id"], scratch).count() == 0
+    wide = scratch.keep(spark.range(10).selectExpr("id", "repeat('x', 1000) as s", "array(id, id) as a"))
+    assert is_small(wide, 20_000) and not is_small(wide, 9_000) and is_small(wide.where("false"), 0)
+
+
+def test_scratch_is_dropped_and_never_local_on_a_cluster(spark):
+    import os
+
+    from loamgraph.session import Scratch, scratch_root, scratch_scope
+
+    with scratch_scope():
+        held = Scratch(spark, "scope")
+        held.keep(spark.range(3))
+        log = held.log(spark.range(1))
+        assert log.append(spark.range(2)) and not log.append(spark.range(0)) and log.rounds == 2 and log.all.count() == 3
+        where = held.base.removeprefix("file://")
+        assert os.path.isdir(where)
+    assert not os.path.isdir(where)
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Elsewhere.conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Elsewhere)
+
+
+def test_read_barrier_and_outbox(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from loamgraph.operators import tagsearch as ts
+    from loamgraph.operators import trending as tr
+
+    log = spark.createDataFrame([("a", "x", "ON", 1), ("a", "x", "OFF", 5), ("a", "y", "ON", 6), ("b", "x", "ON", 1), ("c", "x", "ON", 2)], "tenant string, tag string, type string, seq long")
+    marks = spark.createDataFrame([("a", 4, 3), ("b", -1, None), ("c", 1, 2)], "tenant string, applied long, barrier long")
+    assert sorted(tuple(r) for r in ts.read_at(log, marks).collect()) == [("a", "x", "ON", 1, "index"), ("b", "x", "ON", 1, "store"), ("c", "x", "ON", 2, "store")]
+    assert sorted(tuple(r) for r in ts.read_at(log, marks, "EVENTUAL").collect()) == [("a", "x", "ON", 1, "index"), ("b", "x", "ON", 1, "store")]
+    t = [datetime(2024, 1, d) for d in (1, 2, 9)]
+    box = spark.createDataFrame([("a", 1, t[0], True), ("a", 2, t[1], False), ("a", 3, t[2], True), ("b", 4, None, None)], "tenant string, seq long, at timestamp_ntz, relayed boolean")
+    assert {r.tenant: (r.latest_seq, r.relayed_seq, r.oldest_unrelayed) for r in tr.outbox_lag(box, ["tenant"]).collect()} == {"a": (3, 3, t[1]), "b": (4, None, None)}
+    assert sorted(r.seq for r in tr.prune_relayed(box, F.lit(t[2]).cast("timestamp_ntz"), "3 days").collect()) == [2, 3, 4]
