@@ -44,7 +44,7 @@ def write_kafka(stream: DataFrame, servers: str, topic: str, checkpoint: str):
 
 
 def blobs(spark: SparkSession, folder: str) -> DataFrame:
-    """Files as ``(path, modificationTime, length, content)``."""
+    """Files as ``(path, modificationTime, length, content)``; files without a byte are left out, as the reader does."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 

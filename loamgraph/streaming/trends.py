@@ -9,9 +9,8 @@ Sources and sinks are folders; ``sources.streams`` gives others.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +51,22 @@ def bucket_counts(stream: DataFrame, folder: str) -> DataFrame:
 def above_marks(stream: DataFrame, folder: str) -> DataFrame:
     """Ordered logs: events at or below the mark of their (tenant, shard) are skipped.
 
-    Within a batch a shard's events are put in order; the state is one number a shard.
+    The marks after each batch are a table, one row a shard; a batch is joined
+    with those of the batch before, so no shard is gathered, and a batch that is
+    run again overwrites what it wrote.
     """
+    spark = stream.sparkSession
+    marks_schema, out_schema = "tenant string, shard string, last_seq long", "tenant string, shard string, seq long, tag string"
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames))
-        rows = rows[rows["seq"] > mark].drop_duplicates("seq").sort_values("seq")
-        if len(rows):
-            state.update((int(rows["seq"].max()),))
-        yield rows[["tenant", "shard", "seq", "tag"]]
+    def each(df: DataFrame, n: int) -> None:
+        marks = spark.read.schema(marks_schema).parquet(f"{folder}/marks/batch={n - 1}") if n else spark.createDataFrame([], marks_schema)
+        tr.above_mark(df.select("tenant", "shard", "seq", "tag"), marks).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        fresh = spark.read.schema(out_schema).parquet(f"{folder}/out/batch={n}")
+        reached = marks.unionByName(fresh.select("tenant", "shard", F.col("seq").alias("last_seq")))
+        reached.groupBy("tenant", "shard").agg(F.max("last_seq").alias("last_seq")).write.mode("overwrite").parquet(f"{folder}/marks/batch={n}")
 
-    out = stream.select("tenant", "shard", "seq", "tag").groupBy("tenant", "shard").applyInPandasWithState(step, "tenant string, shard string, seq long, tag string", "mark long", "append", "NoTimeout")
-    return keep_batches(out, folder, "append")
+    drain(stream, folder, "append", each)
+    return spark.read.schema(f"{out_schema}, batch int").parquet(f"{folder}/out").drop("batch")
 
 
 def folded(stream: DataFrame, folder: str) -> DataFrame:
