@@ -169,7 +169,7 @@ def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tupl
         least, most = _minima(large, scratch)
         small = counted_join(large, least, ["u"], "n", most).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = scratch.keep(small.where("u <> v").distinct())
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(links)
         links = nxt
         if tuple(state) == before:

@@ -112,12 +112,13 @@ def h08_rank_neighbours(s, d):
 
 @_q()
 def h09_ranks_between(s, d):
-    """A rank for a new sibling before every distinct rank."""
-    rows = tree.rank_neighbours(domain.node_current(s, d).where(F.col("rank").rlike("^[0-9a-z]*[1-9a-z]$")))
+    """A rank for a new sibling before every distinct rank; null beside a text that is no rank."""
+    rows = tree.rank_neighbours(domain.node_current(s, d))
 
     @F.pandas_udf("string")
     def mid(low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([lexorank.between(a, b) for a, b in zip(low, high, strict=True)])
+        fine = lambda r: r is None or lexorank.is_rank(r)
+        return pd.Series([lexorank.between(a, b) if b is not None and fine(a) and fine(b) else None for a, b in zip(low, high, strict=True)], dtype=object)
 
     return rows.select("tenant_id", "parent_id", "below", "rank", mid("below", "rank").alias("fresh"))
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators.orphans import current
+from loamgraph.session import Scratch
 from loamgraph.sources.tables import table
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Nations that supply nations well above the average: ``(src, dst, weight)``."""
+    """Nations that supply nations well above the average: ``(src, dst, weight)``; at most a row a pair of nations, written once."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
@@ -21,7 +22,7 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = joined.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     least = pairs.agg(F.avg("weight")).scalar() * 1.25
-    return pairs.where(F.col("weight") > least).select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight")
+    return Scratch(spark, "trade").keep(pairs.where(F.col("weight") > least).select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight"), 1)
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
