@@ -374,12 +374,10 @@ def dfs_preorder(arcs: DataFrame, roots: DataFrame) -> DataFrame:
     reach = roots.select(F.col("id").alias("root"), F.col("id").alias("src"))
     scratch = Scratch(arcs.sparkSession, "dfs")
     arcs = scratch.keep(arcs.select("src", "dst").distinct())
-    seen = front = scratch.keep(reach)
-    while not front.isEmpty():
-        step = front.join(arcs, "src").select("root", F.col("dst").alias("src")).distinct()
-        front = scratch.keep(step.join(seen, ["root", "src"], "left_anti"))
-        seen = seen.union(front)
-    owned = seen.join(arcs, "src", "left").select("root", "src", "dst")
+    seen = scratch.log(reach)
+    while seen.append(seen.last.join(arcs, "src").select("root", F.col("dst").alias("src")).distinct().join(seen.all, ["root", "src"], "left_anti")):
+        pass
+    owned = seen.all.join(arcs, "src", "left").select("root", "src", "dst")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         root = int(pdf["root"].iloc[0])
