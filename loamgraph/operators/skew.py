@@ -35,16 +35,18 @@ def meet(big: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFra
     return big.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", share: int = 1000) -> DataFrame:
+def hot_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", share: int = 1000, counted: DataFrame | None = None) -> DataFrame:
     """Join of ``big`` with a side that has one row per key, hot keys apart.
 
     Keys with more than 1/``share`` of the rows, of which there are fewer than
     ``share``, meet their rows by a broadcast; all others are shuffled once and no
     task gets more than its part and one such key.  ``big`` is counted by key
-    first, so it should be stored or cheap to read.
+    first, so it should be stored or cheap to read; where it isn't, ``counted`` is
+    a table with the same keys that is.
     """
-    total = big.count()
-    heavy = scratch.keep(big.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys))
+    counted = big if counted is None else counted
+    total = counted.count()
+    heavy = scratch.keep(counted.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys))
     if heavy.isEmpty():
         return meet(big, unique, keys, how)
     few = F.broadcast(heavy)
@@ -63,7 +65,7 @@ def is_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (stored.agg(F.sum(row)).first()[0] or 0) <= limit
 
 
-def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", limit: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
+def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scratch, how: str = "inner", limit: int = BROADCAST_BYTES, small: bool | None = None, counted: DataFrame | None = None) -> DataFrame:
     """The same, but without moving ``big`` where the unique side is small.
 
     The unique side is written and measured; up to ``limit`` bytes it is
@@ -75,7 +77,7 @@ def sized_join(big: DataFrame, unique: DataFrame, keys: list[str], scratch: Scra
         small = is_small(kept, limit)
     if small:
         return meet(big, F.broadcast(kept), keys, how)
-    return hot_join(big, kept, keys, scratch, how)
+    return hot_join(big, kept, keys, scratch, how, counted=counted)
 
 
 def first_in_order(df: DataFrame, order: list[str], n: int, scratch: Scratch) -> DataFrame:
@@ -122,3 +124,20 @@ def with_places(df: DataFrame, keys: list[str], order: list[str], scratch: Scrat
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select(*keys, "_part", (before - F.col("_first")).alias("_off"))
     return meet(placed, offsets, [*keys, "_part"], "inner").withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_part", "_off")
+
+
+def next_above(rows: DataFrame, keys: list[str], value: str, flag: str, scratch: Scratch, name: str = "next") -> DataFrame:
+    """The rows not flagged, each with the least ``value`` above its own among the flagged rows of its key; null where there is none.
+
+    ``value`` must not be null.  Rows are range-partitioned by key and value; a
+    row that finds nothing in its partition takes the first of the key in the
+    partitions behind, so neither sorting nor looking up puts one hot key into a
+    task.  Looking from the highest value down, frames only grow.
+    """
+    placed = scratch.keep(rows.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    hit = F.when(F.col(flag), F.col(value))
+    down = Window.partitionBy("_part", *keys).orderBy(F.desc(value), flag).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = placed.groupBy(*keys, "_part").agg(F.min(hit).alias("_min")).select(*keys, "_part", F.min("_min").over(behind).alias("_later"))
+    found = placed.withColumn("_here", F.min(hit).over(down)).where(~F.col(flag))
+    return meet(found, later, [*keys, "_part"], "inner").withColumn(name, F.coalesce("_here", "_later")).drop(flag, "_part", "_here", "_later")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.paths import child_path, path_ids, root_path, under
-from loamgraph.operators.skew import first_in_order, meet, sized_join, with_places
+from loamgraph.operators.skew import first_in_order, is_small, meet, sized_join, with_places
 from loamgraph.session import Scratch
 
 KEY = ["tenant_id", "node_id"]
@@ -156,17 +156,31 @@ def check_moves(requests: DataFrame, nodes: DataFrame, limit: int = MOVE_LIMIT)
 
     In this order: NO_NODE, NO_TARGET, SAME_PARENT (a mere reordering), ROOT, TRASHED
     (either), CYCLE (the target lies inside), TOO_DEEP, TOO_LARGE (above ``limit``
-    into another space), JOB (above it in the same space) or DONE.
+    into another space), JOB (above it in the same space) or DONE.  ``nodes`` is
+    read several times, so it should be stored.
     """
-    marked = with_trash_flag(nodes).select("tenant_id", "node_id", "parent_id", "space_id", "path", "depth", "in_trash")
-    sizes = subtree_sizes(nodes).select("tenant_id", F.col("anc_id").alias("node_id"), "n", "deepest")
-    target = marked.select("tenant_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"to_{c}") for c in ("space_id", "path", "depth", "in_trash")])
-    out = _sized(_sized(requests.select("tenant_id", "node_id", "to_id"), marked, ["tenant_id", "node_id"], "left"), sizes, ["tenant_id", "node_id"], "left")
-    out = _sized(out, target, ["tenant_id", "to_id"], "left")
+    scratch = Scratch(nodes.sparkSession, "moves")
+    asked = scratch.keep(requests.select("tenant_id", "node_id", "to_id"))
+    bad = trashed_below(nodes).select(F.col("tenant_id").alias("b_tenant"), F.col("node_id").alias("b_node"))
+    on = F.col("tenant_id").eqNullSafe(F.col("b_tenant")) & (F.col("anc_id") == F.col("b_node"))
+    both = subtree_sizes(nodes).join(bad, on, "full")
+    probed = scratch.keep(both.select(F.coalesce("tenant_id", "b_tenant").alias("tenant_id"), F.coalesce("anc_id", "b_node").alias("node_id"), "n", "deepest", F.col("b_node").isNotNull().alias("in_trash")))
+    small = is_small(probed)
+    out = sized_join(asked, probed, ["tenant_id", "node_id"], scratch, "left", small=small)
+    out = scratch.keep(sized_join(out, probed.select("tenant_id", F.col("node_id").alias("to_id"), F.col("in_trash").alias("to_in_trash")), ["tenant_id", "to_id"], scratch, "left", small=small, counted=asked))
+    trashed = F.coalesce("in_trash", F.lit(False)) | F.coalesce("to_in_trash", F.lit(False))
+    at = nodes.select("tenant_id", "node_id", "parent_id", "space_id", "path", "depth")
+    target = nodes.select("tenant_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"to_{c}") for c in ("space_id", "path", "depth")])
+    small = is_small(nodes.select("tenant_id", "node_id", "parent_id", "space_id", "path", "depth"))
+    out = sized_join(out, at, ["tenant_id", "node_id"], scratch, "left", small=small, counted=asked)
+    # paths are long; one travels on only where the verdict may hang on it
+    settled = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("to_id")) | trashed
+    out = out.withColumn("known", F.col("path").isNotNull()).withColumn("path", F.when(~settled, F.col("path")))
+    out = sized_join(out, target, ["tenant_id", "to_id"], scratch, "left", small=small, counted=asked)
     large, elsewhere = F.col("n") > limit, ~F.col("space_id").eqNullSafe(F.col("to_space_id"))
     verdict = (
-        F.when(F.col("path").isNull(), "NO_NODE").when(F.col("to_path").isNull(), "NO_TARGET").when(F.col("parent_id") == F.col("to_id"), "SAME_PARENT").when(F.col("parent_id").isNull(), "ROOT")
-        .when(F.col("in_trash") | F.col("to_in_trash"), "TRASHED").when(F.col("to_path").startswith(F.col("path")), "CYCLE").when(F.col("deepest") - F.col("depth") + F.col("to_depth") + 1 > MAX_DEPTH, "TOO_DEEP")
+        F.when(~F.col("known"), "NO_NODE").when(F.col("to_path").isNull(), "NO_TARGET").when(F.col("parent_id") == F.col("to_id"), "SAME_PARENT").when(F.col("parent_id").isNull(), "ROOT")
+        .when(trashed, "TRASHED").when(F.col("to_path").startswith(F.col("path")), "CYCLE").when(F.col("deepest") - F.col("depth") + F.col("to_depth") + 1 > MAX_DEPTH, "TOO_DEEP")
         .when(large & elsewhere, "TOO_LARGE").when(large, "JOB").otherwise("DONE")
     )
     return out.select("tenant_id", "node_id", "to_id", verdict.alias("verdict"), F.col("n").alias("size"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions import lexorank
 from loamgraph.functions.paths import is_valid, path_ids, under, upper_bound
 from loamgraph.operators import hierarchy, trending, tree
 from loamgraph.operators.orphans import id_time
+from loamgraph.operators.skew import next_above
 from loamgraph.plans.views import using
+from loamgraph.session import Scratch
 from loamgraph.sources import domain
 from loamgraph.sources.tables import table
 
@@ -157,14 +159,14 @@ _MOVES = """asked AS (SELECT tenant_id, node_id, CASE (node_id >> 22) % 6 WHEN 0
 )
 def h11_move_checks(s, d):
     """Every node asked to move below its parent, a missing node or a later one of another depth; subtrees above five nodes are large."""
-    n = domain.node_current(s, d)
+    scratch = Scratch(s, "asked")
+    n = scratch.keep(domain.node_current(s, d).select("tenant_id", "node_id", "parent_id", "space_id", "path", "depth", "status"))
     k = F.shiftright("node_id", 22)
-    later = Window.partitionBy("tenant_id", "level").orderBy("node_id")
     # the next node of each depth: candidates and askers in one order, each asker sees the first candidate behind it
-    both = n.select("tenant_id", F.col("depth").cast("long").alias("level"), "node_id", F.lit(True).alias("target")).unionByName(n.select("tenant_id", (k % 4).alias("level"), "node_id", F.lit(False).alias("target")))
-    after = F.min(F.when(F.col("target"), F.col("node_id"))).over(later.rangeBetween(1, Window.unboundedFollowing))
-    next_of = both.withColumn("next", after).where("not target").select(F.col("tenant_id").alias("x_tenant"), F.col("node_id").alias("x_node"), "next")
-    asked = n.join(next_of, (F.col("tenant_id") == F.col("x_tenant")) & (F.col("node_id") == F.col("x_node")))
+    known = n.where("tenant_id is not null and node_id is not null")
+    targets = known.select("tenant_id", F.col("depth").cast("long").alias("level"), "node_id", F.lit(None).cast("long").alias("parent_id"), F.lit(True).alias("target"))
+    askers = known.select("tenant_id", (k % 4).alias("level"), "node_id", "parent_id", F.lit(False).alias("target"))
+    asked = next_above(targets.unionByName(askers), ["tenant_id", "level"], "node_id", "target", scratch)
     to = F.when(k % 6 == 0, F.col("parent_id")).when(k % 6 == 1, F.col("node_id") + 1).otherwise(F.col("next"))
     return tree.check_moves(asked.select("tenant_id", "node_id", to.alias("to_id")).where("to_id is not null"), n, 5)
 
