@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.skew import counted_join, meet, sized_join, with_places
+from loamgraph.operators.splitting import split_groups
 from loamgraph.session import Scratch
 
 
@@ -147,18 +148,23 @@ def bfs(arcs: DataFrame, roots: DataFrame, max_depth: int | None = None, what: s
     return seen.all
 
 
-def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tuple[DataFrame, int]:
+def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc", named: bool = False) -> tuple[DataFrame, int]:
     """``(id, label)`` with the smallest ``ord`` of the weakly connected component, and the rounds taken.
 
     Large-star and small-star alternate: links are redirected to the smallest
-    known member, so long chains take a logarithmic number of rounds.
+    known member, so long chains take a logarithmic number of rounds.  With
+    ``named`` a vertex's id is its ``ord`` and every end of an edge is a vertex, so
+    neither is looked up.
     """
     scratch = Scratch(vertices.sparkSession, what)
     v = scratch.keep(vertices.select("id", "ord"))
     o = v.withColumnRenamed("id", "k")
-    named = edges.join(o.withColumnRenamed("ord", "a"), F.col("src") == F.col("k")).drop("k").join(o.withColumnRenamed("ord", "b"), F.col("dst") == F.col("k"))
-    links = scratch.keep(named.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    rounds, before = 0, None
+    if named:
+        ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    else:
+        ends = edges.join(o.withColumnRenamed("ord", "a"), F.col("src") == F.col("k")).drop("k").join(o.withColumnRenamed("ord", "b"), F.col("dst") == F.col("k"))
+    links = scratch.keep(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rounds, before, most_links = 0, None, v.count()
     while True:
         rounds += 1
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -170,15 +176,24 @@ def components(vertices: DataFrame, edges: DataFrame, what: str = "wcc") -> tupl
         small = counted_join(large, least, ["u"], "n", most).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = scratch.keep(small.where("u <> v").distinct())
         state = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        scratch.drop(links)
+        for used in (links, low, large, least):
+            scratch.drop(used)
         links = nxt
-        if tuple(state) == before:
+        scratch.tidy()
+        # fewer links than vertices may be stars, which another round would leave as they are
+        if tuple(state) == before or state[0] < most_links and _are_stars(links):
             break
         before = tuple(state)
     label = links.groupBy("u").agg(F.min("v").alias("m"))
     return v.join(label, F.col("ord") == F.col("u"), "left").select("id", F.coalesce("m", "ord").alias("label")), rounds
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every vertex has one link at most, and no link leads to a vertex that has one."""
+    ends = links.select("u", F.lit(True).alias("out")).union(links.select("v", F.lit(False)).distinct())
+    return ends.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def _minima(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """``(u, m, n)``: the smallest of each vertex and its neighbours, and their number; the largest number."""
     low = scratch.keep(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
@@ -458,65 +473,25 @@ def greedy_by_group(vertices: DataFrame, edges: DataFrame, parts: int, slack: fl
     return vertices.groupBy("group").cogroup(edges.groupBy("group")).applyInPandas(run, "group long, id long, part int")
 
 
-class _Near:
-    """Neighbour lists of the vertices 0..n-1 in two arrays."""
-
-    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
-        self.dst = dst[np.lexsort((dst, src))]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist()
-
-    def get(self, x: int, _=()) -> list[int]:
-        return self.dst[self.start[x] : self.start[x + 1]].tolist()
-
-
-def _split_group(vertices: pd.DataFrame, arcs: pd.DataFrame, parts: int, slack: float) -> pd.DataFrame:
-    """Vertices of one group to parts: breadth first from the first one, each by ``greedy_partition``."""
-    ids = vertices.sort_values(["ord", "id"])["id"].to_numpy()
-    n, by_id = len(ids), np.argsort(ids, kind="stable")
-    at = lambda c: by_id[np.searchsorted(ids, arcs[c].to_numpy(), sorter=by_id).clip(max=n - 1)]
-    src, dst = at("src"), at("dst")
-    inside = ids[dst] == arcs["dst"].to_numpy()
-    near = _Near(n, src[inside], dst[inside])
-    order, seen = [], bytearray(n)
-    for root in range(n):
-        if seen[root]:
-            continue
-        seen[root] = 1
-        done = len(order)
-        order.append(root)
-        while done < len(order):
-            for y in near.get(order[done]):
-                if not seen[y]:
-                    seen[y] = 1
-                    order.append(y)
-            done += 1
-    home = greedy_partition(order, near, parts, slack)
-    return pd.DataFrame({"id": ids[list(home)], "group": vertices["group"].iloc[0], "part": list(home.values())})
-
-
 def place_nodes(members: DataFrame, edges: DataFrame, parts: int, slack: float = 0.1) -> DataFrame:
     """Every vertex to a part, group by group; ``(id, group, part, whole)``.
 
     ``members(id, ord, group)``.  Groups above ceil(V / parts) are split first, by
     vertex; the others then go whole, longest first, to the lightest part.  There
-    are fewer than ``parts`` groups to split; each is sequential and has to fit
-    into one task as arrays, two numbers for each vertex and direction of an edge.
+    are fewer than ``parts`` groups to split; that is sequential, and their
+    vertices and edges have to fit into one task as arrays (see ``splitting``).
+    Ids, edges and groups are numbers; ``edges`` is best stored.
     """
     scratch = Scratch(members.sparkSession, "placement")
     members = scratch.keep(members.select("id", "ord", "group"))
     groups = scratch.keep(members.groupBy("group").agg(F.count("*").alias("size")))
-    total = groups.agg(F.sum("size")).scalar()
-    above = F.broadcast(groups.where(F.col("size") > F.ceil(total / F.lit(parts))).select("group"))
-    large = members.join(above, "group", "left_semi")
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    near = both.join(large.select(F.col("id").alias("src"), F.col("group").alias("held_by")), "src").select("held_by", "src", "dst")
-
-    def run(vertices: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        if vertices.empty:
-            return pd.DataFrame({"id": [], "group": [], "part": []})
-        return _split_group(vertices, arcs, parts, slack)
-
-    split = scratch.keep(large.groupBy("group").cogroup(near.groupBy("held_by")).applyInPandas(run, "id long, group long, part int"))
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    above = groups.where(F.col("size") > math.ceil(total / parts))
+    n = above.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = members.join(F.broadcast(above.select("group")), "group", "left_semi")
+    # where the large groups are the lesser part, the arcs of the others stay behind
+    near = edges if 2 * n >= total else edges.join(large.select(F.col("id").alias("src")), "src", "left_semi")
+    split = split_groups(large, n, near, parts, slack, scratch)
     placed = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     whole = place_groups(groups, parts, [placed.get(p, 0) for p in range(parts)]).where("whole")
     rest = sized_join(members, whole.select("group", "part"), ["group"], scratch)

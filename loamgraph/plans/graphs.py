@@ -142,8 +142,11 @@ def q03_rekey(s, d):
 
 def _bip(s, d):
     e = domain.bipartite(s, d)
-    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("ord", F.col("id"))
-    return v, e
+    return _vertices(e), e
+
+
+def _vertices(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("ord", F.col("id"))
 
 
 _WCC = """both_ways AS (SELECT src, dst FROM bipartite UNION ALL SELECT dst, src FROM bipartite),
@@ -256,9 +259,9 @@ def x12_greedy(s, d):
 
 @_q()
 def x13_placement(s, d):
-    v, e = _bip(s, d)
-    # here a vertex's id is its ord
-    members = gr.components(v, e)[0].select("id", F.col("id").alias("ord"), F.col("label").alias("group"))
+    # repeated edges make no difference, and here a vertex's id is its ord
+    e = domain.holdings(s, d).where("src is not null and dst is not null")
+    members = gr.components(_vertices(e), e, named=True)[0].select("id", F.col("id").alias("ord"), F.col("label").alias("group"))
     return gr.place_nodes(members, e, 4).withColumnRenamed("group", "grp")
 
 

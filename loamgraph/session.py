@@ -142,6 +142,10 @@ class Scratch:
         if path:
             self._delete(path)
 
+    def tidy(self) -> None:
+        """Has the driver collect its garbage: until then shuffle files of finished queries stay on the executors' disks."""
+        self.spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm  # noqa: SLF001
         target = jvm.org.apache.hadoop.fs.Path(path)

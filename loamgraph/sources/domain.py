@@ -52,9 +52,14 @@ def heap_cyclic(spark: SparkSession, d: str) -> DataFrame:
     return heap(spark, d).unionByName(back)
 
 
+def holdings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and the parts (as negative ids) they hold, a row a line item."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
+
+
 def bipartite(spark: SparkSession, d: str) -> DataFrame:
-    """Orders and the parts (as negative ids) they hold."""
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+    """The same without repeats."""
+    return holdings(spark, d).distinct()
 
 
 def tag_current(spark: SparkSession, d: str) -> DataFrame:
